@@ -21,30 +21,40 @@ from shapelog.functions.vocabulary import (
 )
 
 # Fixed patterns of the log lines.
-_MODULE = rf"(?d)/({'|'.join(LOG_MODULES)}) "
+_RECORD = rf"(?d)/((?:{'|'.join(LOG_MODULES)}) .*)$"
 _FALLBACK = r"(?d)^UntypedFromJSVal fallback: (.+)$"
 _CHECK_FAILURE = r"(?d)Type checking failed: (.*)$"
-_VALUE_EVENT = r"(?d)QQQ ACTOR ([^ ]+) MESSAGE ([^ ]+) CONTENTS (.+)$"
+_VALUE_EVENT = r"(?d)QQQ ACTOR ([^ ]+ MESSAGE [^ ]+ CONTENTS .+)$"
+
+
+def _once(expression: Column, drop_empty=False) -> Column:
+    """Evaluate an expression a single time per row.
+
+    Catalyst pushes a filter on a computed column below the projection, which
+    computes it again for each filter.  It does not push through a generator:
+    exploding a one-element array makes the value a plain column (and drops
+    empty text at no further cost).
+    """
+    one = F.array(expression)
+    return F.explode(F.array_remove(one, "") if drop_empty else one)
 
 
 def extract_records(lines: DataFrame) -> DataFrame:
     """Keep lines of the known modules; add ``module`` and ``msg``."""
-    # A plain substring test spares most lines the regex.  The message starts
-    # after the first "/<module> ", which is where the search found it.
-    module = F.regexp_extract("line", _MODULE, 1)
-    start = F.expr("instr(line, concat('/', module, ' ')) + length(module) + 2")
+    # A plain substring test spares most lines the regex.
     return (
-        lines.filter(F.col("line").contains("/JSIPC") & F.col("line").rlike(_MODULE))
-        .withColumn("module", module)
-        .withColumn("msg", F.substring("line", start, F.length("line")))
-        .drop("line")
+        lines.filter(F.col("line").contains("/JSIPC"))
+        .withColumn("record", _once(F.regexp_extract("line", _RECORD, 1), drop_empty=True))
+        .withColumn("module", F.substring_index("record", " ", 1))
+        .withColumn("msg", F.expr("substring(record, length(module) + 2)"))
+        .drop("line", "record")
     )
 
 
 def _sent_types(records: DataFrame) -> DataFrame:
     """Split type messages at spaces: nine words and the rest, the raw type."""
     return records.filter(F.col("module") == TYPE_MODULE).withColumn(
-        "word", F.split("msg", " ", 10)
+        "word", _once(F.split("msg", " ", 10))
     )
 
 
@@ -169,8 +179,9 @@ def fallback_events(records: DataFrame) -> DataFrame:
     """Serializer messages that tell of a fallback; ``fallback`` is the case."""
     return (
         records.filter(F.col("module") == SERIALIZER_MODULE)
-        .filter(F.col("msg").rlike(_FALLBACK))
-        .withColumn("fallback", F.regexp_extract("msg", _FALLBACK, 1))
+        .withColumn(
+            "fallback", _once(F.regexp_extract("msg", _FALLBACK, 1), drop_empty=True)
+        )
         .drop("module", "msg")
     )
 
@@ -196,14 +207,17 @@ def other_records(records: DataFrame) -> DataFrame:
 def extract_value_events(lines: DataFrame) -> DataFrame:
     """Lines that log a message's value: ``actor, message, contents``."""
     return (
-        lines.filter(F.col("line").contains("QQQ ACTOR ") & F.col("line").rlike(_VALUE_EVENT))
+        lines.filter(F.col("line").contains("QQQ ACTOR "))
+        .withColumn("event", _once(F.regexp_extract("line", _VALUE_EVENT, 1), drop_empty=True))
+        .withColumn("word", _once(F.split("event", " ", 5)))
         .withColumns(
             {
-                name: F.regexp_extract("line", _VALUE_EVENT, i)
-                for i, name in enumerate(["actor", "message", "contents"], 1)
+                "actor": F.get("word", F.lit(0)),
+                "message": F.get("word", F.lit(2)),
+                "contents": F.get("word", F.lit(4)),
             }
         )
-        .drop("line")
+        .drop("line", "event", "word")
     )
 
 
