@@ -22,12 +22,12 @@ from shapelog.functions.vocabulary import (
 
 # Fixed patterns of the log lines.
 _RECORD = rf"(?d)/((?:{'|'.join(LOG_MODULES)}) .*)$"
-_FALLBACK = r"(?d)^UntypedFromJSVal fallback: (.+)$"
+FALLBACK = r"(?d)^UntypedFromJSVal fallback: (.+)$"
 _CHECK_FAILURE = r"(?d)Type checking failed: (.*)$"
 _VALUE_EVENT = r"(?d)QQQ ACTOR ([^ ]+ MESSAGE [^ ]+ CONTENTS .+)$"
 
 
-def _once(expression: Column, drop_empty=False) -> Column:
+def evaluate_once(expression: Column, drop_empty=False) -> Column:
     """Evaluate an expression a single time per row.
 
     Catalyst pushes a filter on a computed column below the projection, which
@@ -44,7 +44,7 @@ def extract_records(lines: DataFrame) -> DataFrame:
     # A plain substring test spares most lines the regex.
     return (
         lines.filter(F.col("line").contains("/JSIPC"))
-        .withColumn("record", _once(F.regexp_extract("line", _RECORD, 1), drop_empty=True))
+        .withColumn("record", evaluate_once(F.regexp_extract("line", _RECORD, 1), drop_empty=True))
         .withColumn("module", F.substring_index("record", " ", 1))
         .withColumn("msg", F.expr("substring(record, length(module) + 2)"))
         .drop("line", "record")
@@ -54,11 +54,11 @@ def extract_records(lines: DataFrame) -> DataFrame:
 def _sent_types(records: DataFrame) -> DataFrame:
     """Split type messages at spaces: nine words and the rest, the raw type."""
     return records.filter(F.col("module") == TYPE_MODULE).withColumn(
-        "word", _once(F.split("msg", " ", 10))
+        "word", evaluate_once(F.split("msg", " ", 10))
     )
 
 
-def _is_type_event() -> Column:
+def is_type_event() -> Column:
     word = F.col("word")
     fixed = {0: "JSIT", 2: "ACTOR", 4: "MESSAGE", 6: "KIND", 8: "TYPE"}
     tests = [F.get(word, i) == text for i, text in fixed.items()]
@@ -83,7 +83,7 @@ def extract_type_events(records: DataFrame) -> DataFrame:
     word = F.col("word")
     return (
         _sent_types(records)
-        .filter(_is_type_event())
+        .filter(is_type_event())
         .withColumns(
             {
                 "direction": F.get(word, 1),
@@ -101,7 +101,7 @@ def malformed_events(records: DataFrame, mode="PERMISSIVE") -> DataFrame:
     """Type messages of another form; ``FAILFAST`` makes the first one an error."""
     bad = (
         _sent_types(records)
-        .filter(~_is_type_event())
+        .filter(~is_type_event())
         .withColumn("error", F.concat(F.lit("Unknown JSIPCTypeSend: "), "msg"))
         .drop("module", "word")
     )
@@ -180,7 +180,7 @@ def fallback_events(records: DataFrame) -> DataFrame:
     return (
         records.filter(F.col("module") == SERIALIZER_MODULE)
         .withColumn(
-            "fallback", _once(F.regexp_extract("msg", _FALLBACK, 1), drop_empty=True)
+            "fallback", evaluate_once(F.regexp_extract("msg", FALLBACK, 1), drop_empty=True)
         )
         .drop("module", "msg")
     )
@@ -190,7 +190,7 @@ def serializer_events(records: DataFrame) -> DataFrame:
     """The other serializer messages."""
     return (
         records.filter(F.col("module") == SERIALIZER_MODULE)
-        .filter(~F.col("msg").rlike(_FALLBACK))
+        .filter(~F.col("msg").rlike(FALLBACK))
         .drop("module")
     )
 
@@ -208,8 +208,8 @@ def extract_value_events(lines: DataFrame) -> DataFrame:
     """Lines that log a message's value: ``actor, message, contents``."""
     return (
         lines.filter(F.col("line").contains("QQQ ACTOR "))
-        .withColumn("event", _once(F.regexp_extract("line", _VALUE_EVENT, 1), drop_empty=True))
-        .withColumn("word", _once(F.split("event", " ", 5)))
+        .withColumn("event", evaluate_once(F.regexp_extract("line", _VALUE_EVENT, 1), drop_empty=True))
+        .withColumn("word", evaluate_once(F.split("event", " ", 5)))
         .withColumns(
             {
                 "actor": F.get("word", F.lit(0)),
