@@ -18,7 +18,6 @@ CATALOG = [
     "actor", "message", "arity", "slot0", "slot1", "slot0_json", "slot1_json", "comment",
 ]
 _SLOTS = ["slot0", "slot1", "slot0_json", "slot1_json"]
-_NO_MATCH = F.lit(None).cast("string")
 
 
 def unify_kinds(united: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Types from logged values.
 
-Most payloads differ only in numbers and strings.  ``payload_skeleton`` blanks
+Most payloads differ only in numbers and strings.  ``with_skeleton`` blanks
 those on the JVM, so that few distinct texts are left for the literal reader.
 """
 
@@ -32,27 +32,27 @@ _TOKENS = "|".join(
 )
 
 
-def payload_skeleton(payload: Column) -> Column:
-    """The payload with its strings and numbers blanked; types stay the same.
+def with_skeleton(df: DataFrame, col="contents") -> DataFrame:
+    """Add ``skeleton``: the payload with strings and numbers blanked.
 
-    Labels stay as they are.  A blank that repeats its left neighbour in a list
-    is dropped, so lists of one scalar type look alike whatever their length.
+    The type stays the same: labels are kept, and a blank that repeats its left
+    neighbour in a list is dropped, so that lists of one scalar type look alike
+    whatever their length.  Each step is a plain column before the next one
+    looks at its neighbours in it.
     """
-    tokens = F.regexp_extract_all(payload, F.lit(f"({_TOKENS})"), 1)
+    tokens, blank = F.col("tokens"), F.col("blank")
 
     def blanked(token, i):
-        # The token after; get() is null past the end.
-        is_label = F.get(tokens, i + 1) == ":"
+        is_label = F.get(tokens, i + 1) == ":"  # null past the end
         return (
             F.when(is_label, token)
             .when(token.rlike(r"^-?\d"), "0")
-            .when(token.rlike("^['\"]") & (F.length(token) > 1), '""')
-            .when(token.startswith("/") & (F.length(token) > 1), "//")
+            .when(F.length(token) == 1, token)
+            .when(token.startswith('"') | token.startswith("'"), '""')
+            .when(token.startswith("/"), "//")
             .otherwise(token)
         )
 
-    blank = F.transform(tokens, blanked)
-
     def is_scalar(token):
         return token.isin("0", '""', "true", "false", "null")
 
@@ -66,7 +66,13 @@ def payload_skeleton(payload: Column) -> Column:
         dropped = [comma & (at(-2) != "void"), repeat & (at(-3) != "void")]
         return ~reduce(Column.__or__, [F.coalesce(d, F.lit(False)) for d in dropped])
 
-    return F.array_join(F.filter(blank, kept), " ")
+    every_token = F.regexp_extract_all(col, F.lit(f"({_TOKENS})"), 1)
+    return (
+        df.withColumn("tokens", evaluate_once(every_token))
+        .withColumn("blank", evaluate_once(F.transform("tokens", blanked)))
+        .withColumn("skeleton", evaluate_once(F.array_join(F.filter("blank", kept), " ")))
+        .drop("tokens", "blank")
+    )
 
 
 def _value_json(payload):
@@ -109,8 +115,7 @@ def _typed(skeleton):
 
 def distinct_payloads(events: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
     """Distinct (actor, message, skeleton) with ``first_seen`` and ``events``."""
-    skeletons = events.withColumn("skeleton", evaluate_once(payload_skeleton(F.col("contents"))))
-    return first_positions(skeletons, [*MESSAGE, "skeleton"], ranks)
+    return first_positions(with_skeleton(events), [*MESSAGE, "skeleton"], ranks)
 
 
 def infer_value_types(payloads: DataFrame) -> DataFrame:
