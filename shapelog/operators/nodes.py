@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shapelog.session import durable
+
 _NODE = ["path", "parent_path", "tag", "name", "optional", "pos"]
 
 # A place is struct<path, parent, name, optional, v>; v holds the type there.
@@ -144,14 +146,16 @@ def merge_nodes(nodes: DataFrame, keys) -> DataFrame:
     Per ``keys`` and place: the tags found there, and whether it is optional,
     because it is so somewhere or because a parent object lacks it.  Counts,
     maxima and sets of tags combine in any order, so the aggregate is partial
-    before the shuffle and a hot key costs no more than a rare one.  The answer
-    is wider than the ordered ``union_types``, which keeps unlike objects apart.
+    before the shuffle and a hot key costs no more than a rare one.  Places are
+    looked up by their children, so they are written once.  The answer is wider than the ordered ``union_types``, which keeps unlike objects apart.
     """
-    places = nodes.groupBy(*keys, "path", "parent_path", "name").agg(
-        F.collect_set("tag").alias("tags"),
-        F.max("optional").alias("stated_optional"),
-        F.count(F.when(F.col("pos") == 0, 1)).alias("present"),
-        F.count(F.when(F.col("tag") == "object", 1)).alias("objects"),
+    places = durable(
+        nodes.groupBy(*keys, "path", "parent_path", "name").agg(
+            F.collect_set("tag").alias("tags"),
+            F.max("optional").alias("stated_optional"),
+            F.count(F.when(F.col("pos") == 0, 1)).alias("present"),
+            F.count(F.when(F.col("tag") == "object", 1)).alias("objects"),
+        )
     )
     parents = places.filter("objects > 0").select(
         *keys, F.col("path").alias("parent_path"), F.col("objects").alias("parent_objects")

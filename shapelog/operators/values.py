@@ -1,13 +1,12 @@
 """Types from logged values.
 
-Most payloads differ only in numbers and strings.  ``with_skeleton`` blanks
+Most payloads differ only in numbers and strings.  ``payload_skeleton`` blanks
 those on the JVM, so that few distinct texts are left for the literal reader.
 """
 
 from __future__ import annotations
 
 import json
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,89 +15,61 @@ from shapelog.functions import literals
 from shapelog.operators.dedupe import first_positions
 from shapelog.operators.extract import evaluate_once, fail_on_error
 from shapelog.operators.nodes import type_nodes
-from shapelog.operators.python_stage import flat_map_rows, fold_groups
+from shapelog.operators.python_stage import fill_columns, flat_map_rows, fold_groups
 
 MESSAGE = ["actor", "message"]
-_TOKENS = "|".join(
-    [
-        literals.WORD,
-        literals.NUMBER,
-        # The readers' quoted forms, with loops that Java runs without recursion.
-        r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'",
-        r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"',
-        r"/[^/\\\n]*+(?:\\.[^/\\\n]*+)*+/",
-        r"[^ \t\n\r]",
-    ]
+# The readers' quoted forms, with loops that Java runs without recursion.
+_SINGLE = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
+_DOUBLE = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
+_REGEXP = r"/[^/\\\n]*+(?:\\.[^/\\\n]*+)*+/"
+# Labels and words are kept whole; of other tokens only the opening quote or
+# slash is, and nothing of a number.
+_LABEL = rf"(?:{_SINGLE}|{_DOUBLE}|{literals.NUMBER})(?=\s*:)"
+_BLANKED = (
+    rf"({literals.WORD}|{_LABEL})|{literals.NUMBER}"
+    rf"|('){_SINGLE[1:]}|(\"){_DOUBLE[1:]}|(/){_REGEXP[1:]}"
 )
+# Characters that mark blanks on the way; a payload that has them stays as is.
+_OPEN, _CLOSE, _STRING, _NUMBER = "\u0002", "\u0001", "\u0003", "\u0004"
+_REPEATS = rf"(void\s*{_NUMBER})|([{_STRING}{_NUMBER}])(?:\s*,\s*\2)+"
 
 
-def with_skeleton(df: DataFrame, col="contents") -> DataFrame:
-    """Add ``skeleton``: the payload with strings and numbers blanked.
+def payload_skeleton(payload: Column) -> Column:
+    """The payload with its strings and numbers blanked; its type stays the same.
 
-    The type stays the same: labels are kept, and a blank that repeats its left
-    neighbour in a list is dropped, so that lists of one scalar type look alike
-    whatever their length.  Each step is a plain column before the next one
-    looks at its neighbours in it.
+    Labels are kept.  Blanks that repeat their left neighbour in a list are
+    dropped, so that lists of one scalar type look alike whatever their length;
+    the number of ``void 0`` is part of that value and starts no such run.
     """
-    tokens, blank = F.col("tokens"), F.col("blank")
-
-    def blanked(token, i):
-        is_label = F.get(tokens, i + 1) == ":"  # null past the end
-        return (
-            F.when(is_label, token)
-            .when(token.rlike(r"^-?\d"), "0")
-            .when(F.length(token) == 1, token)
-            .when(token.startswith('"') | token.startswith("'"), '""')
-            .when(token.startswith("/"), "//")
-            .otherwise(token)
-        )
-
-    def is_scalar(token):
-        return token.isin("0", '""', "true", "false", "null")
-
-    def kept(token, i):
-        def at(steps):
-            return F.get(blank, i + steps)
-
-        # The number of "void 0" is part of that value, not one of its own.
-        comma = (token == ",") & is_scalar(at(-1)) & (at(-1) == at(1)) & (at(2) != ":")
-        repeat = is_scalar(token) & (at(-1) == ",") & (at(-2) == token) & (at(1) != ":")
-        dropped = [comma & (at(-2) != "void"), repeat & (at(-3) != "void")]
-        return ~reduce(Column.__or__, [F.coalesce(d, F.lit(False)) for d in dropped])
-
-    every_token = F.regexp_extract_all(col, F.lit(f"({_TOKENS})"), 1)
-    return (
-        df.withColumn("tokens", evaluate_once(every_token))
-        .withColumn("blank", evaluate_once(F.transform("tokens", blanked)))
-        .withColumn("skeleton", evaluate_once(F.array_join(F.filter("blank", kept), " ")))
-        .drop("tokens", "blank")
-    )
+    marked = F.regexp_replace(payload, _BLANKED, f"{_OPEN}$1$2$3$4{_CLOSE}")
+    for found, blank in (("'", _STRING), ('"', _STRING), ("/", "//"), ("", _NUMBER)):
+        marked = F.replace(marked, F.lit(f"{_OPEN}{found}{_CLOSE}"), F.lit(blank))
+    bare = F.translate(marked, f"{_OPEN}{_CLOSE}", "")
+    short = F.regexp_replace(bare, _REPEATS, "$1$2")
+    filled = F.replace(short, F.lit(_STRING), F.lit('""'))
+    filled = F.replace(filled, F.lit(_NUMBER), F.lit(" 0 "))
+    return F.when(payload.rlike("[\u0001-\u0004]"), payload).otherwise(filled)
 
 
 def _value_json(payload):
     try:
-        return [(payload, literals.literal_json(literals.read_literal(payload)), None)]
+        return literals.literal_json(literals.read_literal(payload)), None
     except (literals.LiteralError, RecursionError) as e:
-        return [(payload, None, str(e) or "Value is nested too deeply")]
+        return None, str(e) or "Value is nested too deeply"
 
 
 def parse_payloads(df: DataFrame, col="contents", mode="PERMISSIVE") -> DataFrame:
     """Add ``value`` (JSON text) and ``error`` for a column of JS literals.
 
-    JSON stays on the JVM.  Only the distinct other payloads are read in
-    Python, and joined back.
+    JSON is recognised on the JVM and its rows only pass the Python stage,
+    which reads each other payload of a batch once.  Rows stay where they are:
+    nothing is shuffled.
     """
     # A number with an exponent but no fraction is JSON and no literal.
     is_json = F.try_parse_json(col).isNotNull() & ~F.col(col).rlike(r"\d[eE]")
-    marked = df.withColumn("is_json", evaluate_once(is_json))
-    others = marked.filter(~F.col("is_json")).select(col).distinct()
-    read = flat_map_rows(others, [col], _value_json, f"`{col}` string, value string, error string")
-    as_json = marked.filter("is_json").withColumns(
-        {"value": F.col(col), "error": F.lit(None).cast("string")}
-    )
-    as_literal = marked.filter(~F.col("is_json")).join(read, col, "left")
-    both = as_json.unionByName(as_literal).drop("is_json")
-    return fail_on_error(both, mode)
+    marked = df.withColumn("value", F.when(is_json, F.col(col)))
+    parsed = fill_columns(marked, col, "value", _value_json, "error string")
+    return fail_on_error(parsed, mode)
 
 
 _TYPED = "type_text string, type_key string, type_state string, node_state string"
@@ -115,7 +86,8 @@ def _typed(skeleton):
 
 def distinct_payloads(events: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
     """Distinct (actor, message, skeleton) with ``first_seen`` and ``events``."""
-    return first_positions(with_skeleton(events), [*MESSAGE, "skeleton"], ranks)
+    skeletons = events.withColumn("skeleton", evaluate_once(payload_skeleton(F.col("contents"))))
+    return first_positions(skeletons, [*MESSAGE, "skeleton"], ranks)
 
 
 def infer_value_types(payloads: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Catalog sinks: JSON, TypeScript and a plain listing.
 
-A document is a table of lines with the keys that put them in order, so it is
-written by many tasks, split also inside a large actor.  The part files, in
+A document is a table of lines with the keys that put them in order.  Several
+kinds of lines come from the same catalog, so that is written once before.  The
+document is written by many tasks, split also inside a large actor.  The part files, in
 name order, are the document; ``single_file`` streams them through one task.
 """
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shapelog.operators.catalog import is_identifier
+from shapelog.session import durable
 
 _ORDER = ["section", "actor", "step", "message"]
 
@@ -65,6 +67,7 @@ def _comment(indent: str) -> Column:
 
 def json_lines(catalog: DataFrame) -> DataFrame:
     """``section, actor, step, message, line`` of the JSON document."""
+    catalog = durable(catalog)
     rows = _with_ends(catalog)
     never = F.lit('"never"')
     pair = F.concat(
@@ -102,6 +105,7 @@ def _slot_text() -> Column:
 
 def ts_lines(catalog: DataFrame) -> DataFrame:
     """The lines of the TypeScript document."""
+    catalog = durable(catalog)
     rows = catalog.withColumns({"is_whole": F.col("message").isNull(), "ends_all": F.lit(False)})
     quoted = F.when(is_identifier(F.col("message")), F.col("message")).otherwise(
         F.concat(F.lit('"'), "message", F.lit('"'))
@@ -123,6 +127,7 @@ def ts_lines(catalog: DataFrame) -> DataFrame:
 
 def text_lines(catalog: DataFrame) -> DataFrame:
     """The lines of the plain listing; an empty line ends each actor."""
+    catalog = durable(catalog)
     rows = catalog.withColumns({"is_whole": F.col("message").isNull(), "ends_all": F.lit(False)})
     line = F.when(
         F.col("is_whole"),

@@ -13,6 +13,7 @@ from shapelog.operators import dedupe, extract, nodes, reports, unions, values,
 from shapelog.operators.declare import parse_declarations
 from shapelog.plans import discover as disc
 from shapelog.plans import failures, infer, translate
+from shapelog.session import durable
 from shapelog.sources import declarations, logs, overrides
 from shapelog.streaming import catalog as live
 from shapelog.streaming import streams
@@ -321,7 +322,7 @@ def t3_union_event_types(spark, folder):
 
 def order_nodes(spark, folder):
     raw = table(spark, folder, tables.ORDER_TYPES).select("raw_type").distinct()
-    typed = unions.parse_types(raw).select("raw_type", "type_state")
+    typed = durable(unions.parse_types(raw).select("raw_type", "type_state"))
     return nodes.type_nodes(typed)
 
 
