@@ -23,17 +23,13 @@ _PLACE = (
     " 'optional', {optional}, 'v', {v})"
 )
 # A name as types print it: bare, as an integer, or quoted.
-_TEXT_NAME = "variant_get(p[0], '$', 'string')"
+_TEXT_NAME = "variant_get(label, '$', 'string')"
 _NAME = rf"""
-    CASE WHEN schema_of_variant(p[0]) <> 'STRING' THEN to_json(p[0])
+    CASE WHEN schema_of_variant(label) <> 'STRING' THEN to_json(label)
          WHEN {_TEXT_NAME} RLIKE '(?U)^(?!\\d)[\\w$]+$' THEN {_TEXT_NAME}
          ELSE concat('"', replace({_TEXT_NAME}, '"', '\\"'), '"') END"""
 
 
-def _list(of):
-    return f"try_variant_get({of}, 'array<variant>')"
-
-
 def _part(suffix, v):
     return _PLACE.format(
         path=f"concat(path, '{suffix}')", parent="path", name="CAST(NULL AS string)",
@@ -44,33 +40,32 @@ def _part(suffix, v):
 def _property():
     return _PLACE.format(
         path=f"concat(path, '.', {_NAME})", parent="path", name=_NAME,
-        optional="CAST(p[2] AS boolean)", v="p[1]",
+        optional="CAST(items[3 * i + 3] AS boolean)", v="items[3 * i + 2]",
     )
 
 
-# The places inside the type ``v``, by its tag.
+# The places inside the type whose parts are ``items``, by its tag.
 _INSIDE = f"""
     CASE tag
       WHEN 'object' THEN transform(
-        transform({_list("v, '$[1]'")}, x -> CAST(x AS array<variant>)), p -> {_property()})
-      WHEN 'array' THEN array({_part('[]', "variant_get(v, '$[1]', 'variant')")})
-      WHEN 'set' THEN array({_part('<>', "variant_get(v, '$[1]', 'variant')")})
-      WHEN 'map' THEN array({_part('{k}', "variant_get(v, '$[1]', 'variant')")},
-                            {_part('{v}', "variant_get(v, '$[2]', 'variant')")})
+        filter(items, (item, i) -> i % 3 = 1), (label, i) -> {_property()})
+      WHEN 'array' THEN array({_part('[]', 'items[1]')})
+      WHEN 'set' THEN array({_part('<>', 'items[1]')})
+      WHEN 'map' THEN array({_part('{k}', 'items[1]')}, {_part('{v}', 'items[2]')})
     END"""
 
 # A place as its members: the types of a union, or the one type itself.
 _MEMBERS = """
     flatten(transform(places, place -> transform(
       CASE WHEN try_variant_get(place.v, '$[0]', 'string') = 'union'
-           THEN variant_get(place.v, '$[1]', 'array<variant>')
+           THEN slice(variant_get(place.v, '$', 'array<variant>'), 2, 1000000000)
            ELSE array(place.v) END,
       (member, i) -> named_struct(
         'path', place.path, 'parent_path', place.parent,
         'tag', coalesce(try_variant_get(member, '$[0]', 'string'),
                         try_variant_get(member, '$', 'string')),
         'name', place.name, 'optional', place.optional, 'pos', i,
-        'v', member, 'open', true))))"""
+        'items', try_variant_get(member, '$', 'array<variant>')))))"""
 
 
 def type_depth(types: DataFrame, col="type_state") -> int:
@@ -90,8 +85,8 @@ def type_depth(types: DataFrame, col="type_state") -> int:
 def type_nodes(types: DataFrame, col="type_state", depth=None) -> DataFrame:
     """One row per type at a place, next to the other columns of ``types``.
 
-    Each level explodes the open rows into themselves, closed, and what lies
-    inside them; closed rows pass.  It is one chain of narrow steps: no
+    Each level explodes a row that has parts into itself, without them, and what
+    lies inside it; other rows pass.  It is one chain of narrow steps: no
     shuffle, no Python.  ``depth`` saves the aggregate that finds it.
     """
     if depth is None:
@@ -103,9 +98,11 @@ def type_nodes(types: DataFrame, col="type_state", depth=None) -> DataFrame:
     )
     rows = types.filter(F.col(col).isNotNull()).select(*others, F.expr(f"array({root})").alias("places"))
     rows = rows.select(*others, F.inline(F.expr(_MEMBERS)))
-    itself = "array(struct(path, parent_path, tag, name, optional, pos, v, false AS open))"
+    # Only what has parts can be opened; it loses them when it is.
+    itself = """array(struct(path, parent_path, tag, name, optional, pos,
+                             CAST(NULL AS array<variant>) AS items))"""
     for _ in range(depth):
-        rows = rows.withColumn("places", F.expr(f"CASE WHEN open THEN {_INSIDE} END"))
+        rows = rows.withColumn("places", F.expr(f"CASE WHEN items IS NOT NULL THEN {_INSIDE} END"))
         rows = rows.select(
             *others, F.inline(F.expr(f"concat({itself}, coalesce({_MEMBERS}, array()))"))
         )

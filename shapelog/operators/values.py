@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shapelog.functions import literals
+from shapelog.functions.typetext import type_state
 from shapelog.operators.dedupe import first_positions
 from shapelog.operators.extract import evaluate_once, fail_on_error
 from shapelog.operators.nodes import type_nodes
@@ -81,7 +82,7 @@ def _typed(skeleton):
     except (literals.LiteralError, RecursionError):
         return [(skeleton, None, None, None, None)]
     forms = literals.value_type_text(t), literals.type_key(t)
-    return [(skeleton, *forms, json.dumps(t), json.dumps(literals.structure(t)))]
+    return [(skeleton, *forms, json.dumps(t), type_state(literals.structure(t)))]
 
 
 def distinct_payloads(events: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
