@@ -27,7 +27,10 @@ def first_positions(events: DataFrame, keys, ranks: DataFrame | None = None) ->
         per_split = per_split.withColumn("file_rank", F.lit(0).cast("bigint"))
     else:
         # No hint: a long file list is shuffled, against rows already deduped.
-        per_split = per_split.join(ranks, "file_path")
+        unranked = F.concat(F.lit("File is not among the inputs: "), "file_path")
+        per_split = per_split.join(ranks, "file_path", "left").withColumn(
+            "file_rank", F.coalesce("file_rank", F.raise_error(unranked).cast("bigint"))
+        )
     position = F.struct("file_rank", "file_path", "block_start", "mid")
     return per_split.groupBy(*keys).agg(
         F.min(position).alias("first_seen"), F.sum("events").alias("events")

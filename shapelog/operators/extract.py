@@ -114,8 +114,10 @@ def fail_on_error(df: DataFrame, mode: str, error="error") -> DataFrame:
         raise ValueError(f"mode should be FAILFAST or PERMISSIVE, not {mode}")
     if mode == "PERMISSIVE":
         return df
+    # A column nobody reads would not be computed, and a filter could be moved
+    # ahead of the ones before it; a generator stays and stays in place.
     raised = F.raise_error(F.col(error)).cast("string")
-    return df.withColumn(error, F.when(F.col(error).isNotNull(), raised))
+    return df.withColumn(error, evaluate_once(F.when(F.col(error).isNotNull(), raised)))
 
 
 def drop_no_value(events: DataFrame) -> DataFrame:

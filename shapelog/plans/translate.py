@@ -26,7 +26,10 @@ def declared_catalog(files: DataFrame):
 def translate_declarations(spark: SparkSession, paths, out: str, single_file=True) -> DataFrame:
     """Read, merge and write; any error stops the job before it writes."""
     ranks = file_ranks(spark, paths).withColumnRenamed("file_path", "file")
-    files = read_declarations(spark, paths).join(ranks, "file")
+    unranked = F.concat(F.lit("File is not among the inputs: "), "file")
+    files = read_declarations(spark, paths).join(ranks, "file", "left").withColumn(
+        "file_rank", F.coalesce("file_rank", F.raise_error(unranked).cast("bigint"))
+    )
     catalog, errors = declared_catalog(files)
     first = errors.orderBy("file", "error").head()
     if first:

@@ -7,6 +7,8 @@ the files: ``mid`` grows within a split and ``block_start`` orders the splits.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,13 +61,13 @@ def file_ranks(spark: SparkSession, paths) -> DataFrame:
         for file in sorted(spark.read.text(path).inputFiles()):
             if file not in seen:
                 seen.add(file)
-                ranked.append((normal_uri(file), len(ranked)))
+                ranked.append((scanned_uri(file), len(ranked)))
     return spark.createDataFrame(ranked, "file_path string, file_rank bigint")
 
 
-def normal_uri(path: str) -> str:
-    """``file:///a`` and ``file:/a`` name the same file; scans report the first."""
-    return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+def scanned_uri(uri: str) -> str:
+    """A listed file as scans name it: ``file:/a`` and not ``file:///a``."""
+    return re.sub(r"^(\w+):///", r"\1:/", uri)
 
 
 def lines_of(df: DataFrame, source: str, order, line) -> DataFrame:
