@@ -34,6 +34,8 @@ def parse_types(df: DataFrame, col="raw_type", simplify=False, mode="PERMISSIVE"
     ``FAILFAST`` stops at a text that is no type, ``PERMISSIVE`` keeps it as a
     reject (``error`` not null).
     """
+    if col in ("type_state", "type_json", "type_ts", "error"):
+        raise ValueError(f"Rename {col}: the result has a column of that name")
     texts = df.select(F.col(col)).filter(F.col(col).isNotNull()).distinct()
     schema = f"`{col}` string, {_TYPED}, error string"
     parsed = flat_map_rows(texts, [col], lambda text: _typed(text, simplify), schema)
