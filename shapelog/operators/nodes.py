@@ -157,15 +157,37 @@ def merge_nodes(nodes: DataFrame, keys) -> DataFrame:
     parents = places.filter("objects > 0").select(
         *keys, F.col("path").alias("parent_path"), F.col("objects").alias("parent_objects")
     )
-    missing = F.col("name").isNotNull() & (F.col("present") < F.col("parent_objects"))
+    missing = F.coalesce(F.col("present") < F.col("parent_objects"), F.lit(False))
     return places.join(parents, [*keys, "parent_path"], "left").select(
         *keys, "path", "parent_path", "name",
         F.array_sort("tags").alias("tags"),
-        (F.col("stated_optional") | F.coalesce(missing, F.lit(False))).alias("optional"),
+        (F.col("stated_optional") | (F.col("name").isNotNull() & missing)).alias("optional"),
         "present",
+        (F.col("name").isNotNull() & ~missing).alias("in_all"),
     )
 
 
+def order_free(merged: DataFrame, keys) -> DataFrame:
+    """The ``keys`` whose ordered union is the always-merging one, whatever
+    the order; takes ``merge_nodes``.
+
+    That is so if, at every place, more than half of all property names are in
+    all objects there (or all names are): then any two objects that can come
+    up in between share more than half of the larger one's names, and so merge.
+    And ``any`` has to be alone where it is, because it swallows what was there
+    before it and only that.
+    """
+    shapes = merged.filter(F.col("name").isNotNull()).groupBy(*keys, "parent_path").agg(
+        F.count(F.lit(1)).alias("names"), F.count_if("in_all").alias("shared")
+    )
+    merging = (F.col("shared") == F.col("names")) | (2 * F.col("shared") > F.col("names"))
+    unlike = shapes.filter(~merging).select(*keys)
+    real = F.filter("tags", lambda tag: tag != "never")
+    swallowed = merged.filter(F.array_contains("tags", "any") & (F.size(real) > 1)).select(*keys)
+    ordered = unlike.unionByName(swallowed).distinct()
+    return merged.select(*keys).distinct().join(ordered, list(keys), "left_anti")
+
+
 def merged_types(merged: DataFrame, keys, depth: int) -> DataFrame:
     """Rows of ``merge_nodes`` as one type text per ``keys``: ``type_ts``.
 

@@ -144,8 +144,8 @@ def discover_lines(lines: DataFrame, options: Options | None = None, ranks=None)
     typed = durable(
         raw_types.join(unions.simplify_types(raw_types, mode=options.mode), "raw_type")
     )
-    grouped = dedupe.group_types(uses, typed.filter(F.col("error").isNull()))
-    united = durable(unions.union_types(grouped))
+    grouped = durable(dedupe.group_types(uses, typed.filter(F.col("error").isNull())))
+    united = durable(unions.union_large_types(grouped))
     pivoted = cat.unify_kinds(united)
     found = cat.build_catalog(pivoted, options.mode)
 

@@ -377,6 +377,7 @@ ORACLES = {
     "t2_simplify_types": f"WITH {_ORDER_RAW} SELECT DISTINCT raw_type, {_order_json(True)} AS type_json, "
     f"{_order_text(True)} AS type_ts FROM typed",
     "t3_union_types": f"WITH {_ORDER_RAW}, {_ORDER_UNION} SELECT * FROM united",
+    "t3_union_large_types": f"WITH {_ORDER_RAW}, {_ORDER_UNION} SELECT * FROM united",
     "t3_union_event_types": _log(
         f"SELECT actor, message, kind, '{_EVENT_UNION}' AS type_ts, count(*) AS n_types "
         "FROM uses GROUP BY actor, message, kind"

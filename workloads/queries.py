@@ -313,6 +313,15 @@ def t3_union_types(spark, folder):
     )
 
 
+@query
+def t3_union_large_types(spark, folder):
+    """Groups of more than 20 types as if they were too large for one fold."""
+    grouped = durable(grouped_of(order_lines(spark, folder)))
+    return unions.union_large_types(grouped, parallel_above=20).select(
+        "actor", "message", "kind", "type_ts", "n_types"
+    )
+
+
 @query
 def t3_union_event_types(spark, folder):
     return united_of(lines(spark, folder)).select(
