@@ -20,7 +20,7 @@ def infer_schemas(
     payload that is no literal, as soon as a distinct one is found.
     """
     events = exclude_rules(extract_value_events(lines), exclusions)
-    payloads = values.distinct_payloads(events, ranks)
+    payloads = durable(values.distinct_payloads(events, ranks))
     typed = durable(values.infer_value_types(payloads))
     if mode == "FAILFAST":
         bad = typed.filter(F.col("type_key").isNull()).orderBy("first_seen").head()

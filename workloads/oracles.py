@@ -490,7 +490,7 @@ ORACLES = {
     "v5_union_value_types": f"{_VALUES} SELECT actor, message, type_text, 1 AS n_types FROM united",
     "v7_value_type_report": f"""{_VALUES},
         seen AS (SELECT actor, message, min(first_line) AS message_line FROM strict GROUP BY ALL)
-        SELECT actor, message, 1 AS n_types, type_text, min(message_line) OVER (PARTITION BY actor) AS actor_line,
+        SELECT actor, message, CAST(1 AS BIGINT) AS n_types, type_text, min(message_line) OVER (PARTITION BY actor) AS actor_line,
                message_line
         FROM united JOIN seen USING (actor, message)""",
     "v13_merge_value_nodes": f"""{_VALUES},

@@ -53,7 +53,7 @@ def uses_of(line_table):
 
 
 def grouped_of(line_table):
-    uses = uses_of(line_table)
+    uses = durable(uses_of(line_table))  # read three times below
     raw = dedupe.distinct_raw_types(uses)
     return dedupe.group_types(uses, raw.join(unions.simplify_types(raw), "raw_type"))
 
@@ -84,7 +84,8 @@ def value_events(spark, folder):
 
 
 def payload_types(spark, folder):
-    return values.infer_value_types(values.distinct_payloads(value_events(spark, folder)))
+    payloads = durable(values.distinct_payloads(value_events(spark, folder)))
+    return values.infer_value_types(payloads)
 
 
 def scratch(spark, name):
@@ -354,7 +355,7 @@ SHAPES = """
 @query
 def t11_combine_log(spark, folder):
     found = lines(spark, folder)
-    grouped = grouped_of(found)
+    grouped = durable(grouped_of(found))
     return unions.combine_log(grouped, unions.union_types(grouped))
 
 
@@ -366,6 +367,7 @@ def t12_type_nodes(spark, folder):
 
 
 def merged_orders(spark, folder):
+    """The places of all types of each message; the union needs no order."""
     uses = uses_of(order_lines(spark, folder)).select(*dedupe.USE)
     keyed = uses.join(order_nodes(spark, folder), "raw_type")
     return nodes.merge_nodes(keyed, unions.MESSAGE_KIND)
