@@ -41,10 +41,15 @@ def evaluate_once(expression: Column, drop_empty=False) -> Column:
 
 def extract_records(lines: DataFrame) -> DataFrame:
     """Keep lines of the known modules; add ``module`` and ``msg``."""
-    # A plain substring test spares most lines the regex.
+    # Plain text functions do for most lines: the others have no "/JSIPC", or a
+    # known module follows the first one.  Only what is left needs the regex.
+    rest = F.expr("substring(line, instr(line, '/JSIPC') + 1)")
+    first_is_known = F.substring_index(rest, " ", 1).isin(LOG_MODULES) & rest.contains(" ")
+    searched = F.regexp_extract("line", _RECORD, 1)
+    record = F.when(first_is_known, rest).otherwise(searched)
     return (
         lines.filter(F.col("line").contains("/JSIPC"))
-        .withColumn("record", evaluate_once(F.regexp_extract("line", _RECORD, 1), drop_empty=True))
+        .withColumn("record", evaluate_once(record, drop_empty=True))
         .withColumn("module", F.substring_index("record", " ", 1))
         .withColumn("msg", F.expr("substring(record, length(module) + 2)"))
         .drop("line", "record")

@@ -36,6 +36,16 @@ def _rows(batches: Iterable[pa.RecordBatch], columns) -> Iterator[tuple]:
         yield from zip(*(batch.column(c).to_pylist() for c in columns))
 
 
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Partition by ``keys`` into as many parts as shuffles have.
+
+    Adaptive execution joins small partitions by size; reading a text takes far
+    longer than its size tells, so the number is given, which it respects.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys)
+
+
 def flat_map_rows(df: DataFrame, columns, function: Callable, schema: str) -> DataFrame:
     """``function`` takes one row's ``columns`` and yields output tuples."""
     ship_package(df.sparkSession)
@@ -102,5 +112,5 @@ def fold_groups(df: DataFrame, keys, order, columns, function: Callable, schema:
     # The grouped map needs its input clustered and sorted by the keys; the
     # longer sort below satisfies that, so no further shuffle or sort is added.
     needed = list(dict.fromkeys([*keys, *order, *columns]))
-    ordered = df.select(*needed).repartition(*keys).sortWithinPartitions(*keys, *order)
+    ordered = spread(df.select(*needed), *keys).sortWithinPartitions(*keys, *order)
     return ordered.select(*keys, *columns).groupBy(*keys).applyInArrow(run, full)

@@ -9,7 +9,7 @@ from shapelog.functions import typetext
 from shapelog.functions.vocabulary import KIND_LABELS
 from shapelog.operators import nodes
 from shapelog.operators.extract import fail_on_error
-from shapelog.operators.python_stage import flat_map_rows, fold_groups
+from shapelog.operators.python_stage import flat_map_rows, fold_groups, spread
 from shapelog.session import durable
 
 MESSAGE_KIND = ["actor", "message", "kind"]
@@ -42,7 +42,7 @@ def parse_types(df: DataFrame, col="raw_type", simplify=False, mode="PERMISSIVE"
         raise ValueError(f"Rename {col}: the result has a column of that name")
     texts = df.select(F.col(col)).filter(F.col(col).isNotNull()).distinct()
     schema = f"`{col}` string, {_TYPED}, error string"
-    parsed = flat_map_rows(texts, [col], lambda text: _typed(text, simplify), schema)
+    parsed = flat_map_rows(spread(texts, col), [col], lambda text: _typed(text, simplify), schema)
     return fail_on_error(parsed, mode)
 
 

@@ -16,7 +16,7 @@ from shapelog.functions.typetext import type_state
 from shapelog.operators.dedupe import first_positions
 from shapelog.operators.extract import evaluate_once, fail_on_error
 from shapelog.operators.nodes import type_nodes
-from shapelog.operators.python_stage import fill_columns, flat_map_rows, fold_groups
+from shapelog.operators.python_stage import fill_columns, flat_map_rows, fold_groups, spread
 
 MESSAGE = ["actor", "message"]
 # The readers' quoted forms, with loops that Java runs without recursion.
@@ -99,7 +99,7 @@ def infer_value_types(payloads: DataFrame) -> DataFrame:
     null where the payload is no literal.
     """
     texts = payloads.select("skeleton").distinct()
-    typed = flat_map_rows(texts, ["skeleton"], _typed, f"skeleton string, {_TYPED}")
+    typed = flat_map_rows(spread(texts, "skeleton"), ["skeleton"], _typed, f"skeleton string, {_TYPED}")
     return payloads.join(typed, "skeleton")
 
 

@@ -10,16 +10,26 @@ from shapelog.operators.reports import failure_files, strip_common_prefix
 from shapelog.sources.logs import file_ranks, read_logs
 
 
-def failures_in(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """``failure, file_path`` without the common start of all ``files``."""
+def failures_in(lines: DataFrame, files: DataFrame, uris=False) -> DataFrame:
+    """``failure, file_path`` without the common start of all ``files``.
+
+    ``uris``: the paths are encoded, as scans report them; show them decoded.
+    """
     found = failure_files(extract_check_failures(lines))
+    if uris:
+        found, files = (df.withColumn("file_path", _decoded("file_path")) for df in (found, files))
     stripped = strip_common_prefix(found, "file_path", files)
     return stripped.orderBy("failure", "file_path")
 
 
+def _decoded(uri: str):
+    # In a path a plus is a plus; the decoder is one for forms.
+    return F.url_decode(F.replace(F.col(uri), F.lit("+"), F.lit("%2B")))
+
+
 def find_failures(spark: SparkSession, paths) -> DataFrame:
     files = file_ranks(spark, paths).select("file_path")
-    return failures_in(read_logs(spark, paths), files)
+    return failures_in(read_logs(spark, paths), files, uris=True)
 
 
 def failure_lines(failures: DataFrame) -> DataFrame:

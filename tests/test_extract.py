@@ -27,6 +27,8 @@ LOG = [
     "x: D/JSIPCOther nothing",
     "Type checking failed: one",
     "x: D/JSIPCTypeChecking Type checking failed: Å\u0085 two",
+    "x: D/JSIPCOther D/JSIPCTypeRecv D/JSIPCTypeSend late",
+    "x: D/JSIPCTypeRecv",
 ]
 
 
@@ -41,8 +43,9 @@ def values(df, *columns):
 
 def test_records(records):
     found = values(records, "mid", "module")
-    assert [m for m, _ in found] == [*range(14), 16]
+    assert [m for m, _ in found] == [*range(14), 16, 17]
     assert dict(found)[11] == "JSIPCSerializer"
+    assert values(records, "module", "msg")[-1] == ("JSIPCTypeRecv", "D/JSIPCTypeSend late")
 
 
 def test_type_events(records):

@@ -100,11 +100,11 @@ def test_discovery_reports(spark, lines):
 
 
 def test_find_failures(spark, tmp_path):
-    for name, text in (("log1", "b"), ("log2", "a"), ("log3", None)):
+    for name, text in (("log a+1", "b"), ("log a 2", "a"), ("log a%3", None)):
         line = f"x Type checking failed: {text}\n" * 2 if text else "nothing\n"
-        (tmp_path / name).write_text(line + ("Type checking failed: b\n" if name == "log2" else ""))
-    found = find_failures(spark, [str(tmp_path / n) for n in ("log1", "log2", "log3")])
-    assert [r["line"] for r in failure_lines(found).collect()] == ["a", "  2", "b", "  1", "  2"]
+        (tmp_path / name).write_text(line + ("Type checking failed: b\n" if name == "log a 2" else ""))
+    found = find_failures(spark, [str(tmp_path / n) for n in ("log a+1", "log a 2", "log a%3")])
+    assert [r["line"] for r in failure_lines(found).collect()] == ["a", "   2", "b", "   2", "  +1"]
 
 
 def test_streams_equal_batch(spark, tmp_path, typed_log, lines):
