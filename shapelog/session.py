@@ -43,14 +43,25 @@ def ship_package(spark: SparkSession) -> None:
     context._shapelog_shipped = True
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that all executors see.
 
-    The folder is the one ``spark.checkpoint.dir`` names; only where that is
-    unset (tests) a temporary one is used.
+    It is the one ``spark.checkpoint.dir`` names. Only a local session may run
+    without it: a temporary folder is set then. On a cluster each executor would
+    write to its own disk, so that is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="shapelog-checkpoint-")
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="shapelog-checkpoint-"))
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
