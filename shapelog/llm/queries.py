@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from shapelog.llm import simhash
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from shapelog.llm import bpe, simhash
 
 QUERIES = {}
 ORACLES = {}
@@ -20,3 +23,19 @@ def table(spark, folder, name):
 @query
 def op1_simhash(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op2_bpe(spark, folder):
+    tokens = bpe.encode(
+        table(spark, folder, "documents").select("doc_id", "text"),
+        public_tokenizers.path("word_bpe_49k.json"),
+        decode="library",
+    )
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return tokens.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(listed, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
