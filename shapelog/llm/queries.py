@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from shapelog.llm import bpe, simhash
+from shapelog.llm import bpe, quality, simhash, toxicity
+from shapelog.llm.sample import remainder
 
 QUERIES = {}
 ORACLES = {}
@@ -39,3 +40,26 @@ def op2_bpe(spark, folder):
         F.sha2(listed, 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def _scored(scores, held_out):
+    return scores.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op3_quality(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = remainder(3) == 1
+    return _scored(quality.score(docs, quality.fit(docs, labels, ~held_out)), held_out)
+
+
+@query
+def op5_toxicity(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = remainder(5) == 0
+    return _scored(toxicity.score(docs, toxicity.fit(docs, labels, ~held_out)), held_out)
