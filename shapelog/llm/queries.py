@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from shapelog.llm import bpe, quality, simhash, toxicity
+from shapelog.llm import bpe, pii, quality, simhash, toxicity
 from shapelog.llm.sample import remainder
 
 QUERIES = {}
@@ -63,3 +63,18 @@ def op5_toxicity(spark, folder):
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     held_out = remainder(5) == 0
     return _scored(toxicity.score(docs, toxicity.fit(docs, labels, ~held_out)), held_out)
+
+
+@query
+def op8_pii(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs)).drop("text")
+
+    def listed(spans):
+        return F.expr(f"array_join(transform({spans}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')")
+
+    base = "filter(spans, s -> s.base)"
+    counts = [F.expr(f"cast(size(filter({base}, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans")
+    )
