@@ -140,7 +140,7 @@ def _edge(c):
 
 
 class Lattice:
-    """Tokens of a zone and the candidate spans over them."""
+    """Tokens of a zone and the candidate spans over them, which cut no run of letters and digits."""
 
     def __init__(self, text: str, start: int, end: int):
         self.bounds = [start + m.start() for m in _TOKEN.finditer(text[start:end])] + [end]
@@ -148,7 +148,8 @@ class Lattice:
         self.plain = [self._plain(text[a]) for a in self.bounds[:-1]]
         self.spans = []  # (first token, token after the last, features)
         for i in range(self.n):
-            if text[self.bounds[i]].isspace():
+            first, before = text[self.bounds[i]], text[max(0, self.bounds[i] - 1) : self.bounds[i]]
+            if not (first.isalnum() and not before.isalnum() or first in "+("):
                 continue
             told = False
             for j in range(i + 1, min(self.n, i + TOKENS) + 1):
@@ -156,7 +157,8 @@ class Lattice:
                     break
                 last = text[self.bounds[j - 1]]
                 told = told or "0" <= last <= "9" or last == "@"
-                if told and (last.isalnum() or last == ")"):
+                after = text[self.bounds[j] : self.bounds[j] + 1]
+                if told and (last.isalnum() and not after.isalnum() or last == ")"):
                     self.spans.append((i, j, span_features(text, self.bounds[i], self.bounds[j])))
 
     @staticmethod
