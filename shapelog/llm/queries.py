@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from shapelog.llm import bpe, pii, quality, simhash, toxicity
+from shapelog.llm import bpe, mixing, pii, quality, simhash, toxicity
 from shapelog.llm.sample import remainder
 
 QUERIES = {}
@@ -78,3 +78,45 @@ def op8_pii(spark, folder):
     return found.select(
         "doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans")
     )
+
+
+@query
+def op10_mixing(spark, folder):
+    return mixing.mix(table(spark, folder, "documents")).drop("passes")
+
+
+# The level of the targets in closed form: sources by cap over weight; the first that
+# stays below its cap sets it. Taken words are what the goal leaves of each pass.
+ORACLES["op10_mixing"] = r"""
+WITH sized AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN 'b' ELSE 'a' || source END AS key,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents),
+sources AS (
+  SELECT key, CAST(sum(size) AS BIGINT) AS source_size,
+    CASE (row_number() OVER (ORDER BY key) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight
+  FROM sized GROUP BY key),
+ordered AS (
+  SELECT *, 2 * source_size AS cap,
+    coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / weight, key
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps,
+    sum(weight) OVER (ORDER BY 2 * source_size / weight, key
+      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights,
+    sum(source_size) OVER () AS total
+  FROM sources),
+level AS (
+  SELECT max(CAST(1.5 * total - caps AS DOUBLE) / CAST(weights AS DOUBLE)) AS level FROM ordered
+  WHERE CAST(1.5 * total - caps AS DOUBLE) / CAST(weights AS DOUBLE) <= cap / weight),
+aimed AS (
+  SELECT key, source_size, cap, least(CAST(cap AS DOUBLE), weight * level) AS target FROM ordered, level),
+goals AS (
+  SELECT *, least(CAST(floor(target + 0.5) AS BIGINT), cap) AS goal FROM aimed),
+laid AS (
+  SELECT doc_id, key, size,
+    CAST(coalesce(sum(size) OVER (PARTITION BY key ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM sized)
+SELECT doc_id, size, source_size, target,
+  least(size, greatest(0, goal - start)) + least(size, greatest(0, goal - source_size - start)) AS taken
+FROM laid JOIN goals USING (key)
+"""
