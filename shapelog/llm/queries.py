@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from shapelog.llm import bpe, mixing, pii, quality, simhash, toxicity
+from shapelog.llm import bpe, chat, mixing, pii, quality, simhash, toxicity
 from shapelog.llm.sample import remainder
 
 QUERIES = {}
@@ -120,3 +120,33 @@ SELECT doc_id, size, source_size, target,
   least(size, greatest(0, goal - start)) + least(size, greatest(0, goal - source_size - start)) AS taken
 FROM laid JOIN goals USING (key)
 """
+
+
+@query
+def op7_chat(spark, folder):
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return chat.read_back(chat.format_conversations(rows.union(more), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+# What must be read back, from the rows themselves; the template adds "### ", ": ",
+# "</turn>" and a line feed a turn, and a backslash a control string.
+ORACLES["op7_chat"] = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+turns AS (
+  SELECT *, length(role) + length(text) + 14
+    + len(regexp_extract_all(role, '[\:]')) + length(text) - length(replace(text, '\', ''))
+    + len(regexp_extract_all(text, '</turn>')) AS chars,
+    length(array_to_string(regexp_extract_all(text, '#{3,}'), '')) - 2 * len(regexp_extract_all(text, '#{3,}')) AS marks
+  FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars + marks) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
