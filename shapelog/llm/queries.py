@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from shapelog.llm import bpe, chat, mixing, pii, quality, simhash, toxicity
+from shapelog.llm import bpe, chat, mixing, pii, quality, repeats, simhash, toxicity
 from shapelog.llm.sample import remainder
 
 QUERIES = {}
@@ -150,3 +150,8 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(chars + marks) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id
 """
+
+
+@query
+def op9_repeats(spark, folder):
+    return repeats.repeats(table(spark, folder, "documents")).drop("removed")
