@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from shapelog.llm import bpe, chat, mixing, pii, quality, repeats, simhash, toxicity
+from shapelog.llm import bpe, chat, knn, mixing, near_vectors, pii, quality, repeats, simhash, toxicity
 from shapelog.llm.sample import remainder
 
 QUERIES = {}
@@ -155,3 +155,44 @@ FROM turns GROUP BY conv_id
 @query
 def op9_repeats(spark, folder):
     return repeats.repeats(table(spark, folder, "documents")).drop("removed")
+
+
+@query
+def op4_near_vectors(spark, folder):
+    return near_vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
+ORACLES["op4_near_vectors"] = """
+WITH RECURSIVE sound AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM sound a JOIN sound b
+    ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reached AS (
+  SELECT vec_id AS x, vec_id AS y FROM embeddings
+  UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x),
+numbers AS (SELECT x, count(*) AS n FROM links GROUP BY x),
+least AS (SELECT x, min(y) AS component_id FROM reached GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON vec_id = least.x LEFT JOIN numbers ON vec_id = numbers.x
+"""
+
+
+@query
+def op6_top_vectors(spark, folder):
+    return knn.top(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op6_top_vectors"] = """
+WITH sound AS (
+  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM sound q JOIN sound c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
