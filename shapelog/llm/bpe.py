@@ -18,8 +18,8 @@ from shapelog.llm.common import ship, whole
 #: White space of the tokenizer files' patterns; str.split() also splits at x1c-x1f.
 _SPACES = regex.compile(r"[\t-\r\x20\x85\p{Z}]+")
 _ODD = regex.compile(r"[\x1c-\x1f]")
-#: Chunks (words between white space) kept encoded by a worker; then it starts anew.
-KEPT = 150_000
+#: Chunks (words between white space) that a worker keeps encoded, in each of two generations.
+KEPT = 250_000
 #: Longest chunk that is kept.
 KEPT_CHARS = 64
 #: Characters of a text that are split into chunks at a time.
@@ -50,8 +50,8 @@ class Merges:
         #: A final token spans at most so many symbols: among the encodings of the
         #: last ``lookahead`` prefixes is the start of the final encoding.
         self.lookahead = max(len(self._symbols(t)) for t in self.vocab)
-        self.lengths = sorted({len(self._symbols(t)) for t in self.vocab}, reverse=True)
-        self._fits = {}
+        self.never = len(self.ranks)
+        self._fits, self._edges = {}, {}
 
     def _symbols(self, token):
         """A token as the symbols that it merges; the suffix belongs to the last one."""
@@ -71,6 +71,57 @@ class Merges:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def _spines(self, token):
+        """A token's right edge and left edge, or None if no word is encoded as this token.
+
+        Each is (part, rank of the merge that takes the part in), innermost part first;
+        the token itself is taken in by none.
+        """
+        known = self._edges.get(token, self)
+        if known is not self:
+            return known
+        parts, before = self._symbols(token), None
+        while len(parts) > 1:
+            rank, i = min((self.ranks.get(p, self.never), i) for i, p in enumerate(zip(parts, parts[1:])))
+            if rank == self.never:
+                break
+            before, parts = (parts, rank), [*parts[:i], parts[i] + parts[i + 1], *parts[i + 2 :]]
+        if len(parts) > 1:
+            made = None
+        elif before is None:
+            made = ([(token, self.never)], [(token, self.never)])
+        else:
+            (left, right), rank = before
+            made = tuple(
+                [*self._spines(part)[side][:-1], (part, rank), (token, self.never)]
+                for side, part in ((0, right), (1, left))
+            )
+        self._edges[token] = made
+        return made
+
+    def _keep_apart(self, left, right):
+        """Whether merging never joins parts of both tokens.
+
+        Both are built up in the order of ranks. While the parts at the seam stand
+        side by side, a merge of the two must not come before the one that takes
+        either of them in; of one rank, the leftmost pair merges first.
+        """
+        edge, other = self._spines(left), self._spines(right)
+        if edge is None or other is None:
+            return False
+        edge, other, i, j = edge[0], other[1], 0, 0
+        while True:
+            (a, until), (b, till) = edge[i], other[j]
+            rank = self.ranks.get((a, b), self.never)
+            if rank < until and rank <= till and rank < self.never:
+                return False
+            if until == till == self.never:
+                return True
+            if until <= till:
+                i += 1
+            else:
+                j += 1
+
     def fits(self, left, right):
         """Whether ``left right`` is the encoding of their joined symbols (left None: of right alone)."""
         key = (left, right)
@@ -78,8 +129,8 @@ class Merges:
         if known is None:
             if len(self._fits) > 1_000_000:
                 self._fits.clear()
-            wanted = [right] if left is None else [left, right]
-            known = self._fits[key] = self.merge(chain.from_iterable(map(self._symbols, wanted))) == wanted
+            known = self._spines(right) is not None if left is None else self._keep_apart(left, right)
+            self._fits[key] = known
         return known
 
 
@@ -103,24 +154,21 @@ class Transducer:
 
     def feed(self, symbol: str) -> None:
         """Take one more symbol; nothing is returned before ``stable`` or ``finish``."""
-        m = self.merges
+        m, ends = self.merges, self.ends
         self.at += 1
         self.symbols.append(symbol)
         if len(self.symbols) > m.lookahead:
             del self.symbols[0]
-        text, chosen = "".join(self.symbols), None
-        size = len(text)
-        for n in m.lengths:
-            if n > len(self.ends) or n > len(self.symbols):
-                continue
-            before = self.ends[-n]
-            token = symbol if n == 1 else text[size - len(symbol) - n + 1 :]
-            if token in m.vocab and before is not None and m.fits(before[0], token):
+        chosen = None
+        for n in range(min(len(ends), len(self.symbols)), 0, -1):
+            before = ends[-n]
+            token = "".join(self.symbols[-n:])
+            if before is not None and token in m.vocab and m.fits(before[0], token):
                 chosen = (token, before, self.at)
                 break
-        self.ends.append(chosen)
-        if len(self.ends) > m.lookahead + 1:
-            del self.ends[0]
+        ends.append(chosen)
+        if len(ends) > m.lookahead + 1:
+            del ends[0]
 
     def stable(self) -> list[str]:
         """Tokens that no further symbol can change, each once."""
@@ -161,6 +209,28 @@ class Transducer:
         return [t[0] for t in self._path(self.ends[-1])]
 
 
+def within_window(m: Merges, shown: str) -> list[int]:
+    """The same recurrence for a word no longer than the lookahead: all its prefixes stay open."""
+    vocab, fits, known = m.vocab, m.fits, m._fits
+    n = len(shown)
+    last, start = [None] * (n + 1), [-1] * (n + 1)
+    for i in range(1, n + 1):
+        end = m.suffix if i == n else ""
+        for j in range(i):
+            token = shown[j:i] + end
+            if token in vocab and (j == 0 or start[j] >= 0):
+                left = last[j]
+                good = known.get((left, token))
+                if good if good is not None else fits(left, token):
+                    last[i], start[i] = token, j
+                    break
+    out = []
+    while n:
+        out.append(vocab[last[n]])
+        n = start[n]
+    return out[::-1]
+
+
 class Encoder:
     """Texts to token ids as the tokenizer file says."""
 
@@ -192,8 +262,13 @@ class Encoder:
     def word(self, word: str):
         """Ids of one word, emitted as they become stable."""
         m = self.merges
-        symbols = [self.chars[b] for b in word.encode("utf-8")]
-        symbols[-1] += m.suffix
+        shown = "".join([self.chars[b] for b in word.encode("utf-8")])
+        if len(shown) <= m.lookahead:
+            return within_window(m, shown)
+        return self.long_word([*shown[:-1], shown[-1] + m.suffix])
+
+    def long_word(self, symbols):
+        m = self.merges
         run = Transducer(m)
         for i, symbol in enumerate(symbols, 1):
             run.feed(symbol)
@@ -204,8 +279,10 @@ class Encoder:
     def chunk(self, chunk: str) -> tuple[int, ...]:
         """Ids of text without white space."""
         # Lower case one character at a time: no final sigma.
-        low = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        return tuple(i for w in self.words.findall(low) for i in self.word(w))
+        plain = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
+        low = plain.lower()
+        found = self.words.findall(low)
+        return tuple(self.word(found[0])) if len(found) == 1 else tuple(i for w in found for i in self.word(w))
 
     def stream(self, text: str):
         """Ids of a whole text, one chunk after the other."""
@@ -223,16 +300,19 @@ class Encoder:
 
 
 class _Kept(dict):
-    """Encoded chunks; bounded."""
+    """Encoded chunks, bounded: when full it becomes the older generation, looked up once more."""
 
     def __init__(self, encoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.older = encoder, {}
 
     def __missing__(self, chunk):
-        ids = self.encoder.chunk(chunk)
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.encoder.chunk(chunk)
         if len(chunk) <= KEPT_CHARS:
             if len(self) >= KEPT:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids

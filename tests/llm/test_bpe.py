@@ -1,5 +1,7 @@
 """BPE transducer and decoder against the tokenizers library."""
 
+import random
+
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -52,6 +54,20 @@ def test_open_prefixes_stay_few():
     assert "".join(out) == word and most < 400 and len(run.ends) <= OWN.merges.lookahead + 1
 
 
+def test_neighbours_by_definition():
+    m, names = OWN.merges, sorted(OWN.merges.vocab)
+    rng = random.Random(3)
+    opened = [n for n in names if not n.endswith(m.suffix)]
+    short = [n for n in names if len(n) <= 7]
+    for _ in range(6000):
+        left, right = rng.choice(opened), rng.choice(short)
+        assert m.fits(left, right) == (m.merge(m._symbols(left) + m._symbols(right)) == [left, right])
+    for a in ("a", "aa", "aaa", "o", "oo", "ooo", "=", "==", "===="):
+        for b in ("a", "aa", "o", "oo", "==", "=</w>", "oo</w>", "a</w>"):
+            if a in m.vocab and b in m.vocab:
+                assert m.fits(a, b) == (m.merge(m._symbols(a) + m._symbols(b)) == [a, b])
+
+
 def test_text_form():
     text = "naïve café \U0001f600 <|endoftext|> 12"
     ids = OWN.encode(text)
