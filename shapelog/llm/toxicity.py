@@ -167,26 +167,32 @@ def train(bags, labels) -> Model:
     return Model(float(theta[n]), {f: float(theta[i]) for f, i in known.items() if theta[i] > 1e-3})
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1) and the offending sentences of every row, from whole texts.
+def judged(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with ``score`` (0 to 1) and the offending sentences of every row, from whole texts.
 
     ``offending`` lists (start, end, score) of the sentences that alone score a half or
     more, in code points. Null and empty texts have no sentence and score 0. Null and
-    repeated ids stay rows of their own; other columns are not read.
+    repeated ids stay rows of their own; columns named score or offending are replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+    kept = [c for c in docs.columns if c not in ("score", "offending")]
+    types = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches_in):
         judge = Judge(held.value)
         for batch in batches_in:
-            judged = [judge(t.as_py()) for t in batch.column(1)]
-            spans = [[{"start": a, "end": b, "score": p} for a, b, p in found] for _, found in judged]
-            columns = [batch.column(0), pa.array([s for s, _ in judged], pa.float64()), pa.array(spans, kind)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "offending"])
+            found = [judge(t.as_py()) for t in batch.column(len(kept))]
+            spans = [[{"start": a, "end": b, "score": p} for a, b, p in s] for _, s in found]
+            columns = [batch.column(i) for i in range(len(kept))]
+            columns += [pa.array([s for s, _ in found], pa.float64()), pa.array(spans, kind)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "score", "offending"])
 
     ship(docs.sparkSession)
-    kind_of = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", whole().alias("__text")).mapInArrow(
-        run, f"doc_id {kind_of}, score double, offending array<struct<start:int,end:int,score:double>>"
-    )
+    schema = [f"`{c}` {types[c]}" for c in kept] + ["score double", "offending array<struct<start:int,end:int,score:double>>"]
+    return docs.select(*[F.col(f"`{c}`") for c in kept], whole().alias("__text")).mapInArrow(run, ", ".join(schema))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score and offending sentences of every row; other columns but the text are not read."""
+    return judged(docs.select("doc_id", "text"), model).drop("text")
