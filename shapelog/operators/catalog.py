@@ -164,7 +164,8 @@ def apply_overrides(catalog: DataFrame, overrides: DataFrame) -> DataFrame:
 
     A whole-actor override replaces all rows of its actor.  A message override
     replaces a whole-actor row, adds an unknown message, and replaces the slots
-    it gives; a null slot keeps the discovered type.
+    it gives; a null slot keeps the discovered type.  What ``validate_overrides``
+    rejects has to be left out before (``accepted_overrides``).
     """
     whole = overrides.filter(F.col("message").isNull()).select(*CATALOG)
     parts = overrides.filter(F.col("message").isNotNull()).select(*CATALOG)
@@ -186,8 +187,41 @@ def apply_overrides(catalog: DataFrame, overrides: DataFrame) -> DataFrame:
     return rows.select(*CATALOG).orderBy("actor", F.asc_nulls_first("message"))
 
 
+def _ill_formed(overrides: DataFrame) -> DataFrame:
+    """Overrides that are wrong whatever the catalog: bad names, and several for one thing.
+
+    Which of several was meant is unknown, so none of them is applied.
+    """
+    same_message = overrides.groupBy("actor", "message").agg(F.count(F.lit(1)).alias("n"))
+    per_actor = same_message.groupBy("actor").agg(
+        F.max(F.when(F.col("message").isNull(), F.col("n"))).alias("whole"), F.count("message").alias("parts")
+    )
+    several = (F.col("whole") > 1) | ((F.col("whole") > 0) & (F.col("parts") > 0))
+    repeated = F.when(
+        F.coalesce(several, F.lit(False)),
+        F.concat(F.lit("Multiple declarations of actor "), "actor", F.lit(".")),
+    ).when(
+        F.col("n") > 1,
+        F.concat(F.lit("Multiple declarations of message "), "message", F.lit(" for actor "), "actor", F.lit(".")),
+    )
+    named = name_error(F.col("actor"), F.coalesce("message", F.lit("x")))
+    checked = same_message.join(per_actor, "actor").select("actor", "message", F.coalesce(named, repeated).alias("error"))
+    return checked.filter(F.col("error").isNotNull())
+
+
+def _same_override():
+    return (F.col("o.actor") == F.col("b.actor")) & F.col("o.message").eqNullSafe(F.col("b.message"))
+
+
+def accepted_overrides(overrides: DataFrame, bad: DataFrame) -> DataFrame:
+    """``overrides`` without those that ``validate_overrides`` lists in ``bad``."""
+    return overrides.alias("o").join(bad.alias("b"), _same_override(), "left_anti")
+
+
 def validate_overrides(catalog: DataFrame, overrides: DataFrame, mode="PERMISSIVE") -> DataFrame:
-    """Overrides that may not be applied: ``actor, message, error``."""
+    """Overrides that may not be applied: ``actor, message, error``; one row each."""
+    ill_formed = _ill_formed(overrides)
+    overrides = accepted_overrides(overrides, ill_formed)
 
     def shown(side):
         first, second = F.col(f"{side}.slot0_json"), F.col(f"{side}.slot1_json")
@@ -231,24 +265,18 @@ def validate_overrides(catalog: DataFrame, overrides: DataFrame, mode="PERMISSIV
             uncommented, "Non-testOnly single actor override types need a comment"
         ).alias("error"),
     )
-    bad = bad_messages.unionByName(bad_actors).filter(F.col("error").isNotNull())
+    bad = bad_messages.unionByName(bad_actors).filter(F.col("error").isNotNull()).unionByName(ill_formed)
     return fail_on_error(bad, mode)
 
 
-def merge_catalogs(*declared: DataFrame) -> DataFrame:
-    """All declared catalogs in one table (see ``operators.declare``)."""
-    merged = declared[0]
-    for more in declared[1:]:
-        merged = merged.unionByName(more)
-    return merged
-
-
 def duplicate_declarations(declared: DataFrame, mode="PERMISSIVE") -> DataFrame:
     """Actors declared at two places, and messages twice in one actor block.
 
     ``declared`` has ``file_rank, file, actor, actor_line, message, line`` and
     ``actor_at``, ``message_at`` (their numbers within the file).  The first
     place comes from a minimum per name, joined back: no group is gathered.
+    ``elsewhere``: the first place is in another file, which is found only after
+    the file itself has been read.
     """
 
     def place(file, line):
@@ -261,8 +289,10 @@ def duplicate_declarations(declared: DataFrame, mode="PERMISSIVE") -> DataFrame:
             F.struct("file_rank", "file", at) > F.struct("first.file_rank", "first.file", f"first.{at}")
         )
         return later.select(
+            "file_rank",
             "file",
             F.col(line).alias("line"),
+            (F.col("file") != F.col("first.file")).alias("elsewhere"),
             "actor",
             "message",
             F.concat(

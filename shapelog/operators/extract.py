@@ -130,13 +130,20 @@ def drop_no_value(events: DataFrame) -> DataFrame:
     return events.filter(F.col("raw_type") != NO_VALUE)
 
 
-def failed_types(events: DataFrame) -> DataFrame:
-    """Events whose value could not be typed, repeats kept, in log order."""
-    return (
-        events.filter(F.col("raw_type") == FAILED)
-        .select("actor", "message", "file_path", "block_start", "mid")
-        .orderBy("file_path", "block_start", "mid")
+def failed_types(events: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
+    """Events whose value could not be typed, repeats kept, in log order.
+
+    ``ranks`` (``file_path, file_rank``) gives the files' order as arguments;
+    without it files come by path.
+    """
+    failed = events.filter(F.col("raw_type") == FAILED).select(
+        "actor", "message", "file_path", "block_start", "mid"
     )
+    if ranks is None:
+        return failed.orderBy("file_path", "block_start", "mid")
+    return failed.join(ranks, "file_path", "left").orderBy(
+        "file_rank", "file_path", "block_start", "mid"
+    ).drop("file_rank")
 
 
 def drop_failed(events: DataFrame) -> DataFrame:

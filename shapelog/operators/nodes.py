@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from shapelog.session import durable
 
+# Tags of types that have others inside.
+_OPENED = ["object", "array", "set", "map"]
 _NODE = ["path", "parent_path", "tag", "name", "optional", "pos"]
 
 # A place is struct<path, parent, name, optional, v>; v holds the type there.
@@ -58,7 +60,7 @@ _INSIDE = f"""
 _MEMBERS = """
     flatten(transform(places, place -> transform(
       CASE WHEN try_variant_get(place.v, '$[0]', 'string') = 'union'
-           THEN slice(variant_get(place.v, '$', 'array<variant>'), 2, 1000000000)
+           THEN filter(variant_get(place.v, '$', 'array<variant>'), (member, i) -> i > 0)
            ELSE array(place.v) END,
       (member, i) -> named_struct(
         'path', place.path, 'parent_path', place.parent,
@@ -87,7 +89,8 @@ def type_nodes(types: DataFrame, col="type_state", depth=None) -> DataFrame:
 
     Each level explodes a row that has parts into itself, without them, and what
     lies inside it; other rows pass.  It is one chain of narrow steps: no
-    shuffle, no Python.  ``depth`` saves the aggregate that finds it.
+    shuffle, no Python.  ``depth`` saves the aggregate that finds it; if it is too
+    small for some type, that type's rows fail.
     """
     if depth is None:
         depth = type_depth(types, col)
@@ -106,7 +109,10 @@ def type_nodes(types: DataFrame, col="type_state", depth=None) -> DataFrame:
         rows = rows.select(
             *others, F.inline(F.expr(f"concat({itself}, coalesce({_MEMBERS}, array()))"))
         )
-    return rows.select(*others, *_NODE)
+    # A part that is still closed would be lost without a word.
+    closed = F.coalesce(F.exists("items", lambda _: F.lit(True)), F.lit(False)) & F.col("tag").isin(_OPENED)
+    tag = F.when(closed, F.raise_error(F.concat(F.lit("Nested deeper than the given depth: "), "path"))).otherwise(F.col("tag"))
+    return rows.withColumn("tag", tag).select(*others, *_NODE)
 
 
 def mergeable(names_a: Column, names_b: Column) -> Column:
@@ -126,17 +132,6 @@ def mergeable_shapes(pairs: DataFrame, a="names_a", b="names_b") -> DataFrame:
     return pairs.withColumn("mergeable", mergeable(F.col(a), F.col(b)))
 
 
-def object_shapes(nodes: DataFrame, keys) -> DataFrame:
-    """Property names of each object: ``names`` per ``keys`` and place.
-
-    The types of ``keys`` have to hold at most one object per place.
-    """
-    properties = nodes.filter(F.col("name").isNotNull() & (F.col("pos") == 0))
-    return properties.groupBy(*keys, F.col("parent_path").alias("path")).agg(
-        F.array_sort(F.collect_set("name")).alias("names")
-    )
-
-
 def merge_nodes(nodes: DataFrame, keys) -> DataFrame:
     """Union that always merges objects, as a set operation over places.
 
@@ -163,41 +158,20 @@ def merge_nodes(nodes: DataFrame, keys) -> DataFrame:
         F.array_sort("tags").alias("tags"),
         (F.col("stated_optional") | (F.col("name").isNotNull() & missing)).alias("optional"),
         "present",
-        (F.col("name").isNotNull() & ~missing).alias("in_all"),
-    )
-
-
-def order_free(merged: DataFrame, keys) -> DataFrame:
-    """The ``keys`` whose ordered union is the always-merging one, whatever
-    the order; takes ``merge_nodes``.
-
-    That is so if, at every place, more than half of all property names are in
-    all objects there (or all names are): then any two objects that can come
-    up in between share more than half of the larger one's names, and so merge.
-    And ``any`` has to be alone where it is, because it swallows what was there
-    before it and only that.
-    """
-    shapes = merged.filter(F.col("name").isNotNull()).groupBy(*keys, "parent_path").agg(
-        F.count(F.lit(1)).alias("names"), F.count_if("in_all").alias("shared")
     )
-    merging = (F.col("shared") == F.col("names")) | (2 * F.col("shared") > F.col("names"))
-    unlike = shapes.filter(~merging).select(*keys)
-    real = F.filter("tags", lambda tag: tag != "never")
-    swallowed = merged.filter(F.array_contains("tags", "any") & (F.size(real) > 1)).select(*keys)
-    ordered = unlike.unionByName(swallowed).distinct()
-    return merged.select(*keys).distinct().join(ordered, list(keys), "left_anti")
 
 
-def merged_types(merged: DataFrame, keys, depth: int) -> DataFrame:
+def merged_types(merged: DataFrame, keys) -> DataFrame:
     """Rows of ``merge_nodes`` as one type text per ``keys``: ``type_ts``.
 
     Texts are put together from the innermost places outwards; a row holds the
-    parts of one place, so it is as large as the type it prints.
+    parts of one place, so it is as large as the type it prints.  The deepest
+    place tells the number of steps, so ``merged`` is written once and read.
     """
     level = F.size(F.split(F.regexp_replace("path", r'"(?:[^"\\]|\\.)*"', "q"), r"[.]|\[\]|<>|\{[kv]\}"))
-    places = merged.withColumn("level", level)
+    places = durable(merged.withColumn("level", level))
     inner = None
-    for n in range(depth + 1, 0, -1):
+    for n in range(places.agg(F.max("level")).first()[0] or 1, 0, -1):
         here = places.filter(F.col("level") == n)
         if inner is None:
             here = here.withColumn("parts", F.lit(None).cast("array<struct<place:string,name:string,text:string>>"))

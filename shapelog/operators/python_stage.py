@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -36,14 +37,19 @@ def _rows(batches: Iterable[pa.RecordBatch], columns) -> Iterator[tuple]:
         yield from zip(*(batch.column(c).to_pylist() for c in columns))
 
 
+def parts_of(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def spread(df: DataFrame, *keys) -> DataFrame:
-    """Partition by ``keys`` into as many parts as shuffles have.
+    """Deal rows out by a hash of ``keys`` into as many parts as shuffles have.
 
     Adaptive execution joins small partitions by size; reading a text takes far
-    longer than its size tells, so the number is given, which it respects.
+    longer than its size tells, so the number is given, which it respects.  The
+    exchange has a key of its own: one by ``keys`` would be planned away after a
+    ``distinct`` of the same keys, and with it the number.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, *keys)
+    return df.repartition(parts_of(df), F.xxhash64(*keys, F.lit("spread")))
 
 
 def flat_map_rows(df: DataFrame, columns, function: Callable, schema: str) -> DataFrame:
@@ -112,5 +118,5 @@ def fold_groups(df: DataFrame, keys, order, columns, function: Callable, schema:
     # The grouped map needs its input clustered and sorted by the keys; the
     # longer sort below satisfies that, so no further shuffle or sort is added.
     needed = list(dict.fromkeys([*keys, *order, *columns]))
-    ordered = spread(df.select(*needed), *keys).sortWithinPartitions(*keys, *order)
+    ordered = df.select(*needed).repartition(parts_of(df), *keys).sortWithinPartitions(*keys, *order)
     return ordered.select(*keys, *columns).groupBy(*keys).applyInArrow(run, full)

@@ -7,14 +7,10 @@ from pyspark.sql import functions as F
 
 from shapelog.functions import typetext
 from shapelog.functions.vocabulary import KIND_LABELS
-from shapelog.operators import nodes
 from shapelog.operators.extract import fail_on_error
 from shapelog.operators.python_stage import flat_map_rows, fold_groups, spread
-from shapelog.session import durable
 
 MESSAGE_KIND = ["actor", "message", "kind"]
-# Distinct types of one group above which a single fold takes minutes.
-LARGE_GROUP = 500_000
 _TYPED = "type_state string, type_json string, type_ts string"
 
 
@@ -64,8 +60,9 @@ def union_types(df: DataFrame, keys=MESSAGE_KIND, order=("raw_first_seen",)) ->
     """Union all types of a group in order: ``type_json, type_ts, n_types``.
 
     The union depends on the order (objects join by the names they have by
-    then), so a group is one ordered fold.  It runs over distinct types only,
-    as a stream that keeps nothing but the union.
+    then), so a group is one ordered fold, whatever its size: the JSON form shows
+    the order of members too.  It runs over distinct types only, as a stream from
+    a sorted partition that keeps nothing but the union.
     """
     return fold_groups(
         df, list(keys), list(order), ["type_state"], _fold_types,
@@ -73,39 +70,6 @@ def union_types(df: DataFrame, keys=MESSAGE_KIND, order=("raw_first_seen",)) ->
     )
 
 
-def union_large_types(
-    df: DataFrame, keys=MESSAGE_KIND, order=("raw_first_seen",), parallel_above=LARGE_GROUP
-) -> DataFrame:
-    """``union_types`` that spreads groups of very many distinct types.
-
-    One ordered fold cannot be split.  But where order cannot matter (see
-    ``nodes.order_free``) the set union gives the same type from partial
-    aggregates, so a large group is worked on by all tasks.  Its JSON lists
-    union members in text order.  Large groups where order does matter stay
-    folds, which stream.  ``df`` is read several times; write it before.
-    """
-    keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_types"))
-    large = durable(sizes.filter(F.col("n_types") > parallel_above))
-    if large.isEmpty():
-        return union_types(df, keys, order)
-    states = df.select(*keys, "type_state").join(large, keys, "left_semi")
-    depth = nodes.type_depth(states)
-    merged = nodes.merge_nodes(nodes.type_nodes(states, depth=depth), keys)
-    free = durable(nodes.order_free(merged, keys))
-    texts = durable(
-        nodes.merged_types(merged.join(free, keys, "left_semi"), keys, depth).withColumnRenamed(
-            "type_ts", "text"
-        )
-    )
-    spread = (
-        texts.join(parse_types(texts, "text"), "text")
-        .join(large, keys)
-        .select(*keys, "type_json", "type_ts", "n_types")
-    )
-    return union_types(df.join(free, keys, "left_anti"), keys, order).unionByName(spread)
-
-
 def combine_log(grouped: DataFrame, united: DataFrame) -> DataFrame:
     """What was combined: one row per input of each (actor, message, kind)
     that has several, next to the combined text; ordered as it is listed."""

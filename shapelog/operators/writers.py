@@ -3,7 +3,8 @@
 A document is a table of lines with the keys that put them in order.  Several
 kinds of lines come from the same catalog, so that is written once before.  The
 document is written by many tasks, split also inside a large actor.  The part files, in
-name order, are the document; ``single_file`` streams them through one task.
+name order, are the document.  ``single_file`` is for small catalogs: one task
+sorts and writes all lines.
 """
 
 from __future__ import annotations
@@ -143,11 +144,10 @@ def text_lines(catalog: DataFrame) -> DataFrame:
 
 
 def _write(lines: DataFrame, path: str, single_file: bool) -> None:
-    ordered = lines.select("line")
     if single_file:
-        # Sorted by many tasks, then passed line by line through one writer.
-        ordered = ordered.coalesce(1)
-    ordered.write.mode("overwrite").text(path)
+        # One task sorts the whole document, spilling where it has to, and writes it.
+        lines = lines.repartition(1).sortWithinPartitions(*_ORDER)
+    lines.select("line").write.mode("overwrite").text(path)
 
 
 def write_catalog_json(catalog: DataFrame, path: str, single_file=False) -> None:

@@ -145,7 +145,7 @@ def discover_lines(lines: DataFrame, options: Options | None = None, ranks=None)
         raw_types.join(unions.simplify_types(raw_types, mode=options.mode), "raw_type")
     )
     grouped = durable(dedupe.group_types(uses, typed.filter(F.col("error").isNull())))
-    united = durable(unions.union_large_types(grouped))
+    united = durable(unions.union_types(grouped))
     pivoted = cat.unify_kinds(united)
     found = cat.build_catalog(pivoted, options.mode)
 
@@ -154,9 +154,9 @@ def discover_lines(lines: DataFrame, options: Options | None = None, ranks=None)
         given = options.overrides
         if not isinstance(given, DataFrame):
             given = read_overrides(spark, given)
-        overrides = cat.typed_overrides(given)
-        catalog = cat.apply_overrides(found, overrides)
-        bad_overrides = cat.validate_overrides(found, overrides)
+        overrides = durable(cat.typed_overrides(given))
+        bad_overrides = durable(cat.validate_overrides(found, overrides))
+        catalog = cat.apply_overrides(found, cat.accepted_overrides(overrides, bad_overrides))
         if options.mode == "FAILFAST":
             stop_on_first(bad_overrides)
     catalog = durable(catalog)
@@ -172,7 +172,7 @@ def discover_lines(lines: DataFrame, options: Options | None = None, ranks=None)
         rejected_messages=cat.validate_messages(pivoted),
         rejected_overrides=bad_overrides,
         malformed=counted("malformed", "msg"),
-        failed=extract.failed_types(events),
+        failed=extract.failed_types(events, ranks),
         ignored=routed("ignored").select("actor").distinct(),
         fallbacks=counted("fallback", "fallback"),
         serializer=counted("serializer", "msg"),

@@ -14,16 +14,25 @@ from shapelog.sources.logs import file_ranks
 
 
 def declared_catalog(files: DataFrame):
-    """``(catalog, errors)`` of a table of declaration files."""
+    """``(catalog, errors)`` of a table of declaration files.
+
+    Errors are in the order in which reading file after file meets them: what is
+    wrong inside a file by line, then what is declared in an earlier file too.
+    """
     declared = durable(parse_declarations(files))
-    bad_files = declared.filter(F.col("error").isNotNull()).select("file", "error")
+    place = ["file_rank", "elsewhere", "line"]
+    at = F.expr("try_cast(substring_index(substring(error, length(file) + 2), ':', 1) AS bigint)")
+    bad_files = declared.filter(F.col("error").isNotNull()).select(
+        "file_rank", F.lit(False).alias("elsewhere"), at.alias("line"), "file", "error"
+    )
     good = declared.filter(F.col("error").isNull())
-    twice = duplicate_declarations(good).select("file", "error")
+    twice = duplicate_declarations(good).select(*place, "file", "error")
     catalog = good.withColumn("comment", F.lit("")).select(*CATALOG)
-    return catalog, bad_files.unionByName(twice)
+    errors = bad_files.unionByName(twice).orderBy(*place, "error")
+    return catalog, errors
 
 
-def translate_declarations(spark: SparkSession, paths, out: str, single_file=True) -> DataFrame:
+def translate_declarations(spark: SparkSession, paths, out: str, single_file=False) -> DataFrame:
     """Read, merge and write; any error stops the job before it writes."""
     ranks = file_ranks(spark, paths).withColumnRenamed("file_path", "file")
     unranked = F.concat(F.lit("File is not among the inputs: "), "file")
@@ -31,7 +40,7 @@ def translate_declarations(spark: SparkSession, paths, out: str, single_file=Tru
         "file_rank", F.coalesce("file_rank", F.raise_error(unranked).cast("bigint"))
     )
     catalog, errors = declared_catalog(files)
-    first = errors.orderBy("file", "error").head()
+    first = errors.head()
     if first:
         raise ValueError(first["error"])
     write_catalog_json(catalog, out, single_file)

@@ -159,44 +159,39 @@ def test_always_merging_union_covers_the_ordered_one(spark):
     places = {(r["g"], r["path"]): set(r["tags"]) for r in merged.collect()}
     for r in ordered.collect():
         assert r["tag"] in places[r["g"], r["path"]]
-    depth = nodes.type_depth(typed)
-    texts = {r["g"]: r["type_ts"] for r in nodes.merged_types(merged, ["g"], depth).collect()}
+    texts = {r["g"]: r["type_ts"] for r in nodes.merged_types(merged, ["g"]).collect()}
     by_group = {g: [t for h, _, t in rows if h == g] for g in texts}
     # Where no two unlike objects meet, both unions are the same text.
     same = [g for g, found in by_group.items() if fold(found).count("{") == texts[g].count("{")]
     assert same and all(fold(by_group[g]) == texts[g] for g in same)
 
 
-def test_large_groups_have_the_same_union(spark):
-    """Spread where order cannot matter, folded where it can."""
-    rng = random.Random(5)
-    rows = [(g, i, random_type(rng, depth=2)) for g in range(60) for i in range(3)]
-    core = "{{a: {}; b: Array<{}>; c: null{}}}"
-    scalars = ["number", "string", "never", "boolean | null"]
-    rows += [
-        (g, i, core.format(rng.choice(scalars), rng.choice(scalars), rng.choice(["", "; d: any", "; e?: {x: number}"])))
-        for g in range(60, 90)
-        for i in range(6)
-    ]
-    raw = spark.createDataFrame(rows, "g int, i int, raw_type string")
-    typed = raw.join(unions.simplify_types(raw), "raw_type").cache()
-    plain = unions.union_types(typed, ["g"], ["i"])
-    spread = unions.union_large_types(typed, ["g"], ["i"], parallel_above=1)
-    rows = [sorted((r["g"], r["type_ts"], r["n_types"]) for r in u.collect()) for u in (plain, spread)]
-    assert rows[0] == rows[1]
-    merged = nodes.merge_nodes(nodes.type_nodes(typed.select("g", "type_state")), ["g"])
-    free = {r["g"] for r in nodes.order_free(merged, ["g"]).collect()}
-    assert set(range(60, 90)) <= free and len(free) < 90
+def test_too_small_depth_fails(spark):
+    raw = spark.createDataFrame([("{a: {b: {c: number}}}",), ("Array<Set<string>>",)], "raw_type string")
+    typed = unions.parse_types(raw).select("raw_type", "type_state")
+    whole = nodes.type_nodes(typed)
+    assert whole.filter("path = '$.a.b.c'").count() == 1
+    assert sorted(map(str, nodes.type_nodes(typed, depth=4).collect())) == sorted(map(str, whole.collect()))
+    with pytest.raises(Exception, match="Nested deeper"):
+        nodes.type_nodes(typed, depth=1).collect()
+
+
+def test_parsing_is_spread(spark):
+    """The distinct texts are dealt out to as many tasks as shuffles have parts."""
+    raw = spark.range(2000).selectExpr("concat('{a', id, ': number}') AS raw_type")
+    plan = unions.parse_types(raw)
+    assert plan.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert plan.filter("error IS NULL").count() == 2000
 
 
 LITERALS = [
-    "Infinity", "{re:/blah \" blah\\(\\/ whatever/}", "{'blah':true}", '"str\\"in\\"g"', "-0.84",
-    "(void 0)", "({ position : [], foo : [1,2,] , bar: [2,3] })", "null", "{}", "[]", "-100",
-    "{ position : [{id:1234567890, pos:0}, 12, 13, 'a', 'b', false] }", "({d:(new Date(5, 6))})",
-    "{new: 1}", "{1: 2, 3: 4}", '{"k": 69, "k2": 70, 5: 6}', '{"x 0 , 0": [0,0], "": ""}',
-    "[void 0, 0, 0, 0]", "[0, void 0]", "{a: -1.5E10}", '{"a": "\'", "b": \'"\'}', "[1, [2, 3], 'x']",
-    "new Foo(1)", "- 5", "5-3", "[1 2]", "[,]", "{a:1,}", "{a:1, a:2}", "1e5", "'open", "\u0001", "a",
-    "{true: 1}", '"a" "b"', "//", "[/a/, /b/]",
+    "NaN", "{pattern:/a\\/b \" c/}", "{'on':false}", '"say \\"hi\\""', "-3.25", "(void 0)",
+    "({ names : [], sizes : [4,] , tags: [7,8] })", "null", "{}", "[]", "-12",
+    "{ rows : [{key:99, at:1}, 5, 'p', true] }", "({since:(new Date(8))})",
+    "{new: 4}", "{10: 1, 11: 2}", '{"k": 69, "k2": 70, 5: 6}', '{"a 1 , 2": [3], "": ""}',
+    "[void 0, 1]", "[1, void 0]", "{t: -2.5E3}", '{"q": "\'", "r": \'"\'}', "[3, [4], 'z']",
+    "new Foo(1)", "- 7", "8-2", "[4 5]", "[,]", "{p:1,}", "{p:1, p:2}", "1e5", "'never closed", "\u0001", "b",
+    "{false: 0}", '"p" "q"', "//", "[/x/, /y/]",
 ]
 
 

@@ -297,7 +297,63 @@ _ORDER_NODES = f"""
         REPLACE (CASE WHEN c_two THEN 'number' ELSE c_one END AS c_one) FROM typed),
     nodes AS ({_NODES})"""
 
+# Shapes that overlap: two that share more than half of the larger one's names join.
+_ABC, _BCD, _CDE, _ABCD, _BCDE = (
+    [(n, n in optional) for n in names]
+    for names, optional in (("abc", ""), ("bcd", ""), ("cde", ""), ("abcd", "ad"), ("bcde", "be"))
+)
+
+
+def _shape_text(shape):
+    return "{" + "; ".join(f"{n}{'?' * o}: number" for n, o in shape) + "}"
+
+
+def _shape_json(shape):
+    return '["object", ' + ", ".join(f'["{n}", "number"{", true" * o}]' for n, o in shape) + "]"
+
+
+def _in_order(shown, joined):
+    """What the fold gives, by the statuses in order of their first orders."""
+    both = {
+        "F": [_ABC], "O": [_BCD], "P": [_CDE], "FO": [_ABCD], "OF": [_ABCD], "OP": [_BCDE], "PO": [_BCDE],
+        "FP": [_ABC, _CDE], "PF": [_CDE, _ABC], "FOP": [_ABCD, _CDE], "OFP": [_ABCD, _CDE],
+        "OPF": [_BCDE, _ABC], "POF": [_BCDE, _ABC], "FPO": [_CDE, _ABCD], "PFO": [_ABC, _BCDE],
+    }
+    cases = "".join(f" WHEN '{order}' THEN '{joined(list(map(shown, shapes)))}'" for order, shapes in both.items())
+    return f"CASE statuses{cases} END"
+
+
+_UNION_IN_ORDER = f"""
+    WITH firsts AS (
+      SELECT o_custkey, o_orderstatus, min(o_orderkey) AS k FROM orders GROUP BY o_custkey, o_orderstatus),
+    ordered AS (
+      SELECT o_custkey, string_agg(o_orderstatus, '' ORDER BY k) AS statuses, count(*) AS n_types
+      FROM firsts GROUP BY o_custkey)
+    SELECT 'c' || CAST(o_custkey AS VARCHAR) AS actor, n_types,
+      {_in_order(_shape_json, lambda t: t[0] if len(t) == 1 else '["union", ' + ", ".join(t) + "]")} AS type_json,
+      {_in_order(_shape_text, lambda t: " | ".join(sorted(t)))} AS type_ts
+    FROM ordered"""
+
+
+def _deep_text():
+    """From the innermost level outwards: an array if any type goes deeper, an object if one ends here."""
+    text = "'{v: number}'"
+    for depth in range(7, 4, -1):
+        text = f"""CASE WHEN deepest > {depth} THEN 'Array<' || {text} || '>' ELSE '' END
+          || CASE WHEN deepest > {depth} AND list_contains(depths, {depth}) THEN ' | ' ELSE '' END
+          || CASE WHEN list_contains(depths, {depth}) THEN '{{v: number}}' ELSE '' END"""
+    return f"repeat('Array<', 5) || {text} || repeat('>', 5)"
+
+
+_DEEP = f"""
+    WITH found AS (
+      SELECT l_suppkey, list(DISTINCT l_linenumber % 4 + 5) AS depths, max(l_linenumber % 4 + 5) AS deepest
+      FROM lineitem GROUP BY l_suppkey)
+    SELECT 'm' || CAST(l_suppkey AS VARCHAR) AS actor, {_deep_text()} AS type_ts FROM found"""
+
 ORACLES = {
+    "t3_union_in_order": _UNION_IN_ORDER,
+    "t13_merged_deep_types": _DEEP,
     "s1_read_logs": f"SELECT line, count(*) AS n FROM ({tables.EVENT_LINES}) l GROUP BY line",
     "s2_stream_logs": f"WITH {_events(tables.EVENT_LINES)} "
     "SELECT module, msg, count(*) AS n FROM records GROUP BY ALL",
@@ -417,13 +473,25 @@ ORACLES = {
     "c2_validate_messages": f"{_CUSTOMERS} SELECT actor, message, error FROM checked WHERE error IS NOT NULL",
     "c3_build_catalog": f"{_ORDER_CATALOG} SELECT * FROM catalog",
     "c4_apply_overrides": _OVERRIDDEN,
-    "c5_validate_overrides": f"""{_ORDER_CATALOG},
-        bad(actor, message, arity, comment, error_start) AS (VALUES
-          ('OrderF', 'P:1', 2, 'c4', 'type '), ('OrderF', 'P:2', 1, '', 'overr'),
-          ('OrderF', 'P:5', 2, 'c5', 'Expec'))
-        SELECT bad.actor, bad.message, error_start FROM bad
-        JOIN catalog ON catalog.actor = bad.actor AND catalog.message = bad.message
-        UNION ALL SELECT 'OrderP', NULL, 'Non-t'""",
+    "c4_apply_accepted_overrides": f"""{_CUSTOMERS}
+        SELECT actor, message, arity,
+          CASE WHEN actor = 'C0' AND message = 'E:FURNITURE' THEN 'any' ELSE slot0 END AS slot0, slot1,
+          CASE WHEN actor = 'C0' AND message = 'E:FURNITURE' THEN 'good' ELSE '' END AS comment
+        FROM catalog""",
+    "c5_validate_overrides": f"""{_CUSTOMERS}
+        SELECT actor, message, 'type [' || json0 || '] and override ["any", "never"] must have the same length' AS error
+        FROM catalog WHERE actor = 'C0' AND message = 'E:AUTOMOBILE'
+        UNION ALL SELECT actor, message, 'override type ["any"] must have a comment'
+        FROM catalog WHERE actor = 'C0' AND message = 'E:BUILDING'
+        UNION ALL SELECT actor, message, 'Expected a type in query override'
+        FROM catalog WHERE actor = 'C4' AND message = 'E:AUTOMOBILE'
+        UNION ALL SELECT * FROM (VALUES
+          ('C5', NULL, 'Non-testOnly single actor override types need a comment'),
+          ('B-2', 'M', 'Actor name "B-2" should be a valid identifier'),
+          ('C0', '3 x', 'Message name "3 x" should be a valid identifier (it can also contain "-" or ":" after the first character)'),
+          ('C10', 'E:BUILDING', 'Multiple declarations of message E:BUILDING for actor C10.'),
+          ('C15', NULL, 'Multiple declarations of actor C15.'),
+          ('C15', 'E:BUILDING', 'Multiple declarations of actor C15.'))""",
     "c6_parse_declarations": f"""{_DECLARED}
         SELECT file, actor, message, actor_line, line, arity, slot0, slot1, CAST(NULL AS VARCHAR) AS error
         FROM declared

@@ -316,11 +316,18 @@ def t3_union_types(spark, folder):
 
 @query
 def t3_union_large_types(spark, folder):
-    """Groups of more than 20 types as if they were too large for one fold."""
-    grouped = durable(grouped_of(order_lines(spark, folder)))
-    return unions.union_large_types(grouped, parallel_above=20).select(
-        "actor", "message", "kind", "type_ts", "n_types"
-    )
+    """The same groups without their reports' order: large ones are folded like all others."""
+    grouped = durable(grouped_of(order_lines(spark, folder)).repartition("actor"))
+    return unions.union_types(grouped).select("actor", "message", "kind", "type_ts", "n_types")
+
+
+@query
+def t3_union_in_order(spark, folder):
+    """Three overlapping shapes, of which the first two to come decide the union."""
+    raw = table(spark, folder, tables.OVERLAPPING_TYPES)
+    typed = raw.join(unions.parse_types(raw), "raw_type")
+    united = unions.union_types(typed, keys=["actor"], order=["first_seen"])
+    return united.select("actor", "type_json", "type_ts", "n_types")
 
 
 @query
@@ -383,7 +390,15 @@ def t13_merge_nodes(spark, folder):
 
 @query
 def t13_merged_types(spark, folder):
-    return nodes.merged_types(merged_orders(spark, folder), unions.MESSAGE_KIND, depth=6)
+    return nodes.merged_types(merged_orders(spark, folder), unions.MESSAGE_KIND)
+
+
+@query
+def t13_merged_deep_types(spark, folder):
+    """Arrays nested up to 8 deep, as deep as each part's size tells."""
+    raw = table(spark, folder, tables.DEEP_TYPES)
+    typed = raw.join(unions.parse_types(raw), "raw_type").select("actor", "type_state")
+    return nodes.merged_types(nodes.merge_nodes(nodes.type_nodes(typed), ["actor"]), ["actor"])
 
 
 # --- catalog ----------------------------------------------------------------
@@ -413,11 +428,19 @@ GOOD_OVERRIDES = [
     ("OrderO", None, 1, "testOnly", None, ""),
     ("newActor", "X", 1, "undefined", None, "c3"),
 ]
+# Of these only the first may be applied.
 BAD_OVERRIDES = [
-    ("OrderF", "P:1", 2, "any", None, "c4"),
-    ("OrderF", "P:2", 1, "any", None, ""),
-    ("OrderF", "P:5", 2, None, None, "c5"),
-    ("OrderP", None, 1, "any", None, ""),
+    ("C0", "E:FURNITURE", 1, "any", None, "good"),
+    ("C0", "E:AUTOMOBILE", 2, "any", None, "c1"),
+    ("C0", "E:BUILDING", 1, "any", None, ""),
+    ("C4", "E:AUTOMOBILE", 2, None, None, "c2"),
+    ("C5", None, 1, "any", None, ""),
+    ("B-2", "M", 1, "any", None, "c3"),
+    ("C0", "3 x", 1, "any", None, "c4"),
+    ("C10", "E:BUILDING", 1, "any", None, "c5"),
+    ("C10", "E:BUILDING", 1, "string", None, "c6"),
+    ("C15", None, 1, "any", None, "c7"),
+    ("C15", "E:BUILDING", 1, "any", None, "c8"),
 ]
 
 
@@ -427,12 +450,22 @@ def c4_apply_overrides(spark, folder):
     return cat.apply_overrides(order_catalog(spark, folder), laid).select(*SLOTS, "comment")
 
 
+def bad_overrides(spark, folder):
+    found = durable(customer_catalog(spark, folder))
+    laid = cat.typed_overrides(overrides.read_overrides(spark, BAD_OVERRIDES))
+    return found, laid, cat.validate_overrides(found, laid)
+
+
+@query
+def c4_apply_accepted_overrides(spark, folder):
+    """What is rejected is not applied."""
+    found, laid, bad = bad_overrides(spark, folder)
+    return cat.apply_overrides(found, cat.accepted_overrides(laid, bad)).select(*SLOTS, "comment")
+
+
 @query
 def c5_validate_overrides(spark, folder):
-    laid = cat.typed_overrides(overrides.read_overrides(spark, GOOD_OVERRIDES + BAD_OVERRIDES))
-    bad = cat.validate_overrides(order_catalog(spark, folder), laid)
-    # The text of the arity error holds the discovered types; its start names the rule.
-    return bad.select("actor", "message", F.substring("error", 1, 5).alias("error_start"))
+    return bad_overrides(spark, folder)[2]
 
 
 @query
@@ -445,7 +478,7 @@ def c6_parse_declarations(spark, folder):
 @query
 def c7_merge_catalogs(spark, folder):
     _, errors = translate.declared_catalog(table(spark, folder, tables.DECLARED_FILES))
-    return errors
+    return errors.select("file", "error")
 
 
 @query

@@ -3,7 +3,7 @@
 Every table grows with the table it comes from; texts are used whole.
 """
 
-TABLES = ["customer", "documents", "conversations", "events", "orders", "supplier", "part"]
+TABLES = ["customer", "documents", "conversations", "events", "orders", "supplier", "part", "lineitem"]
 
 # Whole documents and turns, as noise every extraction has to drop.
 _NOISE = """
@@ -157,3 +157,18 @@ DECLARED_FILES = """
       || '  },' || chr(10) || '  W' || CAST(s_suppkey AS VARCHAR(20)) || ': testOnly' || chr(10) || '};'
       || chr(10) AS text
     FROM supplier"""
+
+# Each customer's first orders, by status, are the first appearances of three shapes.
+OVERLAPPING_TYPES = """
+    SELECT 'c' || CAST(o_custkey AS VARCHAR(20)) AS actor, min(o_orderkey) AS first_seen,
+      CASE o_orderstatus WHEN 'F' THEN '{a: number; b: number; c: number}'
+        WHEN 'O' THEN '{b: number; c: number; d: number}'
+        ELSE '{c: number; d: number; e: number}' END AS raw_type
+    FROM orders GROUP BY o_custkey, o_orderstatus"""
+
+# A type as deep as the part is large, per maker; all of one maker are merged.
+DEEP_TYPES = """
+    SELECT DISTINCT 'm' || CAST(l_suppkey AS VARCHAR(20)) AS actor,
+      repeat('Array<', CAST(l_linenumber % 4 + 5 AS INT)) || '{v: number}'
+        || repeat('>', CAST(l_linenumber % 4 + 5 AS INT)) AS raw_type
+    FROM lineitem"""
