@@ -1,9 +1,10 @@
 """Types as rows, and the union that needs no order.
 
 A node table has one row per type at a place: ``path, parent_path, tag, name,
-optional, pos``.  Places: ``$`` the type itself, then ``.name`` for a property,
+optional, pos, at, parent_at``.  Places: ``$`` the type itself, then ``.name`` for a property,
 ``[]`` for array and ``<>`` for set elements, ``{k}`` and ``{v}`` for map keys
-and values.  Members of a union are rows at one place, numbered by ``pos``.
+and values.  Members of a union are rows at one place, numbered by ``pos``; ``at`` lists the
+numbers from the root down, so that a row knows which of several parents is its own.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from shapelog.session import durable
 
 # Tags of types that have others inside.
 _OPENED = ["object", "array", "set", "map"]
-_NODE = ["path", "parent_path", "tag", "name", "optional", "pos"]
+_NODE = ["path", "parent_path", "tag", "name", "optional", "pos", "at", "parent_at"]
 
-# A place is struct<path, parent, name, optional, v>; v holds the type there.
+# A place is struct<path, parent, name, optional, above, v>; v holds the type there.
 _PLACE = (
     "named_struct('path', {path}, 'parent', {parent}, 'name', {name},"
-    " 'optional', {optional}, 'v', {v})"
+    " 'optional', {optional}, 'above', {above}, 'v', {v})"
 )
 # A name as types print it: bare, as an integer, or quoted.
 _TEXT_NAME = "variant_get(label, '$', 'string')"
@@ -35,14 +36,14 @@ _NAME = rf"""
 def _part(suffix, v):
     return _PLACE.format(
         path=f"concat(path, '{suffix}')", parent="path", name="CAST(NULL AS string)",
-        optional="false", v=v,
+        optional="false", above="at", v=v,
     )
 
 
 def _property():
     return _PLACE.format(
         path=f"concat(path, '.', {_NAME})", parent="path", name=_NAME,
-        optional="CAST(items[3 * i + 3] AS boolean)", v="items[3 * i + 2]",
+        optional="CAST(items[3 * i + 3] AS boolean)", above="at", v="items[3 * i + 2]",
     )
 
 
@@ -67,6 +68,7 @@ _MEMBERS = """
         'tag', coalesce(try_variant_get(member, '$[0]', 'string'),
                         try_variant_get(member, '$', 'string')),
         'name', place.name, 'optional', place.optional, 'pos', i,
+        'at', concat_ws('.', place.above, i), 'parent_at', place.above,
         'items', try_variant_get(member, '$', 'array<variant>')))))"""
 
 
@@ -97,12 +99,12 @@ def type_nodes(types: DataFrame, col="type_state", depth=None) -> DataFrame:
     others = [c for c in types.columns if c != col]
     root = _PLACE.format(
         path="'$'", parent="CAST(NULL AS string)", name="CAST(NULL AS string)",
-        optional="false", v=f"parse_json({col})",
+        optional="false", above="CAST(NULL AS string)", v=f"parse_json({col})",
     )
     rows = types.filter(F.col(col).isNotNull()).select(*others, F.expr(f"array({root})").alias("places"))
     rows = rows.select(*others, F.inline(F.expr(_MEMBERS)))
     # Only what has parts can be opened; it loses them when it is.
-    itself = """array(struct(path, parent_path, tag, name, optional, pos,
+    itself = """array(struct(path, parent_path, tag, name, optional, pos, at, parent_at,
                              CAST(NULL AS array<variant>) AS items))"""
     for _ in range(depth):
         rows = rows.withColumn("places", F.expr(f"CASE WHEN items IS NOT NULL THEN {_INSIDE} END"))

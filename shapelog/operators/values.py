@@ -62,14 +62,16 @@ def _value_json(payload):
 def parse_payloads(df: DataFrame, col="contents", mode="PERMISSIVE") -> DataFrame:
     """Add ``value`` (JSON text) and ``error`` for a column of JS literals.
 
-    JSON is recognised on the JVM and its rows only pass the Python stage,
-    which reads each other payload of a batch once.  Rows stay where they are:
-    nothing is shuffled.
+    JSON is recognised on the JVM and its rows never leave it; Python reads each
+    other payload of a batch once.  Rows stay where they are: nothing is shuffled.
     """
     # A number with an exponent but no fraction is JSON and no literal.
     is_json = F.try_parse_json(col).isNotNull() & ~F.col(col).rlike(r"\d[eE]")
-    marked = df.withColumn("value", F.when(is_json, F.col(col)))
-    parsed = fill_columns(marked, col, "value", _value_json, "error string")
+    settled = F.coalesce(is_json, F.col(col).isNull(), F.lit(False)) | F.col(col).isNull()
+    none = F.lit(None).cast("string")
+    plain = df.filter(settled).withColumns({"value": F.col(col), "error": none})
+    others = df.filter(~settled).withColumn("value", none)
+    parsed = plain.unionByName(fill_columns(others, col, "value", _value_json, "error string"))
     return fail_on_error(parsed, mode)
 
 
@@ -122,15 +124,15 @@ def detect_map_objects(distinct: DataFrame, depth=None) -> DataFrame:
     of_type = [*MESSAGE, "type_key"]
     nodes = type_nodes(distinct.select(*of_type, "node_state"), "node_state", depth)
     objects = nodes.filter(F.col("tag").isin("object", "map")).select(
-        *of_type, "path", "pos", (F.col("tag") == "map").alias("is_map")
+        *of_type, "path", "pos", "at", (F.col("tag") == "map").alias("is_map")
     )
     for part, name in (("{k}", "key_type"), ("{v}", "value_type")):
         inner = nodes.filter(F.col("path").endswith(part) & (F.col("pos") == 0)).select(
-            *of_type, F.col("parent_path").alias("path"), F.col("tag").alias(name)
+            *of_type, F.col("parent_path").alias("path"), F.col("parent_at").alias("at"), F.col("tag").alias(name)
         )
-        objects = objects.join(inner.distinct(), [*of_type, "path"], "left")
+        objects = objects.join(inner, [*of_type, "path", "at"], "left")
     whens = {n: F.when(F.col("is_map"), F.col(n)) for n in ("key_type", "value_type")}
-    return objects.withColumns(whens).distinct()
+    return objects.withColumns(whens).drop("at").distinct()
 
 
 def distinct_value_types(typed: DataFrame) -> DataFrame:

@@ -16,16 +16,17 @@ def infer_schemas(
 ) -> DataFrame:
     """The report of value types per message; ``strict`` unions nothing.
 
-    The log is read once, into distinct payload skeletons; FAILFAST stops at a
-    payload that is no literal, as soon as a distinct one is found.
+    The log is read once, into distinct payload skeletons; FAILFAST stops at the
+    first payload that is no literal, with the reason.  With PERMISSIVE such
+    payloads are left out; ``rejected_values`` lists them.
     """
     events = exclude_rules(extract_value_events(lines), exclusions)
     payloads = durable(values.distinct_payloads(events, ranks))
     typed = durable(values.infer_value_types(payloads))
     if mode == "FAILFAST":
-        bad = typed.filter(F.col("type_key").isNull()).orderBy("first_seen").head()
-        if bad:
-            raise ValueError(f"{bad['actor']} {bad['message']}: no literal: {bad['skeleton']}")
+        if not typed.filter(F.col("type_key").isNull()).isEmpty():
+            bad = rejected_values(lines, exclusions, ranks).head()
+            raise ValueError(f"{bad['actor']} {bad['message']}: {bad['error']}")
     good = typed.filter(F.col("type_key").isNotNull())
     types = values.distinct_value_types(good)
     if not strict:
@@ -33,6 +34,16 @@ def infer_schemas(
     return values.value_type_report(types, good)
 
 
+def rejected_values(lines: DataFrame, exclusions=tuple(VALUE_EXCLUSIONS), ranks=None) -> DataFrame:
+    """Payloads that are no literal, in log order: actor, message, contents, error and place."""
+    events = exclude_rules(extract_value_events(lines), exclusions)
+    bad = values.rejected_payloads(events)
+    place = ["file_path", "block_start", "mid"]
+    if ranks is not None:
+        bad, place = bad.join(ranks, "file_path", "left"), ["file_rank", *place]
+    return bad.orderBy(*place).select("actor", "message", "contents", "error", "file_path", "block_start", "mid")
+
+
 def report_lines(report: DataFrame) -> DataFrame:
     """The printed listing of ``infer_schemas``, in order (column ``line``)."""
     one = F.col("n_types") == 1

@@ -224,6 +224,29 @@ def test_payloads(spark):
         values.parse_payloads(df, mode="FAILFAST").collect()
 
 
+def test_values_keep_all_labels():
+    shown = lambda text: literals.literal_json(literals.read_literal(text))
+    assert shown("{1: 'a', \"1\": 'b'}") == '{"$type": "object", "entries": [[1, "a"], ["1", "b"]]}'
+    assert shown("{'$type': 3}") == '{"$type": "object", "entries": [["$type", 3]]}'
+
+
+def test_maps_in_one_array_keep_their_own_types(spark, lines):
+    log = ["QQQ ACTOR A MESSAGE M CONTENTS [{'x': 1}, {1: true}]"]
+    from shapelog.operators.extract import extract_value_events
+
+    payloads = values.distinct_payloads(extract_value_events(lines(log)))
+    found = values.detect_map_objects(values.distinct_value_types(values.infer_value_types(payloads)))
+    assert sorted((r["key_type"], r["value_type"]) for r in found.collect()) == [("number", "bool"), ("string", "number")]
+
+
+def test_rejected_values_are_listed(spark, lines):
+    from shapelog.plans.infer import rejected_values
+
+    log = ["QQQ ACTOR A MESSAGE M CONTENTS new Foo(0 , 'b')", "QQQ ACTOR A MESSAGE M CONTENTS {}"]
+    (bad,) = rejected_values(lines(log)).collect()
+    assert bad["contents"] == "new Foo(0 , 'b')" and "new Foo(0 , 'b')" in bad["error"] and bad["mid"] == 0
+
+
 UNITED = [
     (["1", "2", "true"], ["bool | number"]),
     (["1", "{x: 1}", "{x: 2}"], ["number | {x: number}"]),
@@ -257,7 +280,7 @@ def test_value_report(spark, lines):
     ][-7:]
     strict = infer_schemas(lines(log), strict=True)
     assert strict.filter("actor = 'A0'").count() == 2
-    with pytest.raises(ValueError, match="no literal"):
+    with pytest.raises(ValueError, match="while parsing"):
         infer_schemas(lines(["QQQ ACTOR A MESSAGE M CONTENTS oops"]))
 
 
