@@ -574,6 +574,12 @@ ORACLES = {
     "x2_stream_reports": f"WITH {_events(tables.EVENT_LINES)} "
     "SELECT substr(msg, 28) AS fallback, count(*) AS events FROM records "
     "WHERE module = 'JSIPCSerializer' AND msg LIKE 'UntypedFromJSVal fallback: _%' GROUP BY ALL",
+    "x2_stream_serializer": f"WITH {_events(tables.EVENT_LINES)} "
+    "SELECT msg, count(*) AS events FROM records WHERE module = 'JSIPCSerializer' "
+    "AND msg NOT LIKE 'UntypedFromJSVal fallback: _%' GROUP BY ALL",
+    "x2_stream_others": f"WITH {_events(tables.EVENT_LINES)} "
+    "SELECT module || ': ' || msg AS text, count(*) AS events FROM records "
+    "WHERE module NOT IN ('JSIPCTypeSend', 'JSIPCSerializer') GROUP BY ALL",
     "x3_stream_catalog": f"WITH {_events(tables.EVENT_LINES)} "
     "SELECT actor, message, CASE WHEN min(kind) = 0 THEN 1 ELSE 2 END AS arity FROM uses GROUP BY actor, message",
 }

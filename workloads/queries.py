@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from shapelog.operators import dedupe, extract, nodes, reports, unions, values,
 from shapelog.operators.declare import parse_declarations
 from shapelog.plans import discover as disc
 from shapelog.plans import failures, infer, translate
-from shapelog.session import durable
+from shapelog.session import checkpoint_folder, durable
 from shapelog.sources import declarations, logs, overrides
 from shapelog.streaming import catalog as live
 from shapelog.streaming import streams
@@ -90,8 +89,7 @@ def payload_types(spark, folder):
 
 def scratch(spark, name):
     """A new folder where the cluster keeps its checkpoints."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return os.path.join(base or tempfile.mkdtemp(prefix="shapelog-"), f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(checkpoint_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 def line_no(df):
@@ -621,10 +619,10 @@ def x1_stream_type_uses(spark, folder):
     return spark.read.parquet(out)
 
 
-@query
-def x2_stream_reports(spark, folder):
+def running_report(spark, folder, name):
+    """A running report, kept up by a stream to its end."""
     out = scratch(spark, "x2")
-    found = streams.stream_reports(line_stream(spark, folder))["fallbacks"]
+    found = streams.stream_reports(line_stream(spark, folder))[name]
 
     def keep(batch, number):
         batch.write.mode("overwrite").parquet(f"{out}/{number % 2}")
@@ -642,6 +640,21 @@ def x2_stream_reports(spark, folder):
     return spark.read.parquet(latest["path"])
 
 
+@query
+def x2_stream_reports(spark, folder):
+    return running_report(spark, folder, "fallbacks")
+
+
+@query
+def x2_stream_serializer(spark, folder):
+    return running_report(spark, folder, "serializer")
+
+
+@query
+def x2_stream_others(spark, folder):
+    return running_report(spark, folder, "others")
+
+
 @query
 def x3_stream_catalog(spark, folder):
     store = scratch(spark, "x3")
