@@ -474,10 +474,9 @@ ORACLES = {
     "c3_build_catalog": f"{_ORDER_CATALOG} SELECT * FROM catalog",
     "c4_apply_overrides": _OVERRIDDEN,
     "c4_apply_accepted_overrides": f"""{_CUSTOMERS}
-        SELECT actor, message, arity,
-          CASE WHEN actor = 'C0' AND message = 'E:FURNITURE' THEN 'any' ELSE slot0 END AS slot0, slot1,
-          CASE WHEN actor = 'C0' AND message = 'E:FURNITURE' THEN 'good' ELSE '' END AS comment
-        FROM catalog""",
+        SELECT actor, message, arity, slot0, slot1, '' AS comment
+        FROM catalog WHERE NOT (actor = 'C0' AND message = 'E:FURNITURE')
+        UNION ALL SELECT 'C0', 'E:FURNITURE', 1, 'any', NULL, 'good'""",
     "c5_validate_overrides": f"""{_CUSTOMERS}
         SELECT actor, message, 'type [' || json0 || '] and override ["any", "never"] must have the same length' AS error
         FROM catalog WHERE actor = 'C0' AND message = 'E:AUTOMOBILE'
