@@ -15,8 +15,9 @@ at the level before:
 3. the windows of the cells that are still open.
 
 Strings are compared by two independent 64-bit hashes. Positions that share a key are
-sorted together in one task, which streams; a key with many positions is counted by
-partial aggregates and joined back instead.
+sorted together in one task, which streams. What a task sees twice itself is settled
+there: one position goes to the others of its key, the rest is dealt out at random. A
+key with many positions even so is counted by partial aggregates and joined back.
 """
 
 from __future__ import annotations
@@ -39,8 +40,9 @@ WINDOW, CELL, HELD = 200, 16, 50_000
 SHARED = 41
 
 # A position: key, full key, whether known to repeat, document, phrase, first window, windows.
-_POSITION = "k long, o long, known boolean, d1 long, d2 int, p long, a long, n int"
-_STATED = _POSITION + ", state int"
+_PLACE = "k long, o long, known boolean, d1 long, d2 int, p long, a long, n int"
+_POSITION = _PLACE + ", settled boolean"
+_STATED = _PLACE + ", state int"
 _TYPES = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 _NAMES = ["k", "o", "known", "d1", "d2", "p", "a", "n", "state"]
 #: States: repeated; to be looked at on the next level; repeated and to be compared with there; not sorted out.
@@ -59,6 +61,23 @@ def _table(columns, types, names):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
+def _combined(rows):
+    """Positions as a batch; those whose full key is in it twice are settled, and one of them stands for all."""
+    columns = [np.array(c, t.to_pandas_dtype()) for c, t in zip(zip(*rows), _TYPES)]
+    order = np.lexsort((columns[1], columns[0]))
+    k, o = columns[0][order], columns[1][order]
+    new = np.concatenate(([True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])))
+    run = np.cumsum(new) - 1
+    twice = np.bincount(run)[run] >= 2
+    columns = [c[order] for c in columns]
+    first = twice & new
+    out = [np.concatenate((c, c[first])) for c in columns]
+    out[2] = np.concatenate((columns[2], np.ones(first.sum(), bool)))
+    # A position known to repeat needs no mark, so it is left to its key.
+    settled = np.concatenate((twice & ~columns[2], np.zeros(first.sum(), bool)))
+    return _table([*out, settled], [*_TYPES[:8], pa.bool_()], [*_NAMES[:8], "settled"])
+
+
 def _documents(docs: DataFrame) -> DataFrame:
     """doc_id, text and two digests that name a content; equal contents are one."""
     text = whole().cast("string")
@@ -81,10 +100,10 @@ def _phrases(window):
                         (_hash(data[t : t + SHARED]), _hash(data[a : b + window], t - a + 1), False, d1, d2, a, a, b - a + 1)
                     )
                 if len(rows) > 50_000:
-                    yield _table(zip(*rows), _TYPES, _NAMES[:8])
+                    yield _combined(rows)
                     rows = []
             if rows:
-                yield _table(zip(*rows), _TYPES, _NAMES[:8])
+                yield _combined(rows)
 
     return run
 
@@ -118,7 +137,11 @@ def _class_rows(limit):
     def run(batches_in):
         rest, many = None, None
         for batch in batches_in:
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
+            done = now.pop().astype(bool)
+            if done.any():
+                yield _table([c[done] for c in now] + [np.full(done.sum(), REPEATED, np.int32)], _TYPES, _NAMES)
+                now = [c[~done] for c in now]
             if not len(now[0]):
                 continue
             if many is not None:
@@ -146,7 +169,8 @@ def _class_rows(limit):
 
 def classes(positions: DataFrame, name: str, limit: int = HELD) -> DataFrame:
     """Positions with their state; those that repeat nowhere are left out."""
-    sorted_ = positions.repartition("k").sortWithinPartitions("k", "o", "d1", "d2", "a")
+    dealt = F.when(F.col("settled"), F.xxhash64("d1", "a")).otherwise(F.xxhash64("k"))
+    sorted_ = positions.repartition(dealt).sortWithinPartitions("k", "o", "d1", "d2", "a")
     found = stored(sorted_.mapInArrow(_class_rows(limit), _STATED), name)
     _sweep(found)
     many = found.where(f"state = {MANY}").drop("state")
@@ -189,10 +213,10 @@ def _cells(window, size):
                     seed = (c << 12) + ((a - low) << 6) + (high - b)
                     rows.append((_hash(inner, c + 7), _hash(outer, seed + (1 << 40)), known, d1, d2, p, p + a, b - a + 1))
                 if len(rows) > 50_000:
-                    yield _table(zip(*rows), _TYPES, _NAMES[:8])
+                    yield _combined(rows)
                     rows = []
             if rows:
-                yield _table(zip(*rows), _TYPES, _NAMES[:8])
+                yield _combined(rows)
 
     return run
 
@@ -207,10 +231,10 @@ def _windows(window):
                         part = data[a - p : a - p + window]
                         rows.append((_hash(part, 3), _hash(part, 4), cell["known"], d1, d2, p, a, 1))
                 if len(rows) > 50_000:
-                    yield _table(zip(*rows), _TYPES, _NAMES[:8])
+                    yield _combined(rows)
                     rows = []
             if rows:
-                yield _table(zip(*rows), _TYPES, _NAMES[:8])
+                yield _combined(rows)
 
     return run
 
