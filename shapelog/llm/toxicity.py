@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapelog.llm.common import ship, whole
+from shapelog.llm.common import ship, stored, whole
 from shapelog.llm.sample import labelled
 
 #: Labelled rows that are learned from, characters of the longest of these, and the
@@ -92,30 +92,55 @@ def fit(docs: DataFrame, labels: DataFrame, use=None) -> Model:
     """Learn from labels of whole texts whose doc_id meets ``use`` (a column; all by default).
 
     A text's label is explained by the noisy-or of its sentences: it is toxic if any
-    is. At most ``ROWS`` rows drawn by hash, of at most ``LONGEST`` characters, are
-    split on the executors. Features are the words and beginnings of words that are
-    in surplus in toxic texts; their weights are never negative. With one label only,
-    every text is scored alike.
+    is. At most ``ROWS`` rows are drawn by hash, of at most ``LONGEST`` characters.
+    Features are the words and beginnings of words that are in surplus in toxic texts;
+    their weights are never negative. Features are counted and chosen on the executors;
+    the driver gets, for each text, which chosen features its sentences have. With one
+    label only, every text is scored alike.
     """
     use = F.lit(True) if use is None else use
+    ship(docs.sparkSession)
     rows = labelled(docs, labels, "toxic", use, ROWS, False).where(F.length(whole()) <= LONGEST)
+    rows = stored(rows.select("doc_id", whole().alias("text"), "label"), "labelled")
+    of = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
 
-    def split(batches_in):
+    def occur(batches_in):
+        for batch in batches_in:
+            for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
+                own = sorted({f for w in set(words(text.as_py())) for f in features(w)})
+                both = [pa.array(own, pa.string()), pa.array([label] * len(own), pa.int32())]
+                yield pa.RecordBatch.from_arrays(both, names=["feature", "label"])
+
+    known = {}
+    if of.get(1) and of.get(0):
+        counts = rows.select("text", "label").mapInArrow(occur, "feature string, label int")
+        counts = counts.groupBy("feature").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("calm"))
+        counts = counts.where(F.col("toxic") * of[0] > F.col("calm") * of[1]).where("toxic > 2").toLocalIterator()
+        chosen = sorted(r.feature for r in counts if _surplus(r.toxic, r.calm, of[1], of[0]) >= SURPLUS)
+        known = {f: i for i, f in enumerate(chosen)}
+
+    def index(batches_in):
         for batch in batches_in:
-            bags = [
-                [" ".join(sorted(set(words(s)))) for s in _SPLIT.split(t) if not s.isspace()]
-                for t in batch.column(1).to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(bags, pa.list_(pa.string()))], names=["id", "label", "bags"]
-            )
+            made = [_indexed([words(s) for s in _SPLIT.split(t) if not s.isspace() and s], known) for t in batch.column(1).to_pylist()]
+            columns = [batch.column(0), batch.column(2)]
+            columns += [pa.array([m[i] for m in made], k) for i, k in enumerate((pa.int32(), *[pa.list_(pa.int32())] * 2))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "sentences", "at", "feature"])
 
-    ship(docs.sparkSession)
-    found = rows.select("doc_id", whole().alias("text"), "label").mapInArrow(
-        split, f"id {dict(docs.dtypes)['doc_id']}, label int, bags array<string>"
+    found = rows.mapInArrow(
+        index, f"id {dict(docs.dtypes)['doc_id']}, label int, sentences int, at array<int>, feature array<int>"
     )
-    found = found.orderBy("id", "bags").collect()
-    return train([[b.split() for b in r.bags] for r in found], [r.label for r in found])
+    found = found.orderBy("id", "label", "sentences", "at", "feature").collect()
+    return _learn(known, [r.label for r in found], [(r.sentences, r["at"], r.feature) for r in found])
+
+
+def _indexed(bag, known):
+    """Number of sentences, and the places and numbers of the known features in them."""
+    at, number = [], []
+    for s, own in enumerate(bag):
+        for f in sorted({known[f] for w in own for f in features(w) if f in known}):
+            at.append(s)
+            number.append(f)
+    return len(bag), at, number
 
 
 def _surplus(toxic, calm, of_toxic, of_calm):
@@ -129,25 +154,26 @@ def _surplus(toxic, calm, of_toxic, of_calm):
 
 
 def train(bags, labels) -> Model:
-    """Gradient steps (Adam) on the likelihood of the texts' labels; ``bags``: words of each sentence."""
+    """The same on the driver, from the words of each text's sentences."""
+    seen, of = (Counter(), Counter()), Counter(map(int, labels))
+    for bag, label in zip(bags, labels):
+        seen[int(label)].update({f for s in bag for w in s for f in features(w)})
+    chosen = sorted(f for f, n in seen[1].items() if n > 2 and _surplus(n, seen[0][f], of[1], of[0]) >= SURPLUS)
+    known = {f: i for i, f in enumerate(chosen)}
+    return _learn(known, labels, [_indexed(bag, known) for bag in bags])
+
+
+def _learn(known, labels, texts) -> Model:
+    """Gradient steps (Adam) on the likelihood of the texts' labels."""
     y = np.array(labels, bool)
     if not y.any() or y.all():
         share = (y.sum() + 0.5) / (len(y) + 1)
         return Model(math.log(share / (1 - share)) if len(y) else -30.0, {})
-    seen = (Counter(), Counter())
-    for bag, label in zip(bags, y):
-        seen[int(label)].update({f for s in bag for w in s for f in features(w)})
-    of = (int((~y).sum()), int(y.sum()))
-    chosen = sorted(f for f, n in seen[1].items() if _surplus(n, seen[0][f], of[1], of[0]) >= SURPLUS)
-    known = {f: i for i, f in enumerate(chosen)}
-    doc, word, sent = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            own = {known[f] for w in s for f in features(w) if f in known}
-            word += own
-            sent += [len(doc)] * len(own)
-            doc.append(d)
-    doc, word, sent = np.array(doc, int), np.array(word, int), np.array(sent, int)
+    counts = np.array([t[0] for t in texts])
+    doc = np.repeat(np.arange(len(texts)), counts)
+    before = np.cumsum(counts) - counts
+    sent = np.array([b + s for b, t in zip(before.tolist(), texts) for s in t[1]], int)
+    word = np.array([f for t in texts for f in t[2]], int)
     n, toxic = len(known), y[doc]
     theta = np.zeros(n + 1)
     theta[n] = -6.0
@@ -158,7 +184,7 @@ def train(bags, labels) -> Model:
         calm = np.bincount(doc, np.logaddexp(0, z), len(y))
         pull = np.exp(-calm) / np.maximum(-np.expm1(-calm), 1e-12)
         g = np.where(toxic, -p * np.minimum(pull[doc], 1e6), p)
-        grad = np.append(np.bincount(word, g[sent], n), g.sum())
+        grad = np.append(np.bincount(word, g[sent], n)[:n], g.sum())
         grad[:n] += RIDGE * theta[:n] * len(y) ** 0.5
         mean = 0.9 * mean + 0.1 * grad
         square = 0.99 * square + 0.01 * grad**2
