@@ -132,7 +132,8 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     ahead = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("ahead", F.coalesce(F.sum("held").over(ahead), F.lit(0))).drop("held")
     place = F.row_number().over(Window.partitionBy("key", "part").orderBy("slot"))
-    return slots.withColumn("place", place).join(parts, ["key", "part"]).select(
+    # Runs of slots compress so well that their shuffled size hides how many they are.
+    return slots.withColumn("place", place).hint("merge").join(parts, ["key", "part"]).select(
         "key", "slot", (F.col("ahead") + F.col("place") - 1).alias("rank")
     )
 
@@ -181,14 +182,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block=BLOCK, k
         "key", "start", "size",
         F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"),
     )
-    slots = schedule(sources, block).join(sources.select("key", "source_size", "goal"), "key")
+    slots = schedule(sources, block).hint("merge").join(sources.select("key", "source_size", "goal"), "key")
     slots = slots.withColumn("blocks", F.ceil(F.col("source_size") / block)).select(
         "key",
         F.expr("rank div blocks").alias("pass"),
         F.expr("rank % blocks").alias("block"),
         F.least("source_size", F.col("goal") - F.expr("rank div blocks") * F.col("source_size")).alias("stop"),
     )
-    cut = pieces.join(slots, ["key", "block"])
+    cut = pieces.join(slots.hint("merge"), ["key", "block"])
     first = F.greatest("start", F.col("block") * block)
     last = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block, "stop")
     passes = [
