@@ -18,8 +18,8 @@ from shapelog.llm.common import ship, whole
 #: White space of the tokenizer files' patterns; str.split() also splits at x1c-x1f.
 _SPACES = regex.compile(r"[\t-\r\x20\x85\p{Z}]+")
 _ODD = regex.compile(r"[\x1c-\x1f]")
-#: Chunks (words between white space) that a worker keeps encoded, in each of two generations.
-KEPT = 250_000
+#: Chunks (text between white space) and words that a worker keeps encoded, in each of two generations.
+KEPT, KEPT_WORDS = 350_000, 200_000
 #: Longest chunk that is kept.
 KEPT_CHARS = 64
 #: Characters of a text that are split into chunks at a time.
@@ -50,8 +50,10 @@ class Merges:
         #: A final token spans at most so many symbols: among the encodings of the
         #: last ``lookahead`` prefixes is the start of the final encoding.
         self.lookahead = max(len(self._symbols(t)) for t in self.vocab)
+        bodies = [t.removesuffix(self.suffix) if self.suffix else t for t in self.vocab]
+        self.beginnings = {b[:n] for b in bodies for n in range(1, len(b) + 1)}
         self.never = len(self.ranks)
-        self._fits, self._edges = {}, {}
+        self._fits, self._known, self._edges = {}, 0, {}
 
     def _symbols(self, token):
         """A token as the symbols that it merges; the suffix belongs to the last one."""
@@ -122,15 +124,23 @@ class Merges:
             else:
                 j += 1
 
+    def after(self, left):
+        """What is known of ``fits`` for this left token, by the right one."""
+        row = self._fits.get(left)
+        if row is None:
+            if self._known > 1_000_000:
+                self._fits, self._known = {}, 0
+            row = self._fits[left] = {}
+        return row
+
     def fits(self, left, right):
         """Whether ``left right`` is the encoding of their joined symbols (left None: of right alone)."""
-        key = (left, right)
-        known = self._fits.get(key)
+        row = self.after(left)
+        known = row.get(right)
         if known is None:
-            if len(self._fits) > 1_000_000:
-                self._fits.clear()
             known = self._spines(right) is not None if left is None else self._keep_apart(left, right)
-            self._fits[key] = known
+            row[right] = known
+            self._known += 1
         return known
 
 
@@ -210,20 +220,30 @@ class Transducer:
 
 
 def within_window(m: Merges, shown: str) -> list[int]:
-    """The same recurrence for a word no longer than the lookahead: all its prefixes stay open."""
-    vocab, fits, known = m.vocab, m.fits, m._fits
+    """The same recurrence for a word no longer than the lookahead: all its prefixes stay open.
+
+    From each prefix that is reached all tokens that begin there are tried; the first
+    that fits is a prefix's last token.
+    """
+    vocab, fits, beginnings = m.vocab, m.fits, m.beginnings
     n = len(shown)
     last, start = [None] * (n + 1), [-1] * (n + 1)
-    for i in range(1, n + 1):
-        end = m.suffix if i == n else ""
-        for j in range(i):
-            token = shown[j:i] + end
-            if token in vocab and (j == 0 or start[j] >= 0):
-                left = last[j]
-                good = known.get((left, token))
-                if good if good is not None else fits(left, token):
-                    last[i], start[i] = token, j
-                    break
+    for j in range(n):
+        left = last[j]
+        if left is None and j:
+            continue
+        row = m.after(left)
+        for i in range(j + 1, n + 1):
+            token = shown[j:i]
+            if token not in beginnings:
+                break
+            if last[i] is None:
+                if i == n:
+                    token += m.suffix
+                if token in vocab:
+                    good = row.get(token)
+                    if good or good is None and fits(left, token):
+                        last[i], start[i] = token, j
     out = []
     while n:
         out.append(vocab[last[n]])
@@ -244,7 +264,8 @@ class Encoder:
         names = sorted(map(regex.escape, self.merges.special), key=len, reverse=True)
         self.special = regex.compile(f"({'|'.join(names)})") if names else None
         self.chars = byte_chars()
-        self.kept = _Kept(self)
+        self.kept = _Kept(self.chunk, KEPT)
+        self.kept_words = _Kept(lambda w: array.array("i", self.word(w)).tobytes(), KEPT_WORDS)
 
     @staticmethod
     def _check(spec):
@@ -262,7 +283,8 @@ class Encoder:
     def word(self, word: str):
         """Ids of one word, emitted as they become stable."""
         m = self.merges
-        shown = "".join([self.chars[b] for b in word.encode("utf-8")])
+        plain = word.isascii() and word.isprintable()  # these bytes stand for themselves
+        shown = word if plain else "".join([self.chars[b] for b in word.encode("utf-8")])
         if len(shown) <= m.lookahead:
             return within_window(m, shown)
         return self.long_word([*shown[:-1], shown[-1] + m.suffix])
@@ -276,45 +298,47 @@ class Encoder:
                 yield from (m.vocab[t] for t in run.stable())
         yield from (m.vocab[t] for t in run.finish())
 
-    def chunk(self, chunk: str) -> tuple[int, ...]:
-        """Ids of text without white space."""
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of text without white space, as packed 32-bit numbers."""
         # Lower case one character at a time: no final sigma.
         plain = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
         low = plain.lower()
-        found = self.words.findall(low)
-        return tuple(self.word(found[0])) if len(found) == 1 else tuple(i for w in found for i in self.word(w))
+        return b"".join([self.kept_words[w] for w in self.words.findall(low)])
 
     def stream(self, text: str):
-        """Ids of a whole text, one chunk after the other."""
+        """Packed ids of a whole text, one step after the other."""
         for i, part in enumerate(self.special.split(text) if self.special else [text]):
             if i % 2:
-                yield (self.merges.special[part],)
+                yield array.array("i", [self.merges.special[part]]).tobytes()
                 continue
             odd = _ODD.search(part)
             for step in _steps(part):
                 chunks = filter(None, _SPACES.split(step)) if odd else step.split()
-                yield from map(self.kept.__getitem__, chunks)
+                yield b"".join(map(self.kept.__getitem__, chunks))
+
+    def packed(self, text: str) -> bytes:
+        return b"".join(self.stream(text))
 
     def encode(self, text: str) -> array.array:
-        return array.array("i", chain.from_iterable(self.stream(text)))
+        return array.array("i", self.packed(text))
 
 
 class _Kept(dict):
-    """Encoded chunks, bounded: when full it becomes the older generation, looked up once more."""
+    """What has been encoded, bounded: when full it becomes the older generation, looked up once more."""
 
-    def __init__(self, encoder):
+    def __init__(self, encode, limit):
         super().__init__()
-        self.encoder, self.older = encoder, {}
+        self.encode, self.limit, self.older = encode, limit, {}
 
-    def __missing__(self, chunk):
-        ids = self.older.get(chunk)
+    def __missing__(self, text):
+        ids = self.older.get(text)
         if ids is None:
-            ids = self.encoder.chunk(chunk)
-        if len(chunk) <= KEPT_CHARS:
-            if len(self) >= KEPT:
+            ids = self.encode(text)
+        if len(text) <= KEPT_CHARS:
+            if len(self) >= self.limit:
                 self.older = dict(self)
                 self.clear()
-            self[chunk] = ids
+            self[text] = ids
         return ids
 
 
@@ -401,14 +425,14 @@ def encode(docs: DataFrame, tokenizer: str, decode: str | None = None) -> DataFr
         for batch in batches_in:
             for start, stop in _portions(batch.column(batch.num_columns - 1)):
                 part = batch.slice(start, stop - start)
-                ids = [encoder.encode(t.as_py()) for t in part.column(part.num_columns - 1)]
+                ids = [encoder.packed(t.as_py()) for t in part.column(part.num_columns - 1)]
                 columns = [part.column(i) for i in range(part.num_columns - 1)]
-                offsets = pa.array([0, *_sums(map(len, ids))], pa.int32())
-                flat = array.array("i", b"".join(x.tobytes() for x in ids))
-                values = pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)])
+                offsets = pa.array([0, *_sums(len(x) // 4 for x in ids)], pa.int32())
+                flat = b"".join(ids)
+                values = pa.Array.from_buffers(pa.int32(), len(flat) // 4, [None, pa.py_buffer(flat)])
                 columns.append(pa.ListArray.from_arrays(offsets, values))
                 if decode:
-                    columns.append(pa.array([_decoded(encoder.merges, x, decode) for x in ids], pa.string()))
+                    columns.append(pa.array([_decoded(encoder.merges, array.array("i", x), decode) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=kept + ["ids", "decoded"][: 1 + bool(decode)])
 
     return docs.select(*[F.col(f"`{c}`") for c in kept], whole().alias("__text")).mapInArrow(run, schema)
