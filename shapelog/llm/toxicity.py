@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from shapelog.llm.common import ship, stored, whole
 from shapelog.llm.sample import labelled
 
-#: Labelled rows that are learned from, characters of the longest of these, and the
-#: least G statistic (surplus in toxic texts) of a word or beginning of a word to be a feature.
-ROWS, LONGEST, SURPLUS = 10_000, 20_000, 16.0
+#: Labelled rows that are learned from, and the least G statistic (surplus in toxic
+#: texts) of a word or beginning of a word to be a feature.
+ROWS, SURPLUS = 10_000, 16.0
 #: Letters of the beginnings of words that are features beside whole words.
 STARTS = (4, 5)
 STEPS, RATE, RIDGE = 200, 0.15, 2e-3
@@ -40,14 +40,26 @@ def features(word: str) -> list[str]:
 
 @dataclass
 class Model:
-    """Weights of features; a sentence's log odds are their sum over its different words."""
+    """Weights of features; a sentence's log odds are their sum over its different words.
+
+    A sentence without a feature is not toxic: else the bias alone would make every
+    text toxic that is long enough. A text that has none is scored by the bias.
+    """
 
     bias: float
     weights: dict[str, float]
 
+    def found(self, sentence: str) -> frozenset[str]:
+        """The features of a sentence."""
+        return frozenset(f for w in words(sentence) for f in features(w) if f in self.weights)
+
+    def odds(self, found) -> float:
+        return self.bias + sum(self.weights[f] for f in found)
+
     def sentence(self, sentence: str) -> float:
         """Log odds that one sentence is toxic."""
-        return self.bias + sum(self.weights.get(f, 0.0) for f in {f for w in words(sentence) for f in features(w)})
+        found = self.found(sentence)
+        return self.odds(found) if found else -math.inf
 
 
 class Judge:
@@ -55,21 +67,26 @@ class Judge:
 
     def __init__(self, model: Model):
         self.model, self.kept = model, _Kept(model.weights)
-        self.calm = math.log1p(math.exp(model.bias))
 
     def __call__(self, text: str):
-        """The noisy-or of all sentences, and (start, end, score) of those over a half."""
-        calm, found, kept = 0.0, [], self.kept.__getitem__
+        """The noisy-or of all sentences, and (start, end, score) of those over a half.
+
+        Sentences of the same features are one piece of evidence, however often they are there.
+        """
+        if not self.model.weights:
+            return (1 / (1 + math.exp(-self.model.bias)) if text and not text.isspace() else 0.0), []
+        calm, found, kept, seen = 0.0, [], self.kept.__getitem__, {}
         start = 0
         for part in _SPLIT.split(text):
             end = start + len(part)
             if any(map(kept, set(words(part)))):
-                z = self.model.sentence(part)
-                calm += z if z > 30 else math.log1p(math.exp(z))
+                own = self.model.found(part)
+                z = seen.get(own)
+                if z is None:
+                    z = seen[own] = self.model.odds(own)
+                    calm += z if z > 30 else math.log1p(math.exp(z))
                 if z >= 0:
                     found.append((start, end, 1 / (1 + math.exp(-z))))
-            elif part and not part.isspace():
-                calm += self.calm
             start = end
         return -math.expm1(-calm), found
 
@@ -92,15 +109,15 @@ def fit(docs: DataFrame, labels: DataFrame, use=None) -> Model:
     """Learn from labels of whole texts whose doc_id meets ``use`` (a column; all by default).
 
     A text's label is explained by the noisy-or of its sentences: it is toxic if any
-    is. At most ``ROWS`` rows are drawn by hash, of at most ``LONGEST`` characters.
+    is. At most ``ROWS`` rows are drawn by hash, of any length.
     Features are the words and beginnings of words that are in surplus in toxic texts;
     their weights are never negative. Features are counted and chosen on the executors;
-    the driver gets, for each text, which chosen features its sentences have. With one
-    label only, every text is scored alike.
+    the driver gets, for each text, which sets of chosen features its sentences have. With
+    one label only, or no feature, every text is scored alike.
     """
     use = F.lit(True) if use is None else use
     ship(docs.sparkSession)
-    rows = labelled(docs, labels, "toxic", use, ROWS, False).where(F.length(whole()) <= LONGEST)
+    rows = labelled(docs, labels, "toxic", use, ROWS, False)
     rows = stored(rows.select("doc_id", whole().alias("text"), "label"), "labelled")
     of = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
 
@@ -134,13 +151,14 @@ def fit(docs: DataFrame, labels: DataFrame, use=None) -> Model:
 
 
 def _indexed(bag, known):
-    """Number of sentences, and the places and numbers of the known features in them."""
+    """Number of the sentences' different sets of known features, and their places and numbers."""
     at, number = [], []
-    for s, own in enumerate(bag):
-        for f in sorted({known[f] for w in own for f in features(w) if f in known}):
-            at.append(s)
-            number.append(f)
-    return len(bag), at, number
+    sets = dict.fromkeys(frozenset(known[f] for w in own for f in features(w) if f in known) for own in bag)
+    sets.pop(frozenset(), None)
+    for s, own in enumerate(sets):
+        at += [s] * len(own)
+        number += sorted(own)
+    return len(sets), at, number
 
 
 def _surplus(toxic, calm, of_toxic, of_calm):
@@ -166,7 +184,7 @@ def train(bags, labels) -> Model:
 def _learn(known, labels, texts) -> Model:
     """Gradient steps (Adam) on the likelihood of the texts' labels."""
     y = np.array(labels, bool)
-    if not y.any() or y.all():
+    if not y.any() or y.all() or not known:
         share = (y.sum() + 0.5) / (len(y) + 1)
         return Model(math.log(share / (1 - share)) if len(y) else -30.0, {})
     counts = np.array([t[0] for t in texts])

@@ -61,3 +61,22 @@ def test_sentences_are_found():
         want *= 1 - 1 / (1 + 2.718281828459045 ** -model.sentence(s))
     assert score == pytest.approx(1 - want, abs=1e-9)
     assert toxicity.Judge(model)("")[0] == 0
+
+
+def test_length_alone_is_not_toxic(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    judge = toxicity.Judge(model)
+    assert model.weights
+    for text in ["The weather was fine that day. We went home.\n", *[r.text for r in docs.limit(20).collect()]]:
+        once, long = judge(text + "\n")[0], judge((text + "\n") * (3_000_000 // (len(text) + 1)))[0]
+        assert long == pytest.approx(once, abs=1e-9)
+    assert judge("The weather was fine that day. We went home.\n" * 70_000)[0] < 0.5
+
+
+def test_long_labelled_rows_are_learned_from(spark):
+    rows = [(i, ("A calm line. " * 2_000 if i < 30 else "Short. ") + ("nasty thing." if i % 2 else "")) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    judge = toxicity.Judge(toxicity.fit(docs, labels))
+    assert all((judge(t)[0] >= 0.5) == bool(i % 2) for i, t in rows)
