@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from shapelog.llm import bpe, chat, knn, mixing, near_vectors, pii, quality, repeats, simhash, toxicity
+from shapelog.llm import bpe, chat, knn, mixing, near_vectors, pii, quality, repeats, simhash, toxicity, turns
 from shapelog.llm.sample import remainder
 
 QUERIES = {}
@@ -196,3 +196,94 @@ ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+
+@query
+def op11_turn_repair(spark, folder):
+    return turns.audited(turns.damaged(table(spark, folder, "conversations")))
+
+
+# A state machine over single edits, row by row: for each state of the grammar the least
+# cost, its audit and its text. Up to two inserts go before a row. crc32 from its table.
+ORACLES["op11_turn_repair"] = r"""
+WITH RECURSIVE bits AS (
+  SELECT list(list_reduce(list_prepend(CAST(b AS UBIGINT), range(8)::UBIGINT[]),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) ORDER BY b) AS tab
+  FROM range(256) t(b)),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::UBIGINT,
+      [CAST(ord(c) AS UBIGINT) FOR c IN string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '')]),
+      lambda h, c: xor(tab[CAST(xor(h, c) & 255 AS BIGINT) + 1], h >> 8)), 4294967295::UBIGINT) % 20 AS kind
+  FROM conversations, bits),
+made AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM keyed)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS ends,
+    CASE WHEN role = '' THEN ' ' ELSE left(role, 1) END AS letter
+  FROM made),
+judged AS (
+  SELECT *, CASE WHEN ends = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN ends IN ('.', '!', '?') THEN '' ELSE 't' END AS fault,
+    lag(letter) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM placed),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || letter NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id),
+steps AS (
+  SELECT conv_id, 0::BIGINT AS i, {'c': 0, 'a': '', 't': ''} AS z,
+    CAST(NULL AS STRUCT(c INTEGER, a VARCHAR, t VARCHAR)) AS s,
+    CAST(NULL AS STRUCT(c INTEGER, a VARCHAR, t VARCHAR)) AS u,
+    CAST(NULL AS STRUCT(c INTEGER, a VARCHAR, t VARCHAR)) AS w
+  FROM counts
+  UNION ALL
+  SELECT conv_id, i,
+    {'c': z.c + 4, 'a': z.a || 'D', 't': z.t},
+    list_min([x FOR x IN [
+      CASE WHEN s IS NOT NULL THEN {'c': s.c + 4, 'a': s.a || 'D', 't': s.t} END,
+      CASE WHEN stays AND letter = 's' THEN {'c': z.c + extra, 'a': z.a || 'K', 't': z.t || chr(10) || role || ':' || text} END]
+      IF x IS NOT NULL]),
+    list_min([x FOR x IN [
+      CASE WHEN u2 IS NOT NULL THEN {'c': u2.c + 4, 'a': u2.a || 'D', 't': u2.t} END,
+      CASE WHEN stays AND w2 IS NOT NULL THEN
+        CASE WHEN letter = 'a' THEN {'c': w2.c + extra, 'a': w2.a || 'K', 't': w2.t || chr(10) || role || ':' || text}
+        ELSE {'c': w2.c + extra + 3, 'a': w2.a || 'R', 't': w2.t || chr(10) || 'assistant:' || text} END END]
+      IF x IS NOT NULL]),
+    list_min([x FOR x IN [
+      CASE WHEN w2 IS NOT NULL THEN {'c': w2.c + 4, 'a': w2.a || 'D', 't': w2.t} END,
+      CASE WHEN stays THEN
+        CASE WHEN letter = 'u' THEN {'c': any2.c + extra, 'a': any2.a || 'K', 't': any2.t || chr(10) || role || ':' || text}
+        ELSE {'c': any2.c + extra + 3, 'a': any2.a || 'R', 't': any2.t || chr(10) || 'user:' || text} END END]
+      IF x IS NOT NULL])
+  FROM (
+    SELECT p.conv_id, j.i, z, s, j.letter, j.role, j.text, CASE j.fault WHEN 't' THEN 3 ELSE 0 END AS extra,
+      j.fault NOT IN ('b', 'd') AS stays,
+      list_min([x FOR x IN [u, {'c': lone.c + 6, 'a': lone.a || 'II', 't': lone.t || chr(10) || 'user:' || chr(10) || 'assistant:'},
+        CASE WHEN w IS NOT NULL THEN {'c': w.c + 3, 'a': w.a || 'I', 't': w.t || chr(10) || 'assistant:'} END] IF x IS NOT NULL]) AS u2,
+      list_min([x FOR x IN [w, {'c': open.c + 3, 'a': open.a || 'I', 't': open.t || chr(10) || 'user:'}] IF x IS NOT NULL]) AS w2,
+      list_min([x FOR x IN [z, s, u, CASE WHEN w IS NOT NULL THEN {'c': w.c + 3, 'a': w.a || 'I', 't': w.t || chr(10) || 'assistant:'} END]
+        IF x IS NOT NULL]) AS any2
+    FROM (SELECT *, list_min([x FOR x IN [z, s] IF x IS NOT NULL]) AS lone,
+            list_min([x FOR x IN [z, s, u] IF x IS NOT NULL]) AS open FROM steps) p
+    JOIN judged j ON j.conv_id IS NOT DISTINCT FROM p.conv_id AND j.i = p.i + 1)),
+ends AS (
+  SELECT conv_id, list_min([x FOR x IN [z, u,
+      CASE WHEN s IS NOT NULL THEN {'c': s.c + 6, 'a': s.a || 'II', 't': s.t || chr(10) || 'user:' || chr(10) || 'assistant:'} END,
+      CASE WHEN w IS NOT NULL THEN {'c': w.c + 3, 'a': w.a || 'I', 't': w.t || chr(10) || 'assistant:'} END]
+      IF x IS NOT NULL]) AS best
+  FROM steps JOIN counts USING (conv_id) WHERE i = n)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank,
+  coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit,
+  sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ends e ON o.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
