@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from shapelog.llm import bpe, chat, knn, mixing, near_vectors, pii, quality, repeats, simhash, toxicity, turns
+from shapelog.llm import bpe, chat, knn, mixing, near_vectors, packing, pii, quality, repeats, simhash, toxicity, turns
 from shapelog.llm.sample import remainder
 
 QUERIES = {}
@@ -287,3 +287,10 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o
 LEFT JOIN counts c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
 LEFT JOIN ends e ON o.conv_id IS NOT DISTINCT FROM e.conv_id
 """
+
+
+@query
+def op12_packing(spark, folder):
+    pieces = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    columns = ["doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"]
+    return pieces.select(*columns)
