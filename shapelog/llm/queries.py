@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from shapelog.llm import bpe, chat, knn, mixing, near_vectors, packing, pii, quality, repeats, simhash, toxicity, turns
+from shapelog.llm import bpe, chat, knn, mixing, near_vectors, packing, pii, quality, repeats, runs, simhash, toxicity, turns
 from shapelog.llm.sample import remainder
 
 QUERIES = {}
@@ -294,3 +296,31 @@ def op12_packing(spark, folder):
     pieces = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     columns = ["doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"]
     return pieces.select(*columns)
+
+
+def _planted(doc, words):
+    """A tenth of the documents, by a hash of the id (null: never), repeat a stretch of their words to the end."""
+    h, n = zlib.crc32(str(doc).encode()), len(words)
+    if doc is None or h % 10 or not n:
+        return words
+    g = h // 10
+    start = g % n
+    period = 1 + (n - start) // (3 + g % 8)
+    rest = n - start
+    return words[:start] + (words[start : start + period] * (rest // period + 1))[:rest]
+
+
+@query
+def op13_runs(spark, folder):
+    found = runs.find(table(spark, folder, "documents"), _planted, texts=False)
+    found = found.withColumn("best", F.expr(runs.strongest("runs")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
