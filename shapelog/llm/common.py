@@ -47,6 +47,14 @@ def whole(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def unused(name: str, columns) -> str:
+    """``name``, or with underscores behind it if a column has that name."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pieces(data: bytes, size: int = 1 << 20):
     """Cut bytes at white space into pieces of about ``size``; a word is never cut."""
     start, end = 0, len(data)

@@ -1,4 +1,4 @@
-"""Near-duplicates by Jaccard similarity of word shingles: MinHash candidates, each verified."""
+"""Near-duplicates by Jaccard similarity of word shingles: SimHash and MinHash candidates, each verified."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shapelog.llm import simhash
 from shapelog.llm.common import pieces, ship, stored, whole
 from shapelog.llm.graph import components
 
@@ -20,13 +21,15 @@ BANDS, MINIMA = 32, 4
 PIECE = 256
 #: Nodes of one band that are compared in one group; more are compared piece by piece.
 CROWD = 2_048
-#: Equal bytes, of a minimum each, from which two sketches are a candidate, in two rounds:
-#: the most alike first, since what they connect needs no further look. At similarity
-#: 0.8 some 102 of 128 are equal; fewer than 72 with a chance under 1e-8.
-ALIKE = (104, 72)
+#: Equal bytes, of a minimum each, from which two sketches are a candidate, in rounds: the
+#: most alike first, since what they connect needs no further look. At similarity 0.8
+#: some 102 of 128 are equal, fewer than 80 with a chance of 2e-6 (binomial tail).
+ALIKE = (112, 104, 96, 88, 80)
+#: Bits by which SimHash fingerprints of first candidates differ at most.
+BITS = 3
 
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
-_SET = pa.schema([("row", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+_SET = pa.schema([("row", pa.int64()), ("digest", pa.binary()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -81,17 +84,18 @@ def bands(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
 
 
 def _sketches(rows: DataFrame, shingle) -> DataFrame:
-    """row, digest of the set of shingles, the keys of its bands and its sketch."""
+    """row, digest of the set of shingles, its SimHash fingerprint, the keys of its bands and its sketch."""
 
     def run(batches_in):
         for batch in batches_in:
             sets = [shingles(t.as_py(), shingle) for t in batch.column(1)]
             columns = [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())]
+            columns.append(pa.array(np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64)))
             made = [bands(s) for s in sets]
             columns += [pa.array([m[i] for m in made], kind) for i, kind in enumerate((pa.list_(pa.int64()), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=_SET)
 
-    return rows.mapInArrow(run, "row long, digest binary, keys array<long>, sketch binary")
+    return rows.mapInArrow(run, "row long, digest binary, fp long, keys array<long>, sketch binary")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, shingle, least) -> DataFrame:
@@ -130,9 +134,13 @@ def near_duplicates(rows: DataFrame, shingle: int = SHINGLE, least: float = SIMI
 
     Texts whose sets of shingles have a Jaccard similarity of ``least`` or more are
     linked; components are what links connect. Texts of equal sets are one node.
-    Candidates share a band of their MinHash sketches and are verified from their whole
-    texts. First each node meets the smallest of its band; then, in bands that still
-    hold several components, all nodes of different components whose sketches are alike.
+    Candidates are verified from their whole texts. The first are the pairs that the
+    SimHash operator links: fingerprints of these shingles that differ in at most
+    ``BITS`` bits, found at the anchors of its covering code. They are most of what a
+    group of near copies holds, but at similarity 0.8 two fingerprints differ in some 10
+    bits. So, next, each node meets the smallest of each band of its MinHash sketch; then,
+    in bands that still hold several components, all nodes of different components meet
+    whose sketches are alike.
     """
     if not SIMILARITY <= least <= 1:
         raise ValueError("the bands are made for similarities of 0.8 and more")
@@ -144,7 +152,13 @@ def near_duplicates(rows: DataFrame, shingle: int = SHINGLE, least: float = SIMI
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     shared = stored(shared.select("key", "low"), "shared")
     bucket = stored(keys.join(shared, "key"), "bucket")
-    stars = stored(bucket.where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    prints = stored(sets.join(firsts.select(F.col("node").alias("row")), "row").groupBy("fp").agg(F.min("row").alias("node")), "prints")
+    met = simhash.near_links(prints.select("fp"), BITS)
+    met = met.join(prints.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(
+        prints.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b"
+    )
+    met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    stars = stored(bucket.where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")).union(met).distinct(), "stars")
     links = _verified(stars, rows, shingle, least)
     sketches = sets.select(F.col("row").alias("node"), "sketch")
     tried = stars

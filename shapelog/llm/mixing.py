@@ -81,11 +81,17 @@ def targets(rows: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFra
 
 
 def reversed_bits(column, bits: int):
-    """The lowest ``bits`` (up to 32) bits of a number, mirrored: van der Corput's points as integers."""
-    v = F.col(column)
-    for shift, mask in ((1, 0x55555555), (2, 0x33333333), (4, 0x0F0F0F0F), (8, 0x00FF00FF), (16, 0x0000FFFF)):
-        v = F.shiftright(v, shift).bitwiseAND(mask).bitwiseOR(F.shiftleft(v.bitwiseAND(mask), shift))
-    return F.shiftright(v, 32 - bits)
+    """The lowest ``bits`` (up to 62) bits of a number, mirrored: van der Corput's points as integers."""
+    def half(v):
+        for shift, mask in ((1, 0x55555555), (2, 0x33333333), (4, 0x0F0F0F0F), (8, 0x00FF00FF), (16, 0x0000FFFF)):
+            v = F.shiftright(v, shift).bitwiseAND(mask).bitwiseOR(F.shiftleft(v.bitwiseAND(mask), shift))
+        return v
+
+    v = F.col(column).cast("long")
+    low = half(v.bitwiseAND(0xFFFFFFFF))
+    if bits <= 32:
+        return F.shiftright(low, 32 - bits)
+    return F.shiftrightunsigned(F.shiftleft(low, 32).bitwiseOR(half(F.shiftright(v, 32))), 64 - bits)
 
 
 def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -118,11 +124,12 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     )
     total = placed.agg(F.sum("slots")).first()[0] or 0
     bits = max(PARTS, (max(1, total) - 1).bit_length())
-    if bits > 32:
-        raise ValueError("more than 2**32 slots: take larger blocks")
-    runs = placed.select(
-        "key", "slots", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(RUN))).alias("run")
-    ).repartition("key", "run")
+    # In two steps, so that no row holds a list of all runs of a large source.
+    wide = placed.select(
+        "key", "slots", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(RUN * RUN))).alias("wide")
+    ).repartition("key", "wide")
+    end = F.least(F.col("wide") + RUN * RUN, F.col("slots")) - 1
+    runs = wide.select("key", "slots", "first", F.explode(F.sequence("wide", end, F.lit(RUN))).alias("run")).repartition("key", "run")
     places = runs.select(
         "key", F.explode(F.sequence("run", F.least(F.col("run") + RUN, F.col("slots")) - 1)).alias("at"), "first"
     ).select("key", (F.col("first") + F.col("at")).alias("place"))
@@ -156,20 +163,17 @@ def shuffled(rows: DataFrame) -> DataFrame:
     ).drop("digest", "part", "ahead", "before")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block=BLOCK, keep=()) -> DataFrame:
-    """What the mix takes of each row of ``docs(doc_id, source, text)``.
-
-    Gives doc_id, size (words), source_size, target, taken (words, repeats counted),
-    passes (words taken in the source's first pass, second pass, ...) and the columns
-    named in ``keep``. Each source's documents are shuffled, laid end to end and cut
-    into blocks of ``block`` words; the source's slots of the schedule take its blocks
-    in turn, from the first again after the last, and the last slot takes what is left
-    to the target. So a source's taken words are its target in whole words, and no row
-    exceeds ``most`` times its size.
+def scheduled(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block=BLOCK, keep=()):
+    """The mix as a schedule of pieces, and the rows that they are cut from.
 
-    Sources are ordered by code point, null last. Null and empty texts have size 0 and
-    nothing taken; rows with equal or null ids each stay a row; other columns are not
-    read. An empty table gives an empty result.
+    Gives two tables. Pieces: slot, key (of the source), start (which row of the source),
+    pass, first and last (the row's words from ``first`` up to but without ``last``);
+    in order of slot, then start, they are the mixed corpus, and any stretch of slots
+    holds each source in its share. Rows: doc_id, key, start, size, source_size, target
+    and the columns of ``keep``. A source's documents are shuffled, laid end to end and
+    cut into blocks of ``block`` words; its slots of the schedule take its blocks in
+    turn, from the first again after the last, and the slot that is last in the
+    source's order takes what is left to the target.
     """
     rows = docs.select(
         source_key().alias("key"), F.col("doc_id"), words().alias("size"), F.struct(*keep).alias("kept")
@@ -185,25 +189,44 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block=BLOCK, k
     slots = schedule(sources, block).hint("merge").join(sources.select("key", "source_size", "goal"), "key")
     slots = slots.withColumn("blocks", F.ceil(F.col("source_size") / block)).select(
         "key",
+        "slot",
         F.expr("rank div blocks").alias("pass"),
         F.expr("rank % blocks").alias("block"),
         F.least("source_size", F.col("goal") - F.expr("rank div blocks") * F.col("source_size")).alias("stop"),
     )
-    cut = pieces.join(slots.hint("merge"), ["key", "block"])
     first = F.greatest("start", F.col("block") * block)
     last = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block, "stop")
-    passes = [
-        F.sum(F.when(F.col("pass") == p, F.greatest(last - first, F.lit(0))).otherwise(0)).alias(f"pass{p}")
-        for p in range(most)
-    ]
-    taken = cut.groupBy("key", "start").agg(*passes)
+    cut = pieces.join(slots.hint("merge"), ["key", "block"]).where(first < last)
+    cut = cut.select("slot", "key", "start", "pass", (first - F.col("start")).alias("first"), (last - F.col("start")).alias("last"))
+    return cut, laid.join(sources.select("key", "source_size", "target"), "key")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block=BLOCK, keep=()) -> DataFrame:
+    """What the schedule takes of each row of ``docs(doc_id, source, text)``.
+
+    Gives doc_id, size (words), source_size, target, taken (words, repeats counted),
+    passes (for each pass of the source in which it is taken: words, and the slot of the
+    first piece) and the columns named in ``keep``. All are sums over the pieces of
+    ``scheduled``. A source's taken words are its target in whole words, and no row
+    exceeds ``most`` times its size.
+
+    Sources are ordered by code point, null last. Null and empty texts have size 0 and
+    nothing taken; rows with equal or null ids each stay a row; other columns are not
+    read. An empty table gives an empty result.
+    """
+    cut, laid = scheduled(docs, weights, share, most, block, keep)
+    length = F.col("last") - F.col("first")
+    taken = cut.groupBy("key", "start").agg(
+        F.sum(length).alias("taken"),
+        *[F.sum(F.when(F.col("pass") == p, length)).alias(f"words{p}") for p in range(most)],
+        *[F.min(F.when(F.col("pass") == p, F.col("slot"))).alias(f"slot{p}") for p in range(most)],
+    )
+    each = [F.struct(F.col(f"words{p}").alias("words"), F.col(f"slot{p}").alias("slot")) for p in range(most)]
+    taken = taken.select("key", "start", "taken", F.filter(F.array(*each), lambda x: x["words"].isNotNull()).alias("passes"))
     # A row without words shares its start with the next row but takes nothing.
     full = laid.where("size > 0").join(taken, ["key", "start"], "left")
-    none = laid.where("size = 0").select(*laid.columns, *[F.lit(None).cast("long").alias(f"pass{p}") for p in range(most)])
-    counts = [F.coalesce(F.col(f"pass{p}"), F.lit(0).cast("long")) for p in range(most)]
-    out = full.select(*none.columns).union(none).join(sources.select("key", "source_size", "target"), "key")
-    named = [F.col(f"kept.{c}").alias(c) for c in keep]
-    return out.select(
-        "doc_id", "size", "source_size", "target", sum(counts[1:], counts[0]).alias("taken"),
-        F.array(*counts).alias("passes"), *named,
-    )
+    none = laid.where("size = 0").select("*", F.lit(None).cast("long").alias("taken"), F.lit(None).cast(taken.schema["passes"].dataType).alias("passes"))
+    named = [F.col(f"kept.`{c}`").alias(c) for c in keep]
+    return full.select(*none.columns).union(none).select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "passes", *named
+    )

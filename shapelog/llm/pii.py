@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapelog.llm.common import ship, whole
+from shapelog.llm.common import ship, unused, whole
 
 #: Kinds, in the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -345,29 +345,29 @@ def all_spans(text: str, model: Model) -> list[tuple[int, int, int, bool]]:
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
 
 
-def find(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``spans``: (kind, start, end, base) by start, then kind, in code points.
+def find(docs: DataFrame, model: Model, spans: str = "spans") -> DataFrame:
+    """``docs`` with the column ``spans``: (kind, start, end, base) by start, then kind, in code points.
 
     Whole texts are searched; null is empty and has none. All rows, repeated ones too,
-    and all other columns stay; a column named ``spans`` is replaced.
+    and all other columns stay; a column of that name is replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != "spans"]
+    kept = [c for c in docs.columns if c != spans]
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join(f"`{c}` {types[c]}" for c in kept)
+    text = kept.index("text")
 
     def run(batches_in):
         for batch in batches_in:
             rows = [
-                [{"kind": KINDS[k], "start": a, "end": b, "base": own} for a, k, b, own in all_spans(t.as_py(), held.value)]
-                for t in batch.column(len(kept))
+                [{"kind": KINDS[k], "start": a, "end": b, "base": own} for a, k, b, own in all_spans(t.as_py() or "", held.value)]
+                for t in batch.column(text)
             ]
-            columns = [batch.column(i) for i in range(len(kept))] + [pa.array(rows, pa.list_(_SPAN))]
-            yield pa.RecordBatch.from_arrays(columns, names=kept + ["spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(_SPAN))], names=[*kept, spans])
 
     ship(docs.sparkSession)
-    return docs.select(*[F.col(f"`{c}`") for c in kept], whole().alias("__text")).mapInArrow(
-        run, f"{schema}, spans array<struct<kind:string,start:int,end:int,base:boolean>>"
+    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(
+        run, f"{schema}, `{spans}` array<struct<kind:string,start:int,end:int,base:boolean>>"
     )
 
 
@@ -375,10 +375,12 @@ def redact(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind in angle brackets.
 
     Overlapping spans become one, named by the first. Texts without spans, null ones
-    too, stay as they are.
+    too, and all other columns stay as they are.
     """
-    found = find(docs.withColumn("__null", F.col("text").isNull()), model)
-    held = "transform(spans, s -> struct(s.start as a, s.end as b, s.kind as k))"
+    spans = unused("spans", docs.columns)
+    joined = unused("joined", docs.columns)
+    found = find(docs, model, spans)
+    held = f"transform({spans}, s -> struct(s.start as a, s.end as b, s.kind as k))"
     merged = F.expr(
         f"""aggregate({held}, cast(array() as array<struct<a:int,b:int,k:string>>), (acc, s) ->
             case when size(acc) > 0 and s.a < element_at(acc, -1).b
@@ -386,11 +388,11 @@ def redact(docs: DataFrame, model: Model) -> DataFrame:
                              array(struct(element_at(acc, -1).a as a, greatest(s.b, element_at(acc, -1).b) as b, element_at(acc, -1).k as k)))
                  else concat(acc, array(s)) end)"""
     )
-    found = found.withColumn("__m", merged)
+    found = found.withColumn(joined, merged)
     pieces = F.expr(
-        """concat_ws('', transform(__m, (s, i) -> concat(
-            substring(text, case when i = 0 then 1 else __m[i - 1].b + 1 end, s.a - case when i = 0 then 0 else __m[i - 1].b end),
-            '<', s.k, '>')), substring(text, element_at(__m, -1).b + 1))"""
+        f"""concat_ws('', transform({joined}, (s, i) -> concat(
+            substring(text, case when i = 0 then 1 else {joined}[i - 1].b + 1 end, s.a - case when i = 0 then 0 else {joined}[i - 1].b end),
+            '<', s.k, '>')), substring(text, element_at({joined}, -1).b + 1))"""
     )
-    clean = F.when(F.size("__m") > 0, pieces).otherwise(F.col("text"))
+    clean = F.when(F.size(joined) > 0, pieces).otherwise(F.col("text"))
     return found.withColumn("text", clean).select(*docs.columns)

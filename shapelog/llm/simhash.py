@@ -44,6 +44,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
+def majority(hashes) -> np.uint64:
+    """The fingerprint of a text's shingle hashes: the bits set in over half of them."""
+    return np.uint64(int.from_bytes(np.packbits(2 * _bits(hashes) > len(hashes)).tobytes(), "big"))
+
+
 def _bits(hashes):
     """How often each bit is set, most significant first."""
     rows = np.array(hashes, np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8)

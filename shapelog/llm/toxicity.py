@@ -211,30 +211,36 @@ def _learn(known, labels, texts) -> Model:
     return Model(float(theta[n]), {f: float(theta[i]) for f, i in known.items() if theta[i] > 1e-3})
 
 
-def judged(docs: DataFrame, model: Model) -> DataFrame:
+def judged(docs: DataFrame, model: Model, score: str = "score", offending: str | None = "offending") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and the offending sentences of every row, from whole texts.
 
     ``offending`` lists (start, end, score) of the sentences that alone score a half or
-    more, in code points. Null and empty texts have no sentence and score 0. Null and
-    repeated ids stay rows of their own; columns named score or offending are replaced.
+    more, in code points; it is left out if its name is None. Null and empty texts have
+    no sentence and score 0. Null and repeated ids stay rows of their own; columns of the
+    names given are replaced. A text goes to Python and back once, with its row.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-    kept = [c for c in docs.columns if c not in ("score", "offending")]
+    made = [score] if offending is None else [score, offending]
+    kept = [c for c in docs.columns if c not in made]
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
+    text = kept.index("text")
 
     def run(batches_in):
         judge = Judge(held.value)
         for batch in batches_in:
-            found = [judge(t.as_py()) for t in batch.column(len(kept))]
-            spans = [[{"start": a, "end": b, "score": p} for a, b, p in s] for _, s in found]
-            columns = [batch.column(i) for i in range(len(kept))]
-            columns += [pa.array([s for s, _ in found], pa.float64()), pa.array(spans, kind)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "score", "offending"])
+            found = [judge(t.as_py() or "") for t in batch.column(text)]
+            columns = [*batch.columns, pa.array([s for s, _ in found], pa.float64())]
+            if offending is not None:
+                spans = [[{"start": a, "end": b, "score": p} for a, b, p in s] for _, s in found]
+                columns.append(pa.array(spans, kind))
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *made])
 
     ship(docs.sparkSession)
-    schema = [f"`{c}` {types[c]}" for c in kept] + ["score double", "offending array<struct<start:int,end:int,score:double>>"]
-    return docs.select(*[F.col(f"`{c}`") for c in kept], whole().alias("__text")).mapInArrow(run, ", ".join(schema))
+    schema = [f"`{c}` {types[c]}" for c in kept] + [f"`{score}` double"]
+    if offending is not None:
+        schema.append(f"`{offending}` array<struct<start:int,end:int,score:double>>")
+    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, ", ".join(schema))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

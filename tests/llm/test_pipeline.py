@@ -4,6 +4,7 @@ import re
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
@@ -88,18 +89,17 @@ def test_odd_rows(spark):
         (1, "same words in this text", "en", None, 23), (2, "word " * 3000, "en", "b", 15_000),
         (3, "mail x.y@z.org", "xx", "b", 14), (3, "other text with that id", "xx", "b", 23),
     ]
-    docs = spark.createDataFrame(rows, COLUMNS).withColumn("score", one()).withColumn("ids", one())
+    docs = spark.createDataFrame(rows, COLUMNS)
+    # Columns that the stages use names of, by value.
+    for c in ("score", "ids", "spans", "joined", "row", "words", "size", "mix", "slot", "component", "passes"):
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
     for name, stage in pipeline.STAGES:
         out = stage(spark, docs, SF)
         if name != "bpe":
-            assert out.columns == docs.columns
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            for r in out.collect():
+                assert all(r[c] == f"{c}{'-' if r.doc_id is None else r.doc_id}" for c in docs.columns[5:])
         out.collect()
         assert stage(spark, docs.limit(0), SF).count() == 0
     kept = pipeline.drop_near_copies(spark, docs, SF).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in kept)[:2] == [(0, ""), (1, "same words in this text")]
-
-
-def one():
-    from pyspark.sql import functions as F
-
-    return F.lit(1)
