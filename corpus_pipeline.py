@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from shapelog.llm import bpe, jaccard, mixing, pii, simhash, toxicity
-from shapelog.llm.common import stored
+from shapelog.llm.common import stored, unused
 
 
 def _measured(docs, columns):
@@ -22,36 +22,37 @@ def _measured(docs, columns):
 
 
 def _numbered_rows(docs):
-    """The documents with a number per row that stays: stored once."""
-    return stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    """The documents with a number per row that stays, stored once, and the name of that column."""
+    name = unused("row", docs.columns)
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
 def drop_toxic(spark, docs, sf_dir):
     """Keep what the model, learned from all labels, scores under a half."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    # A column of the documents may have the name of the score.
-    named = docs.select(F.struct(*docs.columns).alias("document"), "text")
-    scored = toxicity.judged(named, toxicity.fit(docs, labels))
-    return scored.where("score < 0.5").select("document.*")
+    score = unused("score", docs.columns)
+    scored = toxicity.judged(docs, toxicity.fit(docs, labels), score, None)
+    return scored.where(F.col(score) < 0.5).select(*docs.columns)
+
+
+def _first_of_each(rows, number, groups):
+    """The rows with the smallest doc_id, null last, of each group; ``groups`` has row and component."""
+    named = rows.select(F.col(number).alias("row"), F.col("doc_id").alias("id")).join(groups, "row")
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("x"))
+    return rows.join(first.select(F.col("x.row").alias(number)), number, "left_semi").drop(number)
 
 
 def drop_near_copies(spark, docs, sf_dir):
     """The same as ``drop_similar`` by op1's contract (3-word SimHash, 3 bits); no stage of the pipeline."""
-    rows = _numbered_rows(docs)
-    groups = simhash.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"))
-    groups = groups.select(F.col("doc_id").alias("__row"), "component_id")
-    named = rows.select("__row", "doc_id").join(groups, "__row")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("x"))
-    return rows.join(first.select("x.__row"), "__row", "left_semi").select(*docs.columns)
+    rows, number = _numbered_rows(docs)
+    groups = simhash.near_duplicates(rows.select(F.col(number).alias("doc_id"), "text"))
+    return _first_of_each(rows, number, groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")))
 
 
 def drop_similar(spark, docs, sf_dir):
     """Of each group of texts alike in 0.8 or more of their five-word shingles keep the row with the smallest doc_id."""
-    rows = _numbered_rows(docs)
-    groups = jaccard.near_duplicates(rows.select(F.col("__row").alias("row"), "text"))
-    named = rows.select(F.col("__row").alias("row"), "doc_id").join(groups, "row")
-    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("x"))
-    return rows.join(first.select(F.col("x.row").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    rows, number = _numbered_rows(docs)
+    return _first_of_each(rows, number, jaccard.near_duplicates(rows.select(F.col(number).alias("row"), "text")))
 
 
 def hide_personal_data(spark, docs, sf_dir):
@@ -60,17 +61,20 @@ def hide_personal_data(spark, docs, sf_dir):
 
 
 def mix_sources(spark, docs, sf_dir):
-    """Take the words that the mix takes: a row per pass in which a document has any.
+    """Take the words that the mix takes: a row per pass in which a document has any, in the order of the schedule.
 
     A document at the end of its source's share is cut to its first words, joined by blanks.
     """
-    rows = _numbered_rows(docs)
-    taken = mixing.mix(rows.select("doc_id", "source", "text", "__row"), keep=["__row"])
-    taken = taken.select("__row", "size", F.explode("passes").alias("words")).where("words > 0")
-    mixed = rows.join(taken, "__row")
+    rows, number = _numbered_rows(docs)
+    taken = mixing.mix(rows.select("doc_id", "source", "text", number), keep=[number])
+    taken = taken.select(F.col(number).alias("n"), "size", F.explode("passes").alias("part"))
+    mix = unused("mix", docs.columns)
+    mixed = rows.join(taken.select(F.col("n").alias(number), F.struct("size", "part.*").alias(mix)), number)
+    words, size, slot = (F.col(f"{mix}.{c}") for c in ("words", "size", "slot"))
     listed = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.array_join(F.slice(listed, 1, F.col("words").cast("int")), " ")
-    return _measured(mixed.withColumn("text", F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text"))), docs.columns)
+    cut = F.array_join(F.slice(listed, 1, words.cast("int")), " ")
+    mixed = mixed.withColumn("text", F.when(words < size, cut).otherwise(F.col("text")))
+    return _measured(mixed.repartitionByRange(slot).sortWithinPartitions(slot), docs.columns)
 
 
 def tokenize(spark, docs, sf_dir):
