@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
 import random
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +25,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-#: Tokens and characters of the longest span that the model may find.
-TOKENS, CHARS = 16, 48
+#: Tokens of the longest span that the model may find, of any number of characters.
+TOKENS = 16
 #: Zones of the corpus that are learned from, characters of the longest, passes over them.
 ZONES, ZONE, PASSES, RATE = 300, 160, 6, 0.3
 
@@ -153,8 +153,6 @@ class Lattice:
                 continue
             told = False
             for j in range(i + 1, min(self.n, i + TOKENS) + 1):
-                if self.bounds[j] - self.bounds[i] > CHARS:
-                    break
                 last = text[self.bounds[j - 1]]
                 told = told or "0" <= last <= "9" or last == "@"
                 after = text[self.bounds[j] : self.bounds[j] + 1]
@@ -177,24 +175,41 @@ class Model:
         return np.sum(got, axis=0) if got else np.zeros(len(KINDS))
 
     def decode(self, text: str, start: int, end: int):
-        """The best segmentation of a zone: (start, kind, end) of its spans."""
-        lat = Lattice(text, start, end)
-        best, back = [0.0] + [-math.inf] * lat.n, [None] * (lat.n + 1)
-        at = {}
-        for i, j, feats in lat.spans:
-            s = self.score(feats)
-            k = int(s.argmax())
-            at.setdefault(j, []).append((i, k, float(s[k])))
-        for j in range(1, lat.n + 1):
-            best[j] = best[j - 1] + float(self.score(lat.plain[j - 1])[0])
-            for i, k, s in at.get(j, ()):
-                if best[i] + s > best[j]:
-                    best[j], back[j] = best[i] + s, (i, k)
-        found, j = [], lat.n
+        """The best segmentation of a zone: (start, kind, end) of its spans.
+
+        One pass over the tokens. A candidate's features are made when its last token is
+        reached and dropped once scored; what stays is the best way's last step, a few
+        bytes a token, however long the zone.
+        """
+        bounds = array("q", (m.start() for m in _TOKEN.finditer(text, start, end)))
+        bounds.append(end)
+        n, ring = len(bounds) - 1, TOKENS + 1
+        back, kind = array("q", [-1]) * (n + 1), bytearray(n + 1)
+        best, opens, plain, told = [0.0] * ring, [False] * ring, {}, -1
+        for j in range(1, n + 1):
+            at = bounds[j - 1]
+            c, before, after = text[at], text[max(0, at - 1) : at], text[bounds[j] : bounds[j] + 1]
+            opens[(j - 1) % ring] = c.isalnum() and not before.isalnum() or c in "+("
+            if "0" <= c <= "9" or c == "@":
+                told = j - 1
+            if c not in plain:
+                if len(plain) > 4096:
+                    plain.clear()
+                plain[c] = float(self.score(Lattice._plain(c))[0])
+            now = best[(j - 1) % ring] + plain[c]
+            if c.isalnum() and not after.isalnum() or c == ")":
+                for i in range(max(0, j - TOKENS), min(told, j - 1) + 1):
+                    if opens[i % ring]:
+                        s = self.score(span_features(text, bounds[i], bounds[j]))
+                        k = int(s.argmax())
+                        if best[i % ring] + float(s[k]) > now:
+                            now, back[j], kind[j] = best[i % ring] + float(s[k]), i, k
+            best[j % ring] = now
+        found, j = [], n
         while j > 0:
-            if back[j]:
-                found.append((lat.bounds[back[j][0]], back[j][1], lat.bounds[j]))
-                j = back[j][0]
+            if back[j] >= 0:
+                found.append((bounds[back[j]], kind[j], bounds[j]))
+                j = back[j]
             else:
                 j -= 1
         return found[::-1]
@@ -300,8 +315,8 @@ def made_up(seed: int = 11, rounds: int = 12) -> list[tuple[str, list[tuple[int,
 def fit(docs: DataFrame) -> Model:
     """Learn from zones written by rule and from up to ``ZONES`` zones of ``docs``, drawn by hash.
 
-    The zones' base spans are taken as true, the rest as none. The drawing covers all
-    rows; only zones of at most ``ZONE`` characters reach the driver.
+    The zones' base spans are taken as true, the rest as none. The drawing covers the
+    different zones of all rows; only zones of at most ``ZONE`` characters are drawn.
     """
 
     def found(batches_in):
@@ -314,7 +329,7 @@ def fit(docs: DataFrame) -> Model:
 
     ship(docs.sparkSession)
     drawn = docs.where(F.col("text").rlike("[0-9@]")).select(whole().alias("text")).mapInArrow(found, "zone string")
-    drawn = drawn.orderBy(F.xxhash64("zone", F.lit(23)), "zone").limit(ZONES).collect()
+    drawn = drawn.distinct().orderBy(F.xxhash64("zone", F.lit(23)), "zone").limit(ZONES).collect()
     examples = made_up()
     for row in drawn:
         spans, end = [], 0

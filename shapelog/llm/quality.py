@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from shapelog.llm.common import ship, whole
 from shapelog.llm.sample import labelled, logistic, sigmoid
 
-#: Rows per label whose excerpts make a dictionary, characters of an excerpt, bytes of a
-#: dictionary, rows per label whose sizes calibrate the score.
-ROWS, EXCERPT, SIZE, CALIBRATE = 1500, 2000, 112_640, 6000
+#: Labelled rows per label whose whole texts are cut into pieces, characters of a piece,
+#: pieces per label that make a dictionary, bytes of a dictionary, rows per label whose
+#: sizes calibrate the score.
+ROWS, PIECE, PIECES, SIZE, CALIBRATE = 6000, 2000, 3000, 112_640, 6000
 LEVEL = 3
 
 
@@ -91,8 +92,9 @@ def _sizes(docs: DataFrame, good: bytes, bad: bytes, kept: list[str]) -> DataFra
 def fit(docs: DataFrame, labels: DataFrame, use=None) -> Model:
     """Learn from the labelled rows whose doc_id meets ``use`` (a column; all by default).
 
-    One half of the ids, by hash, gives the excerpts of the dictionaries (``ROWS`` per
-    label, ``EXCERPT`` characters at a place drawn by hash), the other half calibrates
+    One half of the ids, by hash, gives the dictionaries: the whole texts of ``ROWS`` rows
+    per label are cut into pieces of ``PIECE`` characters on the executors, and ``PIECES``
+    of them are drawn by hash, wherever in a text they stand. The other half calibrates
     (``CALIBRATE`` per label, whole texts compressed on the executors, four numbers
     each to the driver). Missing halves or labels fall back: without rows for the
     calibration those of the dictionaries are used, with one label only the score is
@@ -101,11 +103,12 @@ def fit(docs: DataFrame, labels: DataFrame, use=None) -> Model:
     use = F.lit(True) if use is None else use
     half = F.xxhash64(F.col("doc_id").cast("long"), F.lit(3)).bitwiseAND(1)
     first = labelled(docs, labels, "quality", use & (half == 0), ROWS, True)
-    length = F.greatest(F.length(whole()) - EXCERPT, F.lit(0)) + 1
-    place = (F.pmod(F.xxhash64("doc_id", F.lit(5)), length) + 1).cast("int")
-    cut = first.select("doc_id", "label", F.substring(whole(), place, EXCERPT).alias("text"))
-    rows = cut.orderBy("doc_id", "text").collect()
-    good, bad = (_dictionary([r.text for r in rows if r.label == v]) for v in (1, 0))
+    last = F.expr(f"(greatest(length(text), 1) - 1) div {PIECE}")
+    first = first.select("doc_id", "label", whole().alias("text"))
+    cut = first.select("doc_id", "label", "text", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("n"))
+    cut = cut.select("doc_id", "label", "n", F.substring("text", (F.col("n") * PIECE + 1).cast("int"), F.lit(PIECE)).alias("text"))
+    drawn = [cut.where(F.col("label") == v).orderBy(F.xxhash64("doc_id", "n"), "doc_id", "n").limit(PIECES) for v in (1, 0)]
+    good, bad = (_dictionary([r.text for r in rows.select("text").collect()]) for rows in drawn)
 
     def measured(bit):
         part = labelled(docs, labels, "quality", use & (half == bit), CALIBRATE, True)

@@ -17,7 +17,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, use, rows: int, by_
 
     Ids are drawn from the label table alone (``use`` is a condition on doc_id),
     ``rows`` for each label or in all. What is joined with the documents is thus of
-    a size that does not grow and is broadcast; the documents do not move.
+    a size that does not grow and is broadcast; the documents do not move. Of rows that
+    repeat an id the one with the least text is taken, so ``rows`` holds for rows, too.
     """
     ids = labels.where(use).where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
     ids = ids.groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -27,7 +28,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, use, rows: int, by_
         drawn = parts[0].union(parts[1])
     else:
         drawn = ids.orderBy(*order).limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:

@@ -98,3 +98,25 @@ def test_redaction_and_odd_rows(spark, model):
     assert pii.redact(docs, model).columns == docs.columns
     assert pii.find(docs.limit(0), model).count() == 0
     assert pii.fit(docs.limit(0)).weights
+
+
+def test_long_numeric_texts_in_bounded_memory():
+    """A table dump is one zone: a few dozen bytes a character stay, and the parts are found as in short texts."""
+    import tracemalloc
+
+    model = pii.train(pii.made_up())
+    text = "4,7,12,305;" * 2_000
+    spot = "call 415-555-0198 now"
+    tracemalloc.start()
+    found = model.decode(text + spot, 0, len(text) + len(spot))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * len(text)
+    start = len(text) + 5
+    assert (start, 3, start + 12) in found
+
+
+def test_spans_of_any_length_in_characters():
+    model = pii.train(pii.made_up())
+    address = "a" * 40 + "." + "b" * 40 + "@" + "c" * 30 + ".com"
+    assert [s for s in model.decode(address, 0, len(address)) if s[2] - s[0] > 48]

@@ -80,3 +80,57 @@ def test_long_labelled_rows_are_learned_from(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
     judge = toxicity.Judge(toxicity.fit(docs, labels))
     assert all((judge(t)[0] >= 0.5) == bool(i % 2) for i, t in rows)
+
+
+def test_quality_scores_against_plain_compression(spark):
+    """Each score of the query's model recomputed from whole texts with the library's own compressor."""
+    import numpy as np
+    import zstandard
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"), remainder(3) != 1)
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+
+    def size(data, book):
+        held = zstandard.ZstdCompressionDict(book)
+        maker = zstandard.ZstdCompressor(level=3, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False)
+        return len(maker.compress(data))
+
+    for r in docs.collect():
+        data = (r.text or "").encode()
+        good, bad, n = size(data, model.good), size(data, model.bad), max(1, len(data))
+        f = [(bad - good) / max(good, bad), (bad - good) / n, good / n, np.log(n)]
+        x = np.array(f + [f[i] * f[j] for i in range(4) for j in range(i + 1)])
+        z = model.weights[0] + ((x - model.center) / model.scale) @ model.weights[1:]
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_toxicity_scores_against_noisy_or(spark):
+    """Each score of the query's model recomputed from the words of its sentences."""
+    import math
+    import re
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"), remainder(5) != 0)
+    for r in toxicity.score(docs, model).collect():
+        text = docs.where(F.col("doc_id") == r.doc_id).first().text or "" if r.doc_id % 10 == 0 else None
+        if text is None:
+            continue
+        calm, seen = 1.0, set()
+        for sentence in re.findall(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+$", text):
+            own = set()
+            for w in re.findall(r"[^\W\d_]+", sentence.lower()):
+                own |= {f for f in (w, w[:4] + "-" if len(w) >= 4 else w, w[:5] + "-" if len(w) >= 5 else w) if f in model.weights}
+            if own and frozenset(own) not in seen:
+                seen.add(frozenset(own))
+                calm *= 1 - 1 / (1 + math.exp(-model.bias - sum(model.weights[f] for f in own)))
+        assert abs(r.score - (1 - calm)) < 1e-9
+
+
+def test_repeated_ids_do_not_widen_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    from shapelog.llm.sample import labelled
+
+    rows = labelled(docs, labels, "quality", F.lit(True), 10, True).collect()
+    assert sorted(tuple(r) for r in rows) == [(1, "text 0", 1), (2, "b", 0)]
