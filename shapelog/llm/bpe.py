@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapelog.llm.common import ship, whole
+from shapelog.llm.common import ship
 
 #: White space of the tokenizer files' patterns; str.split() also splits at x1c-x1f.
 _SPACES = regex.compile(r"[\t-\r\x20\x85\p{Z}]+")
@@ -420,13 +420,15 @@ def encode(docs: DataFrame, tokenizer: str, decode: str | None = None) -> DataFr
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([f"`{c}` {types[c]}" for c in kept] + ["ids array<int>"] + ["decoded string"] * bool(decode))
 
+    text = kept.index("text")
+
     def run(batches_in):
         encoder = _encoder(model.value)
         for batch in batches_in:
-            for start, stop in _portions(batch.column(batch.num_columns - 1)):
+            for start, stop in _portions(batch.column(text)):
                 part = batch.slice(start, stop - start)
-                ids = [encoder.packed(t.as_py()) for t in part.column(part.num_columns - 1)]
-                columns = [part.column(i) for i in range(part.num_columns - 1)]
+                ids = [encoder.packed(t.as_py() or "") for t in part.column(text)]
+                columns = list(part.columns)
                 offsets = pa.array([0, *_sums(len(x) // 4 for x in ids)], pa.int32())
                 flat = b"".join(ids)
                 values = pa.Array.from_buffers(pa.int32(), len(flat) // 4, [None, pa.py_buffer(flat)])
@@ -435,7 +437,7 @@ def encode(docs: DataFrame, tokenizer: str, decode: str | None = None) -> DataFr
                     columns.append(pa.array([_decoded(encoder.merges, array.array("i", x), decode) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=kept + ["ids", "decoded"][: 1 + bool(decode)])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], whole().alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
 
 def _decoded(merges, ids, form):
@@ -455,7 +457,7 @@ def _portions(texts, size=4 << 20):
     """Ranges of rows with about ``size`` characters, so that output batches stay small."""
     start = held = 0
     for i, text in enumerate(texts):
-        held += len(text.as_py())
+        held += len(text.as_py() or "")
         if held >= size:
             yield start, i + 1
             start, held = i + 1, 0

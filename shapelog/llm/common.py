@@ -14,9 +14,20 @@ from shapelog import session
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
+#: Bytes of an Arrow batch: texts are long, and a task holds a few batches on either side.
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers."""
+    """Make this package importable in the Python workers, and bound their batches by bytes.
+
+    The session's limit (64 MB by default) is lowered, never raised.
+    """
     session.ship_package(spark)
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(limit).lower().rstrip("b")
+    if held.isdigit() and int(held) > BATCH_BYTES:
+        spark.conf.set(limit, str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
