@@ -579,6 +579,7 @@ ORACLES = {
     "x2_stream_others": f"WITH {_events(tables.EVENT_LINES)} "
     "SELECT module || ': ' || msg AS text, count(*) AS events FROM records "
     "WHERE module NOT IN ('JSIPCTypeSend', 'JSIPCSerializer') GROUP BY ALL",
-    "x3_stream_catalog": f"WITH {_events(tables.EVENT_LINES)} "
-    "SELECT actor, message, CASE WHEN min(kind) = 0 THEN 1 ELSE 2 END AS arity FROM uses GROUP BY actor, message",
 }
+
+# The stream comes to the catalog of the whole log.
+ORACLES["x3_stream_catalog"] = ORACLES["c12_discover"]
