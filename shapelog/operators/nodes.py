@@ -134,6 +134,39 @@ def mergeable_shapes(pairs: DataFrame, a="names_a", b="names_b") -> DataFrame:
     return pairs.withColumn("mergeable", mergeable(F.col(a), F.col(b)))
 
 
+def mergeable_pairs(shapes: DataFrame, keys, names: str = "names") -> DataFrame:
+    """All pairs of different shapes of a group that may be one: ``keys``, ``names_a``, ``names_b``.
+
+    A set-similarity join over an inverted index of names, with no pair of shapes that
+    share no name of a prefix. Each shape (an array of property names) counts once per
+    group, names sorted; a is the smaller one, by size and then by text. If a has at most
+    half as many names as b it must lie in b, otherwise the two share more than half of
+    b's; so one of a's rarest names, all but half of them, is in b. Only these names of a
+    look up the index, of shapes that are not smaller; what they meet is checked exactly.
+    An empty shape may be any other one of its group.
+    """
+    tidy = shapes.select(*keys, F.array_sort(F.array_distinct(names)).alias("names")).distinct()
+    tidy = tidy.withColumns({"size": F.size("names"), "text": F.to_json(F.struct("names"))})
+    # Every shape has the name NULL stands for, the only one of an empty shape.
+    held = durable(tidy.withColumn("name", F.explode(F.concat(F.array(F.lit(None).cast("string")), "names"))))
+    counts = held.where("name IS NOT NULL").groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("shapes"))
+    listed = held.where("name IS NOT NULL").join(counts, [*keys, "name"]).groupBy(*keys, "text").agg(
+        F.array_sort(F.collect_list(F.struct("shapes", "name"))).alias("rarest"), F.first("names").alias("names"), F.first("size").alias("size")
+    )
+    probes = listed.select(*keys, "text", "names", "size", F.explode(F.expr("slice(rarest.name, 1, size - size div 2)")).alias("name"))
+    index = held.where("name IS NOT NULL").select(
+        *keys, "name", F.col("text").alias("text_b"), F.col("names").alias("names_b"), F.col("size").alias("size_b")
+    )
+    met = probes.join(index, [*keys, "name"])
+    of_empty = held.where("size = 0").select(*keys, "text", "names", "size").join(
+        index.drop("name").distinct(), keys
+    )
+    later = F.struct("size", "text") < F.struct("size_b", "text_b")
+    columns = [*keys, F.col("names").alias("names_a"), "names_b"]
+    found = met.where(later & mergeable(F.col("names"), F.col("names_b"))).select(*columns).distinct()
+    return found.unionByName(of_empty.select(*columns))
+
+
 def merge_nodes(nodes: DataFrame, keys) -> DataFrame:
     """Union that always merges objects, as a set operation over places.
 

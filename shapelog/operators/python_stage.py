@@ -63,39 +63,6 @@ def flat_map_rows(df: DataFrame, columns, function: Callable, schema: str) -> Da
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def fill_columns(df: DataFrame, col, target, function: Callable, added: str) -> DataFrame:
-    """Fill ``target`` where it is null, and the ``added`` columns, from ``col``.
-
-    ``function`` gives the values of ``target`` and ``added`` for one text; it
-    sees each text of a batch once.  Other columns and rows pass untouched.
-    """
-    ship_package(df.sparkSession)
-    schema = StructType(df.schema.fields + StructType.fromDDL(added).fields)
-    out = to_arrow_schema(schema)
-    at, width = df.columns.index(target), 1 + len(StructType.fromDDL(added))
-
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(col).to_pylist()
-            known = batch.column(target).to_pylist()
-            missing = {t for t, k in zip(texts, known) if k is None and t is not None}
-            found = {t: function(t) for t in missing}
-            none = (None,) * (width - 1)
-            filled = [
-                (k, *none) if k is not None else found.get(t, (None, *none))
-                for t, k in zip(texts, known)
-            ]
-            first, *more = map(list, zip(*filled)) if filled else [[] for _ in range(width)]
-            arrays = batch.columns + more
-            arrays[at] = first
-            typed = [
-                a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(arrays, out)
-            ]
-            yield pa.RecordBatch.from_arrays(typed, schema=out)
-
-    return df.mapInArrow(run, schema)
-
-
 def fold_groups(df: DataFrame, keys, order, columns, function: Callable, schema: str) -> DataFrame:
     """Stream each group, in ``order``, through ``function``.
 

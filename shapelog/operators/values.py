@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,8 @@ from shapelog.functions.typetext import type_state
 from shapelog.operators.dedupe import first_positions
 from shapelog.operators.extract import evaluate_once, fail_on_error
 from shapelog.operators.nodes import type_nodes
-from shapelog.operators.python_stage import fill_columns, flat_map_rows, fold_groups, spread
+from shapelog.operators.python_stage import flat_map_rows, fold_groups, spread
+from shapelog.session import ship_package
 
 MESSAGE = ["actor", "message"]
 # The readers' quoted forms, with loops that Java runs without recursion.
@@ -62,19 +64,29 @@ def _value_json(payload):
 def parse_payloads(df: DataFrame, col="contents", mode="PERMISSIVE") -> DataFrame:
     """Add ``value`` (JSON text) and ``error`` for a column of JS literals.
 
-    JSON is recognised on the JVM and its rows never leave it; Python reads each
-    other payload of a batch once.  Rows stay where they are: nothing is shuffled.
+    JSON is recognised on the JVM.  Rows never leave it, whatever they hold: only the
+    text of payloads that are no JSON goes to Python, as the one column of a vectorised
+    function, which reads each of a batch once.  The input is read once, and nothing is
+    shuffled.
     """
+    ship_package(df.sparkSession)
     # A number with an exponent but no fraction is JSON and no literal.
     is_json = F.try_parse_json(col).isNotNull() & ~F.col(col).rlike(r"\d[eE]")
     settled = F.coalesce(is_json, F.col(col).isNull(), F.lit(False)) | F.col(col).isNull()
-    none = F.lit(None).cast("string")
-    plain = df.filter(settled).withColumns({"value": F.col(col), "error": none})
-    others = df.filter(~settled).withColumn("value", none)
-    parsed = plain.unionByName(fill_columns(others, col, "value", _value_json, "error string"))
+    others = df.withColumn("__other", evaluate_once(F.when(~settled, F.col(col))))
+    read = others.withColumn("__read", F.pandas_udf(_read_texts, "value string, error string")("__other"))
+    value = F.when(F.col("__other").isNull(), F.col(col)).otherwise(F.col("__read.value"))
+    parsed = read.withColumns({"value": value, "error": F.col("__read.error")}).drop("__other", "__read")
     return fail_on_error(parsed, mode)
 
 
+def _read_texts(texts: pd.Series) -> pd.DataFrame:
+    """The value of each literal of a batch, or what is wrong with it; nulls stay."""
+    found = {t: _value_json(t) for t in texts.dropna().unique()}
+    rows = [found.get(t, (None, None)) for t in texts]
+    return pd.DataFrame(rows, columns=["value", "error"], dtype=object)
+
+
 _TYPED = "type_text string, type_key string, type_state string, node_state string"
 
 

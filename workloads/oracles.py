@@ -433,7 +433,6 @@ ORACLES = {
     "t2_simplify_types": f"WITH {_ORDER_RAW} SELECT DISTINCT raw_type, {_order_json(True)} AS type_json, "
     f"{_order_text(True)} AS type_ts FROM typed",
     "t3_union_types": f"WITH {_ORDER_RAW}, {_ORDER_UNION} SELECT * FROM united",
-    "t3_union_large_types": f"WITH {_ORDER_RAW}, {_ORDER_UNION} SELECT * FROM united",
     "t3_union_event_types": _log(
         f"SELECT actor, message, kind, '{_EVENT_UNION}' AS type_ts, count(*) AS n_types "
         "FROM uses GROUP BY actor, message, kind"
@@ -449,6 +448,18 @@ ORACLES = {
           SELECT k, actor, len(list_intersect(names, names_b)) AS shared, len(names) AS a, len(names_b) AS b
           FROM shaped JOIN firsts USING (actor))
         SELECT k, actor, shared = least(a, b) OR 2 * shared > greatest(a, b) AS mergeable FROM pairs""",
+    "t4_mergeable_pairs": """
+        WITH shaped AS (
+          SELECT DISTINCT event_type AS actor,
+            list_sort(list_distinct(['n' || CAST(event_id % 3 AS VARCHAR), 'n' || CAST(event_id % 5 AS VARCHAR),
+                           'n' || CAST(user_id % 7 AS VARCHAR), 'n' || CAST(user_id % 4 AS VARCHAR)])) AS names
+          FROM events),
+        pairs AS (
+          SELECT a.actor, a.names AS a, b.names AS b, len(list_intersect(a.names, b.names)) AS shared
+          FROM shaped a JOIN shaped b ON a.actor = b.actor AND a.names <> b.names
+            AND (len(a.names), array_to_string(a.names, ' ')) < (len(b.names), array_to_string(b.names, ' ')))
+        SELECT actor, array_to_string(a, ' ') AS names_a, array_to_string(b, ' ') AS names_b
+        FROM pairs WHERE shared = len(a) OR 2 * shared > len(b)""",
     "t11_combine_log": _log(
         f", texts AS ({_EVENT_TEXT}) SELECT actor, message, kind, type_ts AS input_ts, "
         f"count(*) OVER (PARTITION BY actor, message, kind) AS n_types, '{_EVENT_UNION}' AS combined_ts, "
@@ -544,12 +555,14 @@ ORACLES = {
         FROM kept""".replace("{{", "{").replace("}}", "}"),
     "v2_infer_value_types": f"{_VALUES} SELECT actor, message, type_text, count(*) AS events FROM typed GROUP BY ALL",
     "v3_detect_map_objects": f"""{_VALUES},
-        types AS (SELECT DISTINCT actor, k % 3 AS note, k % 4 AS tags FROM kept WHERE message = 'order')
-        SELECT actor, '$' AS path, false AS is_map, CAST(NULL AS VARCHAR) AS key_type,
-               CAST(NULL AS VARCHAR) AS value_type, count(*) AS types FROM types GROUP BY actor
+        types AS (
+          SELECT DISTINCT actor, message, k % 3 AS note, k % 4 AS tags FROM kept WHERE message = 'order'
+          UNION ALL SELECT DISTINCT actor, message, 0, 0 FROM kept WHERE message = 'lit' AND k % 97 <> 0)
+        SELECT actor, message, '$' AS path, false AS is_map, CAST(NULL AS VARCHAR) AS key_type,
+               CAST(NULL AS VARCHAR) AS value_type, count(*) AS types FROM types GROUP BY actor, message
         UNION ALL
-        SELECT actor, '$."\\"tags\\""[]', true, 'string', 'bool', count(*) FROM types WHERE tags = 3
-        GROUP BY actor""",
+        SELECT actor, message, '$."\\"tags\\""[]', true, 'string', 'bool', count(*) FROM types WHERE tags = 3
+        GROUP BY actor, message""",
     "v3_detect_map_props": "SELECT DISTINCT event_type AS actor, '$' AS path, true AS is_map, "
     "'string' AS key_type, 'number' AS value_type FROM events "
     "WHERE len(json_keys(props)) > 0",
@@ -561,13 +574,16 @@ ORACLES = {
                message_line
         FROM united JOIN seen USING (actor, message)""",
     "v13_merge_value_nodes": f"""{_VALUES},
-        actors AS (SELECT DISTINCT actor FROM kept WHERE message = 'order')
-        SELECT actor, path, tags, optional FROM actors, (VALUES
-          ('$', 'object', false), ('$."\\"id\\""', 'number', false),
-          ('$."\\"note\\""', 'null | string', true), ('$."\\"tags\\""', 'array', false),
-          ('$."\\"tags\\""[]', 'map | never | number | string', false),
-          ('$."\\"tags\\""[]{{k}}', 'string', false), ('$."\\"tags\\""[]{{v}}', 'bool', false)
-        ) v(path, tags, optional)""".replace("{{", "{").replace("}}", "}"),
+        messages AS (SELECT DISTINCT actor, message FROM typed WHERE type_text IS NOT NULL)
+        SELECT actor, message, path, tags, optional FROM messages JOIN (VALUES
+          ('order', '$', 'object', false), ('order', '$."\\"id\\""', 'number', false),
+          ('order', '$."\\"note\\""', 'null | string', true), ('order', '$."\\"tags\\""', 'array', false),
+          ('order', '$."\\"tags\\""[]', 'map | never | number | string', false),
+          ('order', '$."\\"tags\\""[]{{k}}', 'string', false), ('order', '$."\\"tags\\""[]{{v}}', 'bool', false),
+          ('lit', '$', 'object', false), ('lit', '$.id', 'number', false), ('lit', '$.when', 'Date', false),
+          ('lit', '$.re', 'regexp', false), ('lit', '$."\\"q\\""', 'array', false),
+          ('lit', '$."\\"q\\""[]', 'bool | null | number | undefined', false)
+        ) v(message, path, tags, optional) USING (message)""".replace("{{", "{").replace("}}", "}"),
     "x1_stream_type_uses": f"WITH {_events(tables.EVENT_LINES)} "
     "SELECT raw_type, actor, message, kind FROM uses",
     "x2_stream_reports": f"WITH {_events(tables.EVENT_LINES)} "

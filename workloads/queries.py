@@ -312,13 +312,6 @@ def t3_union_types(spark, folder):
     )
 
 
-@query
-def t3_union_large_types(spark, folder):
-    """The same groups without their reports' order: large ones are folded like all others."""
-    grouped = durable(grouped_of(order_lines(spark, folder)).repartition("actor"))
-    return unions.union_types(grouped).select("actor", "message", "kind", "type_ts", "n_types")
-
-
 @query
 def t3_union_in_order(spark, folder):
     """Three overlapping shapes, of which the first two to come decide the union."""
@@ -350,6 +343,14 @@ def t4_mergeable_shapes(spark, folder):
     return nodes.mergeable_shapes(pairs).select("k", "actor", "mergeable")
 
 
+@query
+def t4_mergeable_pairs(spark, folder):
+    """All pairs of shapes of a message that may be one."""
+    return nodes.mergeable_pairs(table(spark, folder, SHAPES), ["actor"]).select(
+        "actor", F.array_join("names_a", " ").alias("names_a"), F.array_join("names_b", " ").alias("names_b")
+    )
+
+
 SHAPES = """
     SELECT event_id AS k, event_type AS actor,
       array_distinct(array('n' || CAST(event_id % 3 AS VARCHAR(20)), 'n' || CAST(event_id % 5 AS VARCHAR(20)),
@@ -536,9 +537,8 @@ def v2_infer_value_types(spark, folder):
 
 @query
 def v3_detect_map_objects(spark, folder):
-    typed = payload_types(spark, folder).filter("message = 'order'")
-    found = values.detect_map_objects(values.distinct_value_types(typed))
-    return found.groupBy("actor", "path", "is_map", "key_type", "value_type").agg(
+    found = values.detect_map_objects(values.distinct_value_types(payload_types(spark, folder)))
+    return found.groupBy("actor", "message", "path", "is_map", "key_type", "value_type").agg(
         F.count(F.lit(1)).alias("types")
     )
 
@@ -584,11 +584,11 @@ def v7_value_type_report(spark, folder):
 @query
 def v13_merge_value_nodes(spark, folder):
     """The always-merging union over value types."""
-    strict = values.distinct_value_types(payload_types(spark, folder)).filter("message = 'order'")
+    strict = values.distinct_value_types(payload_types(spark, folder))
     rows = nodes.type_nodes(strict.select("actor", "message", "type_key", "node_state"), "node_state")
     merged = nodes.merge_nodes(rows, values.MESSAGE)
     return merged.select(
-        "actor", "path", F.array_join("tags", " | ").alias("tags"), "optional"
+        "actor", "message", "path", F.array_join("tags", " | ").alias("tags"), "optional"
     )
 
 
