@@ -254,7 +254,7 @@ def within_window(m: Merges, shown: str) -> list[int]:
 class Encoder:
     """Texts to token ids as the tokenizer file says."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, kept: int = KEPT):
         self.merges = Merges(text)
         spec = json.loads(text)
         self._check(spec)
@@ -264,8 +264,8 @@ class Encoder:
         names = sorted(map(regex.escape, self.merges.special), key=len, reverse=True)
         self.special = regex.compile(f"({'|'.join(names)})") if names else None
         self.chars = byte_chars()
-        self.kept = _Kept(self.chunk, KEPT)
-        self.kept_words = _Kept(lambda w: array.array("i", self.word(w)).tobytes(), KEPT_WORDS)
+        self.kept = _Kept(self.chunk, kept)
+        self.kept_words = _Kept(lambda w: array.array("i", self.word(w)).tobytes(), kept * KEPT_WORDS // KEPT)
 
     @staticmethod
     def _check(spec):
@@ -397,33 +397,35 @@ class Decoder:
 _LOADED = {}
 
 
-def _encoder(text) -> Encoder:
-    if text not in _LOADED:
+def _encoder(text, kept) -> Encoder:
+    if (text, kept) not in _LOADED:
         _LOADED.clear()
-        _LOADED[text] = Encoder(text)
-    return _LOADED[text]
+        _LOADED[text, kept] = Encoder(text, kept)
+    return _LOADED[text, kept]
 
 
-def encode(docs: DataFrame, tokenizer: str, decode: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, decode: str | None = None, kept: int = KEPT) -> DataFrame:
     """``docs`` with ``ids`` (array of int), and ``decoded`` if a form of ``Decoder`` is named.
 
     ``tokenizer`` is the path of a tokenizer file on the driver; its text goes to the
     executors as one broadcast of that file's size. Null and empty texts have no
     ids. All rows and other columns stay, repeated rows too; a column already named
     ``ids`` or ``decoded`` is replaced. An empty table gives an empty result. A text
-    of any length is encoded whole: only its words in work are held, and its ids.
+    of any length is encoded whole: only its words in work are held, and its ids. A
+    worker keeps up to ``kept`` chunks encoded in each of two generations, some 300 bytes
+    each with their words; fewer cost time, more cost memory, and ids are the same.
     """
     with open(tokenizer, encoding="utf-8") as file:
         model = docs.sparkSession.sparkContext.broadcast(file.read())
     ship(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
+    columns_kept = [c for c in docs.columns if c not in ("ids", "decoded")]
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([f"`{c}` {types[c]}" for c in kept] + ["ids array<int>"] + ["decoded string"] * bool(decode))
+    schema = ", ".join([f"`{c}` {types[c]}" for c in columns_kept] + ["ids array<int>"] + ["decoded string"] * bool(decode))
 
-    text = kept.index("text")
+    text = columns_kept.index("text")
 
     def run(batches_in):
-        encoder = _encoder(model.value)
+        encoder = _encoder(model.value, kept)
         for batch in batches_in:
             for start, stop in _portions(batch.column(text)):
                 part = batch.slice(start, stop - start)
@@ -435,9 +437,9 @@ def encode(docs: DataFrame, tokenizer: str, decode: str | None = None) -> DataFr
                 columns.append(pa.ListArray.from_arrays(offsets, values))
                 if decode:
                     columns.append(pa.array([_decoded(encoder.merges, array.array("i", x), decode) for x in ids], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=kept + ["ids", "decoded"][: 1 + bool(decode)])
+                yield pa.RecordBatch.from_arrays(columns, names=columns_kept + ["ids", "decoded"][: 1 + bool(decode)])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in columns_kept]).mapInArrow(run, schema)
 
 
 def _decoded(merges, ids, form):
