@@ -12,6 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from shapelog.llm.common import ship
 
@@ -20,6 +21,8 @@ _SPACES = regex.compile(r"[\t-\r\x20\x85\p{Z}]+")
 _ODD = regex.compile(r"[\x1c-\x1f]")
 #: Chunks (text between white space) and words that a worker keeps encoded, in each of two generations.
 KEPT, KEPT_WORDS = 350_000, 200_000
+#: Up to this code point all versions of Unicode say the same of letters, case and composition.
+SETTLED = "\u02ff"
 #: Longest chunk that is kept.
 KEPT_CHARS = 64
 #: Characters of a text that are split into chunks at a time.
@@ -256,6 +259,7 @@ class Encoder:
 
     def __init__(self, text: str, kept: int = KEPT):
         self.merges = Merges(text)
+        self.library = Tokenizer.from_str(text)
         spec = json.loads(text)
         self._check(spec)
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
@@ -300,10 +304,19 @@ class Encoder:
 
     def chunk(self, chunk: str) -> bytes:
         """Ids of text without white space, as packed 32-bit numbers."""
-        # Lower case one character at a time: no final sigma.
-        plain = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        low = plain.lower()
-        return b"".join([self.kept_words[w] for w in self.words.findall(low)])
+        if not chunk.isascii() and max(chunk) > SETTLED:
+            return b"".join([self.kept_words[w] for w in self._split(chunk)])
+        plain = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
+        return b"".join([self.kept_words[w] for w in self.words.findall(plain.lower())])
+
+    def _split(self, chunk):
+        """Words of a chunk by the library's own normalizer and splitting.
+
+        Which code points are letters, compose or have a lower case depends on the version
+        of Unicode; this interpreter's is another one than the library's.
+        """
+        low = self.library.normalizer.normalize_str(chunk)
+        return [low[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(low)]
 
     def stream(self, text: str):
         """Packed ids of a whole text, one step after the other."""

@@ -86,3 +86,24 @@ def test_table(spark):
     clash = docs.withColumnRenamed("lang", "ids").withColumnRenamed("source", "decoded")
     assert bpe.encode(clash, PATH).columns == ["doc_id", "text", "n_chars", "ids"]
     assert bpe.encode(docs.limit(0), PATH, decode="text").count() == 0
+
+
+def test_every_plane_as_the_library():
+    """Each code point alone, between letters, and beside combining marks; every 61st of the mostly empty planes."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x32000 or 0xE0000 <= c < 0xE0200 or c % 61 == 0)]
+    encoder = bpe.Encoder(open(PATH, encoding="utf-8").read())
+    for at in range(0, len(points), 20_000):
+        texts = [f"{chr(c)} a{chr(c)}b {chr(c)}̧́x ́{chr(c)}1" for c in points[at : at + 20_000]]
+        for text, want in zip(texts, LIBRARY.encode_batch_fast(texts, add_special_tokens=False)):
+            assert encoder.encode(text).tolist() == want.ids, ascii(text)
+
+
+def test_random_texts_of_all_planes():
+    import random
+
+    rng = random.Random(2)
+    encoder = bpe.Encoder(open(PATH, encoding="utf-8").read())
+    ranges = [(0x20, 0x7F), (0xA0, 0x600), (0x600, 0x3000), (0x3000, 0xD800), (0xE000, 0x20000), (0x20000, 0x110000)]
+    for _ in range(6_000):
+        text = "".join(chr(rng.randrange(*rng.choice(ranges))) if rng.random() < 0.8 else rng.choice(" \ńͅ'sΣ") for _ in range(12))
+        assert encoder.encode(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids, ascii(text)
