@@ -9,112 +9,84 @@ numbers from the root down, so that a row knows which of several parents is its
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, StructField, StructType
 
-from shapelog.session import durable
+from shapelog.functions.typetext import IDENTIFIER
+from shapelog.session import durable, ship_package
 
-# Tags of types that have others inside.
-_OPENED = ["object", "array", "set", "map"]
-_NODE = ["path", "parent_path", "tag", "name", "optional", "pos", "at", "parent_at"]
+_BARE = re.compile(IDENTIFIER).fullmatch
 
-# A place is struct<path, parent, name, optional, above, v>; v holds the type there.
-_PLACE = (
-    "named_struct('path', {path}, 'parent', {parent}, 'name', {name},"
-    " 'optional', {optional}, 'above', {above}, 'v', {v})"
+_NODE = (
+    "path string, parent_path string, tag string, name string, optional boolean, pos int, at string, parent_at string"
 )
-# A name as types print it: bare, as an integer, or quoted.
-_TEXT_NAME = "variant_get(label, '$', 'string')"
-_NAME = rf"""
-    CASE WHEN schema_of_variant(label) <> 'STRING' THEN to_json(label)
-         WHEN {_TEXT_NAME} RLIKE '(?U)^(?!\\d)[\\w$]+$' THEN {_TEXT_NAME}
-         ELSE concat('"', replace({_TEXT_NAME}, '"', '\\"'), '"') END"""
-
-
-def _part(suffix, v):
-    return _PLACE.format(
-        path=f"concat(path, '{suffix}')", parent="path", name="CAST(NULL AS string)",
-        optional="false", above="at", v=v,
-    )
-
-
-def _property():
-    return _PLACE.format(
-        path=f"concat(path, '.', {_NAME})", parent="path", name=_NAME,
-        optional="CAST(items[3 * i + 3] AS boolean)", above="at", v="items[3 * i + 2]",
-    )
-
-
-# The places inside the type whose parts are ``items``, by its tag.
-_INSIDE = f"""
-    CASE tag
-      WHEN 'object' THEN transform(
-        filter(items, (item, i) -> i % 3 = 1), (label, i) -> {_property()})
-      WHEN 'array' THEN array({_part('[]', 'items[1]')})
-      WHEN 'set' THEN array({_part('<>', 'items[1]')})
-      WHEN 'map' THEN array({_part('{k}', 'items[1]')}, {_part('{v}', 'items[2]')})
-    END"""
-
-# A place as its members: the types of a union, or the one type itself.
-_MEMBERS = """
-    flatten(transform(places, place -> transform(
-      CASE WHEN try_variant_get(place.v, '$[0]', 'string') = 'union'
-           THEN filter(variant_get(place.v, '$', 'array<variant>'), (member, i) -> i > 0)
-           ELSE array(place.v) END,
-      (member, i) -> named_struct(
-        'path', place.path, 'parent_path', place.parent,
-        'tag', coalesce(try_variant_get(member, '$[0]', 'string'),
-                        try_variant_get(member, '$', 'string')),
-        'name', place.name, 'optional', place.optional, 'pos', i,
-        'at', concat_ws('.', place.above, i), 'parent_at', place.above,
-        'items', try_variant_get(member, '$', 'array<variant>')))))"""
-
-
-def type_depth(types: DataFrame, col="type_state") -> int:
-    """Greatest nesting of the types: one number, from an aggregate."""
-    marks = F.regexp_replace(F.regexp_replace(col, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]]", "")
-    steps = F.transform(F.split(marks, ""), lambda c: F.when(c == "[", 1).when(c == "]", -1).otherwise(0))
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-
-    def step(state, change):
-        now = state["now"] + change
-        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
-
-    deepest = F.aggregate(steps, start, step, lambda state: state["most"])
-    return types.agg(F.max(deepest)).first()[0] or 0
-
-
-def type_nodes(types: DataFrame, col="type_state", depth=None) -> DataFrame:
-    """One row per type at a place, next to the other columns of ``types``.
-
-    Each level explodes a row that has parts into itself, without them, and what
-    lies inside it; other rows pass.  It is one chain of narrow steps: no
-    shuffle, no Python.  ``depth`` saves the aggregate that finds it; if it is too
-    small for some type, that type's rows fail.
+# Types whose parts have no names, with the marks of their places.
+_PARTS = {"array": ("[]",), "set": ("<>",), "map": ("{k}", "{v}")}
+
+
+def _shown(label) -> str:
+    """A name as types print it: bare, as a number, or quoted."""
+    if not isinstance(label, str):
+        return json.dumps(label)
+    return label if _BARE(label) else '"' + label.replace('"', '\\"') + '"'
+
+
+def _nodes_of(state: str):
+    """The rows of one type, by an explicit stack: any depth that its text could be read at."""
+    places = [("$", None, None, False, None, json.loads(state))]
+    while places:
+        path, parent, name, optional, above, t = places.pop()
+        members = t[1:] if isinstance(t, list) and t[0] == "union" else [t]
+        for pos, member in enumerate(members):
+            at = str(pos) if above is None else f"{above}.{pos}"
+            tag = member[0] if isinstance(member, list) else member
+            yield path, parent, tag, name, optional, pos, at, above
+            if tag == "object" and isinstance(member, list):
+                for label, inner, may_lack in zip(member[1::3], member[2::3], member[3::3]):
+                    shown = _shown(label)
+                    places.append((f"{path}.{shown}", path, shown, bool(may_lack), at, inner))
+            elif isinstance(member, list):
+                for mark, inner in zip(_PARTS.get(tag, ()), member[1:]):
+                    places.append((path + mark, path, None, False, at, inner))
+
+
+def with_nodes(types: DataFrame, col="type_state") -> DataFrame:
+    """``types`` with the array ``nodes`` of each type's rows in place of ``col``; null types go.
+
+    One narrow step for types of any depth. A type is read once, so this belongs before
+    a join that repeats it; ``F.inline`` makes rows of the arrays after it.
     """
-    if depth is None:
-        depth = type_depth(types, col)
+    ship_package(types.sparkSession)
     others = [c for c in types.columns if c != col]
-    root = _PLACE.format(
-        path="'$'", parent="CAST(NULL AS string)", name="CAST(NULL AS string)",
-        optional="false", above="CAST(NULL AS string)", v=f"parse_json({col})",
-    )
-    rows = types.filter(F.col(col).isNotNull()).select(*others, F.expr(f"array({root})").alias("places"))
-    rows = rows.select(*others, F.inline(F.expr(_MEMBERS)))
-    # Only what has parts can be opened; it loses them when it is.
-    itself = """array(struct(path, parent_path, tag, name, optional, pos, at, parent_at,
-                             CAST(NULL AS array<variant>) AS items))"""
-    for _ in range(depth):
-        rows = rows.withColumn("places", F.expr(f"CASE WHEN items IS NOT NULL THEN {_INSIDE} END"))
-        rows = rows.select(
-            *others, F.inline(F.expr(f"concat({itself}, coalesce({_MEMBERS}, array()))"))
-        )
-    # A part that is still closed would be lost without a word.
-    closed = F.coalesce(F.exists("items", lambda _: F.lit(True)), F.lit(False)) & F.col("tag").isin(_OPENED)
-    tag = F.when(closed, F.raise_error(F.concat(F.lit("Nested deeper than the given depth: "), "path"))).otherwise(F.col("tag"))
-    return rows.withColumn("tag", tag).select(*others, *_NODE)
+    row = StructType.fromDDL(_NODE)
+    schema = StructType([*(types.schema[c] for c in others), StructField("nodes", ArrayType(row))])
+    kinds = [f.type for f in to_arrow_schema(row)]
+
+    def run(batches):
+        for batch in batches:
+            lists, ends = [], [0]
+            for state in batch.column(col).to_pylist():
+                lists.extend(_nodes_of(state))
+                ends.append(len(lists))
+            columns = zip(*lists) if lists else [[] for _ in kinds]
+            arrays = [pa.array(list(c), kind) for c, kind in zip(columns, kinds)]
+            nodes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(arrays, row.names))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), nodes], [*others, "nodes"])
+
+    return types.filter(F.col(col).isNotNull()).select(*others, col).mapInArrow(run, schema)
+
+
+def type_nodes(types: DataFrame, col="type_state") -> DataFrame:
+    """One row per type at a place, next to the other columns of ``types``."""
+    others = [c for c in types.columns if c != col]
+    return with_nodes(types, col).select(*others, F.inline("nodes"))
 
 
 def mergeable(names_a: Column, names_b: Column) -> Column:

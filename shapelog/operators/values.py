@@ -126,7 +126,7 @@ def rejected_payloads(events: DataFrame, mode="PERMISSIVE") -> DataFrame:
     return fail_on_error(bad.drop("value"), mode)
 
 
-def detect_map_objects(distinct: DataFrame, depth=None) -> DataFrame:
+def detect_map_objects(distinct: DataFrame) -> DataFrame:
     """Which objects are used as maps: ``path, is_map, key_type, value_type``.
 
     An object is a map if its first label is no bare word and all its values
@@ -134,7 +134,7 @@ def detect_map_objects(distinct: DataFrame, depth=None) -> DataFrame:
     ``distinct_value_types``; one row per object place of a type.
     """
     of_type = [*MESSAGE, "type_key"]
-    nodes = type_nodes(distinct.select(*of_type, "node_state"), "node_state", depth)
+    nodes = type_nodes(distinct.select(*of_type, "node_state"), "node_state")
     objects = nodes.filter(F.col("tag").isin("object", "map")).select(
         *of_type, "path", "pos", "at", (F.col("tag") == "map").alias("is_map")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from shapelog.functions.vocabulary import (
 )
 from shapelog.operators import catalog as cat
 from shapelog.operators import dedupe, extract, reports, unions, writers
-from shapelog.session import durable
+from shapelog.session import durable, durable_parts
 from shapelog.sources.logs import file_ranks, read_logs
 from shapelog.sources.overrides import read_overrides
 
@@ -67,17 +68,43 @@ class Discovery:
         }
         sinks[form](self.catalog, path, single_file)
 
+    def write_reports(self, path: str, form="parquet") -> None:
+        """Write each report to a folder of its name; part files keep a report's order by their names."""
+        for name in REPORTS:
+            report = getattr(self, name)
+            if report is not None:
+                report.write.mode("overwrite").format(form).save(f"{path.rstrip('/')}/{name}")
+
+
+#: What a discovery tells besides the catalog.
+REPORTS = (
+    "combined", "rejected_types", "rejected_messages", "rejected_overrides", "malformed", "failed", "ignored",
+    "fallbacks", "serializer", "others", "name_chars",
+)
+
+
+def read_reports(spark: SparkSession, path: str, form="parquet") -> dict[str, DataFrame]:
+    """The reports that ``write_reports`` wrote, by name; without overrides there are none of theirs."""
+    found = {}
+    for name in REPORTS:
+        try:
+            found[name] = spark.read.format(form).load(f"{path.rstrip('/')}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return found
+
 
 def route_records(records: DataFrame, options: Options) -> DataFrame:
-    """Each counted record with its ``route``, its ``text`` and what it is about.
+    """Each record that counts with its ``route``, its ``text`` and what it is about.
 
     One projection, so one pass over the log: type lines go through the filters
-    in their fixed order, serializer lines are fallbacks or other notes.  With
-    FAILFAST a malformed type line stops the job.
+    in their fixed order, serializer lines are fallbacks or other notes, those of
+    other modules are kept with their module.  Failed types are a list in log order,
+    so each has its own ``row``.  With FAILFAST a malformed type line stops the job.
     """
-    counted = records.filter(F.col("module").isin(TYPE_MODULE, SERIALIZER_MODULE))
     is_type = F.col("module") == TYPE_MODULE
-    words = counted.withColumn("word", extract.evaluate_once(F.split("msg", " ", 10)))
+    words = records.withColumn("word", extract.evaluate_once(F.split("msg", " ", 10)))
     word, good = F.col("word"), extract.is_type_event()
     actor, message, raw = F.get(word, F.lit(3)), F.get(word, F.lit(5)), F.get(word, F.lit(9))
     kind = extract.kind_code(F.get(word, F.lit(7)))
@@ -98,20 +125,22 @@ def route_records(records: DataFrame, options: Options) -> DataFrame:
         .when(is_type & (raw == FAILED), "failed")
         .when(is_type & excluded, "excluded")
         .when(is_type, "type")
+        .when(F.col("module") != SERIALIZER_MODULE, "other")
         .when(fallback != "", "fallback")
         .otherwise("serializer")
     )
     routed = words.withColumn("route", extract.evaluate_once(route))
     about_type = F.col("route") == "type"
+    failed = F.col("route") == "failed"
+    other = F.when(F.col("route") == "other", F.concat_ws(": ", "module", "msg"))
     text = F.when(about_type, raw).when(F.col("route") == "fallback", fallback)
-    return routed.filter(
-        F.col("route").isin("type", "ignored", "malformed", "fallback", "serializer")
-    ).select(
+    return routed.filter(~F.col("route").isin("no_value", "excluded")).select(
         "route",
-        F.when(F.col("route") == "ignored", "").otherwise(F.coalesce(text, "msg")).alias("text"),
+        F.when(failed | (F.col("route") == "ignored"), "").otherwise(F.coalesce(text, other, "msg")).alias("text"),
         F.when(is_type & (F.col("route") != "malformed"), actor).alias("actor"),
-        F.when(about_type, message).alias("message"),
+        F.when(about_type | failed, message).alias("message"),
         F.when(about_type, kind).alias("kind"),
+        F.when(failed, F.col("mid")).alias("row"),
         "file_path",
         "block_start",
         "mid",
@@ -121,25 +150,21 @@ def route_records(records: DataFrame, options: Options) -> DataFrame:
 def discover_lines(lines: DataFrame, options: Options | None = None, ranks=None) -> Discovery:
     """The whole log job over a table of lines.
 
-    The first pass reduces the log to its distinct records, counted and placed,
-    and writes them to the checkpoint folder; what is left is small.  Only the
-    two open-ended lists, failures and other messages, go back to the log, and
-    only if they are used.
+    One pass reduces the log to its distinct records, counted and placed, and
+    writes them to the shared folder, by route: the catalog and each report read
+    their own route only, and nothing goes back to the log.  All but the failures, which
+    are listed one by one, shrink before the shuffle.
     """
     options = options or Options()
     spark = lines.sparkSession
     records = extract.extract_records(lines)
-    events = extract.ignore_actors(extract.extract_type_events(records), options.ignored)
-    summary = durable(
-        dedupe.first_positions(
-            route_records(records, options), ["route", "text", "actor", "message", "kind"], ranks
-        )
-    )
+    keys = ["route", "text", "actor", "message", "kind", "row"]
+    summary = durable_parts(dedupe.first_positions(route_records(records, options), keys, ranks), "route")
 
     def routed(route):
         return summary.filter(F.col("route") == route)
 
-    uses = routed("type").withColumnRenamed("text", "raw_type")
+    uses = routed("type").withColumnRenamed("text", "raw_type").drop("row")
     raw_types = dedupe.distinct_raw_types(uses)
     typed = durable(
         raw_types.join(unions.simplify_types(raw_types, mode=options.mode), "raw_type")
@@ -165,6 +190,8 @@ def discover_lines(lines: DataFrame, options: Options | None = None, ranks=None)
         rows = routed(route).groupBy(F.col("text").alias(name)).agg(F.sum("events").alias("events"))
         return rows.orderBy(F.desc("events"), F.desc(name))
 
+    failed = routed("failed").select("actor", "message", "first_seen.*")
+    failed = failed.orderBy("file_rank", "file_path", "block_start", "mid").drop("file_rank")
     return Discovery(
         catalog=catalog,
         combined=unions.combine_log(grouped, united),
@@ -172,11 +199,11 @@ def discover_lines(lines: DataFrame, options: Options | None = None, ranks=None)
         rejected_messages=cat.validate_messages(pivoted),
         rejected_overrides=bad_overrides,
         malformed=counted("malformed", "msg"),
-        failed=extract.failed_types(events, ranks),
+        failed=failed,
         ignored=routed("ignored").select("actor").distinct(),
         fallbacks=counted("fallback", "fallback"),
         serializer=counted("serializer", "msg"),
-        others=reports.other_messages(extract.other_records(records)),
+        others=reports.other_messages(routed("other")),
         name_chars=reports.name_chars(catalog),
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,3 +66,13 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def durable_parts(df: DataFrame, column: str) -> DataFrame:
+    """Cut the lineage with a table in the shared folder, a folder per value of ``column``.
+
+    A reader that filters on ``column`` lists and reads those folders only.
+    """
+    path = os.path.join(checkpoint_folder(df.sparkSession), f"parts-{uuid.uuid4().hex}")
+    df.write.partitionBy(column).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)

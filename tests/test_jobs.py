@@ -7,7 +7,7 @@ import pytest
 from shapelog.functions import literals
 from shapelog.functions.typetext import parse_type, simplify_type, type_text, union_types
 from shapelog.operators import nodes, unions, values
-from shapelog.plans.discover import Options, discover, discover_lines
+from shapelog.plans.discover import REPORTS, Options, discover, discover_lines, read_reports
 from shapelog.plans.failures import failure_lines, find_failures
 from shapelog.plans.infer import infer_schemas, report_lines
 from shapelog.sources.logs import stream_logs
@@ -57,7 +57,7 @@ def test_discovery_over_split_files(spark, tmp_path, typed_log):
     assert {(r["actor"], r["message"]): r["slot0"] for r in found} == expected_catalog(typed_log)
 
 
-def test_discovery_reports(spark, lines):
+def test_discovery_reports(spark, lines, tmp_path):
     log = [
         SENT.format("A", "M", "Message", "number"),
         SENT.format("A", "M", "Message", "string"),
@@ -94,6 +94,12 @@ def test_discovery_reports(spark, lines):
     assert rows(found.serializer, "msg", "events") == [("note", 1)]
     assert rows(found.others, "text") == [("JSIPCTypeRecv: hello",)]
     assert rows(found.name_chars, "actor_chars", "message_chars") == [("none", ":")]
+    path = str(tmp_path / "reports")
+    found.write_reports(path)
+    written = read_reports(spark, path)
+    assert set(written) == set(REPORTS)
+    for name, report in written.items():
+        assert rows(report, *report.columns) == rows(getattr(found, name), *report.columns), name
     for bad in (log[2], log[5], log[6]):
         with pytest.raises(Exception, match="Syntax error|reject type|Unknown JSIPCTypeSend"):
             discover_lines(lines([log[0], bad])).catalog.collect()
@@ -166,14 +172,39 @@ def test_always_merging_union_covers_the_ordered_one(spark):
     assert same and all(fold(by_group[g]) == texts[g] for g in same)
 
 
-def test_too_small_depth_fails(spark):
-    raw = spark.createDataFrame([("{a: {b: {c: number}}}",), ("Array<Set<string>>",)], "raw_type string")
+def test_discovery_scans_the_log_once(spark, tmp_path, typed_log):
+    """All reports read what the one pass over the log left, each its own route."""
+    path = tmp_path / "log"
+    path.write_text("\n".join(SENT.format(a, m, "Message", raw) for a, m, raw in typed_log) + "\n")
+    found = discover(spark, [str(path)], Options(ignore_errors=True, overrides=False))
+    path.write_text("")
+    for name in REPORTS:
+        report = getattr(found, name)
+        if report is not None:
+            assert "FileScan text" not in report._jdf.queryExecution().toString()
+            report.collect()
+    assert "PartitionFilters: [isnotnull(route" in found.failed._jdf.queryExecution().toString()
+
+
+def test_nodes_of_deep_types(spark):
+    """Any depth in a plan of one size, and no job while it is made."""
+    deep = "Array<" * 30 + "{a: Map<string, number | Set<null>>; 'b c'?: {}; 7: any}" + ">" * 30
+    raw = spark.createDataFrame([(deep,), ("number",), ("{a: {b: {c: number}}}",), ("no type <",)], "raw_type string")
     typed = unions.parse_types(raw).select("raw_type", "type_state")
-    whole = nodes.type_nodes(typed)
-    assert whole.filter("path = '$.a.b.c'").count() == 1
-    assert sorted(map(str, nodes.type_nodes(typed, depth=4).collect())) == sorted(map(str, whole.collect()))
-    with pytest.raises(Exception, match="Nested deeper"):
-        nodes.type_nodes(typed, depth=1).collect()
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    found = nodes.type_nodes(typed)
+    assert len(tracker.getJobIdsForGroup(None)) == before
+    rows = {(r.raw_type[:5], r.path, r.tag): r for r in found.collect()}
+    inside = "$" + "[]" * 30
+    assert rows["numbe", "$", "number"].parent_path is None
+    assert rows["{a: {", "$.a.b.c", "number"].parent_at == "0.0.0"
+    assert {p.removeprefix(inside): t for n, p, t in rows if n == "Array" and p.startswith(inside + ".") and p[-1] != "}"} == {
+        ".a": "map", '."b c"': "object", ".7": "any", ".a{v}<>": "null",
+    }
+    assert rows["Array", inside + ".a{v}", "set"].pos == 1 and rows["Array", inside + '."b c"', "object"].optional
+    assert not [n for n, _, _ in rows if n == "no ty"]
+    assert nodes.type_nodes(typed.filter("false")).count() == 0
 
 
 def test_parsing_is_spread(spark):

@@ -12,6 +12,7 @@ SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 ALL_TYPES = (
     "t3_union_event_types", "t11_combine_log", "c12_discover", "v5_union_value_types", "v7_value_type_report",
     "v13_merge_value_nodes", "x3_stream_catalog",
+    "x4_stream_value_types", "c12_discover_reports",
 )
 
 

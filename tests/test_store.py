@@ -1,7 +1,9 @@
 """The live catalog's store: what a batch reads, compaction, restarts."""
 
+from shapelog.plans import infer
 from shapelog.streaming import catalog as live
 from shapelog.streaming import store as tables
+from shapelog.streaming import values as live_values
 from shapelog.streaming.store import Table
 
 
@@ -57,3 +59,44 @@ def test_covered_folders_are_not_read(spark, tmp_path):
     # A compaction that stopped before it deleted anything.
     table._lay(table.read(before=3, versions=True).drop("batch"), 0, 2)
     assert table.read().count() == 80 and {f[1:] for f in table.folders()} == {(0, 2), (3, 3)}
+
+
+def value(actor, message, contents):
+    return f"[1]: QQQ ACTOR {actor} MESSAGE {message} CONTENTS {contents}"
+
+
+def test_values_through_batches_and_reruns(spark, lines, tmp_path, monkeypatch):
+    """After each batch the report is that of the whole log so far."""
+    monkeypatch.setattr(tables, "FOLDERS", 2)
+    read = []
+    typed = live_values.values.infer_value_types
+
+    def recorded(payloads):
+        read.append({r.skeleton for r in payloads.select("skeleton").distinct().collect()})
+        return typed(payloads)
+
+    batches = [
+        [value("A", "m", '{"a": 1}'), value("A", "n", "[1, 2]"), value("B", "m", "new Foo(")],
+        [value("A", "m", '{"a": 7}'), value("A", "m", '{"b": "x", "a": null}'), value("C", "m", "({q:1})")],
+        [],
+        [value("A", "n", '["s"]'), value("A", "m", "true"), value("C", "m", "({q:2})")],
+        [value("A", "m", '{"a": 9}'), value("B", "m", "(void 0)"), value("C", "m", "({q:3})")],
+        [value("A", "m", '{"c": [{"1": 2}]}'), value("C", "m", "({'q':null})")],
+    ]
+    store, log = str(tmp_path / "values"), []
+
+    def shown(report):
+        return [tuple(r) for r in report.select("actor", "message", "n_types", "type_text").collect()]
+
+    for n, texts in enumerate(batches):
+        monkeypatch.setattr(live_values.values, "infer_value_types", recorded)
+        for _ in range(2 if n in (1, 4) else 1):  # run again, as after a failure
+            live_values.update_values(lines(texts).drop("mid"), n, store)
+        monkeypatch.setattr(live_values.values, "infer_value_types", typed)
+        log += texts
+        for strict in (False, True):
+            whole = infer.infer_schemas(lines(log), strict, mode="PERMISSIVE")
+            assert shown(live_values.stored_values(spark, store, strict)) == shown(whole)
+    # No batch types what an earlier one did; only the batches run twice did so again.
+    distinct = [s for i, s in enumerate(read) if s not in read[:i]]
+    assert len({t for s in distinct for t in s}) == sum(map(len, distinct))

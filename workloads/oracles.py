@@ -599,3 +599,33 @@ ORACLES = {
 
 # The stream comes to the catalog of the whole log.
 ORACLES["x3_stream_catalog"] = ORACLES["c12_discover"]
+ORACLES["x4_stream_value_types"] = f"""
+    SELECT actor, message, n_types, type_text,
+           dense_rank() OVER (PARTITION BY actor ORDER BY message_line) AS message_rank
+    FROM ({ORACLES["v7_value_type_report"]}) report"""
+ORACLES["x2_stream_failures"] = f"""
+    SELECT failure, count(*) AS events FROM (
+      SELECT regexp_extract(line, 'Type checking failed: (.*)$', 1) AS failure FROM ({tables.EVENT_LINES}) lines
+      WHERE line LIKE '%Type checking failed: %') failures GROUP BY failure"""
+
+
+def _written(name):
+    """A document's lines in order; a line of the catalog may hold several."""
+    return f"""
+        SELECT row_number() OVER (ORDER BY section, actor, step, message, part) AS line_no, text AS line
+        FROM (SELECT section, actor, step, message, unnest(string_split(line, chr(10))) AS text,
+                     generate_subscripts(string_split(line, chr(10)), 1) AS part
+              FROM ({ORACLES[name]}) document) parts"""
+
+
+ORACLES["c8_written_json"] = _written("c8_write_catalog_json")
+ORACLES["c9_written_ts"] = _written("c9_write_catalog_ts")
+ORACLES["c10_written_text"] = _written("c10_write_catalog_text")
+ORACLES["c12_discover_reports"] = f"""
+    SELECT 'fallbacks' AS report, fallback AS text, events AS number FROM ({ORACLES["a3_fallback_counts"]}) a3
+    UNION ALL SELECT 'serializer', msg, events FROM ({ORACLES["a4_serializer_counts"]}) a4
+    UNION ALL SELECT 'malformed', substr(error, 24), count(*) FROM ({ORACLES["e3_malformed_events"]}) e3 GROUP BY ALL
+    UNION ALL SELECT 'others', text, NULL FROM ({ORACLES["a5_other_messages"]}) a5
+    UNION ALL SELECT 'failed', actor || ' ' || message, line_no FROM ({ORACLES["e6_failed_types"]}) e6
+    UNION ALL SELECT 'combined', actor || ' ' || message || ' ' || input_ts, n_types
+              FROM ({ORACLES["t11_combine_log"]}) t11"""

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shapelog.operators import catalog as cat
@@ -16,6 +18,7 @@ from shapelog.session import checkpoint_folder, durable
 from shapelog.sources import declarations, logs, overrides
 from shapelog.streaming import catalog as live
 from shapelog.streaming import streams
+from shapelog.streaming import values as live_values
 from workloads import tables
 
 QUERIES = {}
@@ -328,10 +331,9 @@ def t3_union_event_types(spark, folder):
     )
 
 
-def order_nodes(spark, folder):
+def order_states(spark, folder):
     raw = table(spark, folder, tables.ORDER_TYPES).select("raw_type").distinct()
-    typed = durable(unions.parse_types(raw).select("raw_type", "type_state"))
-    return nodes.type_nodes(typed)
+    return unions.parse_types(raw).select("raw_type", "type_state")
 
 
 @query
@@ -367,7 +369,7 @@ def t11_combine_log(spark, folder):
 
 @query
 def t12_type_nodes(spark, folder):
-    return order_nodes(spark, folder).select(
+    return nodes.type_nodes(order_states(spark, folder)).select(
         "raw_type", "path", "parent_path", "tag", "name", "optional", "pos"
     )
 
@@ -375,8 +377,8 @@ def t12_type_nodes(spark, folder):
 def merged_orders(spark, folder):
     """The places of all types of each message; the union needs no order."""
     uses = uses_of(order_lines(spark, folder)).select(*dedupe.USE)
-    keyed = uses.join(order_nodes(spark, folder), "raw_type")
-    return nodes.merge_nodes(keyed, unions.MESSAGE_KIND)
+    keyed = uses.join(nodes.with_nodes(order_states(spark, folder)), "raw_type")
+    return nodes.merge_nodes(keyed.select(*unions.MESSAGE_KIND, F.inline("nodes")), unions.MESSAGE_KIND)
 
 
 @query
@@ -495,6 +497,35 @@ def c10_write_catalog_text(spark, folder):
     return writers.text_lines(customer_catalog(spark, folder))
 
 
+def written(spark, folder, write):
+    """The document that a sink wrote, read back: its part files in name order, their lines numbered."""
+    path = scratch(spark, "catalog")
+    write(customer_catalog(spark, folder), path)
+    files = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace("value", r"\n\z", ""), "\n").alias("lines")
+    )
+    # One row per part file, not per line.
+    ahead = files.select("file", (F.sum(F.size("lines")).over(Window.orderBy("file")) - F.size("lines")).alias("ahead"))
+    return files.join(ahead, "file").select("ahead", F.posexplode("lines").alias("n", "line")).select(
+        (F.col("ahead") + F.col("n") + 1).alias("line_no"), "line"
+    )
+
+
+@query
+def c8_written_json(spark, folder):
+    return written(spark, folder, writers.write_catalog_json)
+
+
+@query
+def c9_written_ts(spark, folder):
+    return written(spark, folder, writers.write_catalog_ts)
+
+
+@query
+def c10_written_text(spark, folder):
+    return written(spark, folder, writers.write_catalog_text)
+
+
 @query
 def c11_translate_declarations(spark, folder):
     catalog, _ = translate.declared_catalog(table(spark, folder, tables.DECLARED_FILES))
@@ -507,6 +538,25 @@ def c12_discover(spark, folder):
     return disc.discover_lines(lines(spark, folder), options).catalog.select(*SLOTS)
 
 
+@query
+def c12_discover_reports(spark, folder):
+    """All lists and counts of a discovery, as its sink wrote them."""
+    path = scratch(spark, "reports")
+    options = disc.Options(ignore_errors=True, overrides=False)
+    disc.discover_lines(lines(spark, folder), options).write_reports(path)
+    found = disc.read_reports(spark, path)
+    text = {
+        "fallbacks": F.col("fallback"), "serializer": F.col("msg"), "malformed": F.col("msg"), "others": F.col("text"),
+        "failed": F.concat_ws(" ", "actor", "message"), "combined": F.concat_ws(" ", "actor", "message", "input_ts"),
+    }
+    number = {"failed": F.col("mid"), "combined": F.col("n_types"), "others": F.lit(None).cast("bigint")}
+    rows = [
+        found[name].select(F.lit(name).alias("report"), text[name].alias("text"), number.get(name, F.col("events")).alias("number"))
+        for name in text
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query
 def c12_discover_orders(spark, folder):
     options = disc.Options(overrides=GOOD_OVERRIDES)
@@ -658,12 +708,33 @@ def x2_stream_others(spark, folder):
 @query
 def x3_stream_catalog(spark, folder):
     """The catalog after the log's two halves, each taken up by the stream where it was left."""
-    path, store = scratch(spark, "lines"), scratch(spark, "x3")
-    found = table(spark, folder, tables.EVENT_LINES)
+    store = scratch(spark, "x3")
+    in_halves(spark, table(spark, folder, tables.EVENT_LINES), live.stream_catalog, store)
+    return live.stored_catalog(spark, store).select("actor", "message", "arity", "slot0", "slot1")
+
+
+def in_halves(spark, found, start, store):
+    """Write the log in two halves, in the order of its lines, and run the stream ``start`` after each."""
+    path = scratch(spark, "lines")
     middle = (found.agg(F.max("line_no")).first()[0] or 0) // 2
     for half in (F.col("line_no") <= middle, F.col("line_no") > middle):
         part = found.filter(half).repartitionByRange(2, "line_no").sortWithinPartitions("line_no")
         part.select("line").write.mode("append").text(path)
-        stream = logs.stream_logs(spark, path, maxFilesPerTrigger=2)
-        live.stream_catalog(stream, store, f"{store}-checkpoint").awaitTermination()
-    return live.stored_catalog(spark, store).select("actor", "message", "arity", "slot0", "slot1")
+        start(logs.stream_logs(spark, path, maxFilesPerTrigger=2), store, f"{store}-checkpoint").awaitTermination()
+
+
+@query
+def x4_stream_value_types(spark, folder):
+    """The report of value types after the log's two halves; messages in the order they came."""
+    store = scratch(spark, "x4")
+    in_halves(spark, table(spark, folder, tables.LOGGED_VALUES), live_values.stream_values, store)
+    report = live_values.stored_values(spark, store)
+    came = F.dense_rank().over(Window.partitionBy("actor").orderBy("message_seen"))
+    return report.select("actor", "message", "n_types", "type_text", came.alias("message_rank"))
+
+
+@query
+def x2_stream_failures(spark, folder):
+    """Failures over all files; the stream counts them by file."""
+    by_file = running_report(spark, folder, "failures")
+    return by_file.groupBy("failure").agg(F.sum("events").alias("events"))

@@ -140,10 +140,11 @@ VALUE_PARTS = """
       END AS contents
     FROM orders"""
 
-VALUE_LINES = f"""
+LOGGED_VALUES = f"""
     SELECT line_no, '[Child 7]: QQQ ACTOR ' || actor || ' MESSAGE ' || message
       || ' CONTENTS ' || contents AS line
-    FROM ({VALUE_PARTS}) parts {_NOISE}"""
+    FROM ({VALUE_PARTS}) parts"""
+VALUE_LINES = LOGGED_VALUES + _NOISE
 
 # Declaration files: two suppliers to an actor, some files with an error.
 DECLARED_FILES = """
