@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import array
 import codecs
+import gc
 import json
 import unicodedata
 from itertools import chain
@@ -417,7 +418,9 @@ def _encoder(text, kept) -> Encoder:
     return _LOADED[text, kept]
 
 
-def encode(docs: DataFrame, tokenizer: str, decode: str | None = None, kept: int = KEPT) -> DataFrame:
+def encode(
+    docs: DataFrame, tokenizer: str, decode: str | None = None, kept: int = KEPT, resident: bool = True
+) -> DataFrame:
     """``docs`` with ``ids`` (array of int), and ``decoded`` if a form of ``Decoder`` is named.
 
     ``tokenizer`` is the path of a tokenizer file on the driver; its text goes to the
@@ -426,7 +429,9 @@ def encode(docs: DataFrame, tokenizer: str, decode: str | None = None, kept: int
     ``ids`` or ``decoded`` is replaced. An empty table gives an empty result. A text
     of any length is encoded whole: only its words in work are held, and its ids. A
     worker keeps up to ``kept`` chunks encoded in each of two generations, some 300 bytes
-    each with their words; fewer cost time, more cost memory, and ids are the same.
+    each with their words; fewer cost time, more cost memory, and ids are the same. Workers
+    outlive their tasks: if ``resident``, one keeps all this for its next task; if not, each
+    task loads the tokenizer anew, and other work of the session has that memory.
     """
     with open(tokenizer, encoding="utf-8") as file:
         model = docs.sparkSession.sparkContext.broadcast(file.read())
@@ -451,6 +456,10 @@ def encode(docs: DataFrame, tokenizer: str, decode: str | None = None, kept: int
                 if decode:
                     columns.append(pa.array([_decoded(encoder.merges, array.array("i", x), decode) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=columns_kept + ["ids", "decoded"][: 1 + bool(decode)])
+        if not resident:
+            del encoder
+            _LOADED.clear()
+            gc.collect()  # its parts refer to each other
 
     return docs.select(*[F.col(f"`{c}`") for c in columns_kept]).mapInArrow(run, schema)
 

@@ -107,3 +107,14 @@ def test_random_texts_of_all_planes():
     for _ in range(6_000):
         text = "".join(chr(rng.randrange(*rng.choice(ranges))) if rng.random() < 0.8 else rng.choice(" \ńͅ'sΣ") for _ in range(12))
         assert encoder.encode(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_released_after_each_task(spark):
+    """The ids are the same whether or not a worker keeps the tokenizer for its next task."""
+    rows = [(i, t) for i, t in enumerate(["some words here", None, "", "words words", "ÀÉ x"] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    found = [
+        sorted(map(str, bpe.encode(docs, path, decode="library", resident=resident).collect())) for resident in (True, False)
+    ]
+    assert found[0] == found[1] and len(found[0]) == len(rows)
