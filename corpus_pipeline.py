@@ -84,7 +84,7 @@ CHUNKS = 100_000
 def tokenize(spark, docs, sf_dir):
     """doc_id, source, token ids, and the digest of what they decode to."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    tokens = bpe.encode(docs.select("doc_id", "source", "text"), path, decode="library", kept=CHUNKS)
+    tokens = bpe.encode(docs.select("doc_id", "source", "text"), path, decode="library", kept=CHUNKS, resident=False)
     return tokens.select(
         "doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
     )
