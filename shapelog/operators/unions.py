@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from shapelog.functions import typetext
 from shapelog.functions.vocabulary import KIND_LABELS
 from shapelog.operators.extract import fail_on_error
-from shapelog.operators.python_stage import flat_map_rows, fold_groups, spread
+from shapelog.operators.python_stage import flat_map_rows, spread
+from shapelog.operators.segments import SEGMENT_ROWS, fold_ordered
 
 MESSAGE_KIND = ["actor", "message", "kind"]
 _TYPED = "type_state string, type_json string, type_ts string"
@@ -47,26 +48,40 @@ def simplify_types(df: DataFrame, col="raw_type", mode="PERMISSIVE") -> DataFram
     return parse_types(df, col, simplify=True, mode=mode)
 
 
-def _fold_types(states):
-    """Union in the given order; only the union so far is kept."""
-    united, count = None, 0
-    for (state,) in states:
-        t, count = typetext.read_state(state), count + 1
-        united = t if united is None else typetext.union_types(united, t)
-    yield typetext.type_json(united), typetext.type_text(united), count
+class _Union:
+    """The union so far; nothing else is kept."""
 
+    def __init__(self):
+        self.type = None
 
-def union_types(df: DataFrame, keys=MESSAGE_KIND, order=("raw_first_seen",)) -> DataFrame:
+    def take(self, state):
+        t = typetext.read_state(state)
+        self.type = t if self.type is None else typetext.union_types(self.type, t)
+
+    join = take
+
+    def load(self, state):
+        self.type = typetext.read_state(state)
+
+    def state(self):
+        return None if self.type is None else typetext.type_state(self.type)
+
+
+def _union_forms(union, count):
+    yield typetext.type_json(union.type), typetext.type_text(union.type), count
+
+
+def union_types(df: DataFrame, keys=MESSAGE_KIND, order=("raw_first_seen",), rows: int = SEGMENT_ROWS) -> DataFrame:
     """Union all types of a group in order: ``type_json, type_ts, n_types``.
 
-    The union depends on the order (objects join by the names they have by
-    then), so a group is one ordered fold, whatever its size: the JSON form shows
-    the order of members too.  It runs over distinct types only, as a stream from
-    a sorted partition that keeps nothing but the union.
+    The union depends on the order (objects join by the names they have by then; the
+    JSON form shows the order of members, too), so a group is an ordered fold over its
+    distinct types. One of more than ``rows`` types is folded in stretches by many
+    tasks, with the same result (``operators.segments``).
     """
-    return fold_groups(
-        df, list(keys), list(order), ["type_state"], _fold_types,
-        "type_json string, type_ts string, n_types bigint",
+    return fold_ordered(
+        df, list(keys), list(order), "type_state", _Union, _union_forms,
+        "type_json string, type_ts string, n_types bigint", rows,
     )
 
 

@@ -17,7 +17,8 @@ from shapelog.functions.typetext import type_state
 from shapelog.operators.dedupe import first_positions
 from shapelog.operators.extract import evaluate_once, fail_on_error
 from shapelog.operators.nodes import type_nodes
-from shapelog.operators.python_stage import flat_map_rows, fold_groups, spread
+from shapelog.operators.python_stage import flat_map_rows, spread
+from shapelog.operators.segments import SEGMENT_ROWS, fold_ordered
 from shapelog.session import ship_package
 
 MESSAGE = ["actor", "message"]
@@ -158,35 +159,113 @@ def distinct_value_types(typed: DataFrame) -> DataFrame:
     )
 
 
-def _fold_values(states):
-    """Each type joins the first earlier one it goes with, or starts anew."""
-    found = []
-    for (state,) in states:
-        t = _frozen(json.loads(state))
-        for i, earlier in enumerate(found):
-            joined = literals.combine_value_types(earlier, t)
+class FoundTypes:
+    """The combined types of a message; each new type joins the first that it goes with.
+
+    Two types go together or not by the kinds they have at the places they share, so
+    every place (a path of labels) has a bit mask of the types with each kind there, and
+    the first partner is the lowest bit of what these masks leave.
+    """
+
+    def __init__(self):
+        self.types, self._held, self._of = [], {}, {}
+
+    def _mark(self, i, t, path=()):
+        bit = 1 << i
+        self._held[path] = self._held.get(path, 0) ^ bit
+        for kind in _kinds(t):
+            self._of[path, kind] = self._of.get((path, kind), 0) ^ bit
+        for label, inner in _labelled(t):
+            self._mark(i, inner, (*path, label))
+
+    def _partners(self, t, path=()):
+        """The types that go with ``t`` at ``path``, and below it where they have the place."""
+        fit = 0
+        for kind in _partner_kinds(t):
+            fit |= self._of.get((path, kind), 0)
+        if not isinstance(t, str) and t[0] == "struct" and self._of.get((path, "or"), 0):
+            fit |= self._of.get((path, ("or", literals.type_key(t))), 0)
+        for label, inner in _labelled(t):
+            held = self._held.get((*path, label), 0)
+            if fit & held:
+                fit &= ~held | self._partners(inner, (*path, label))
+        return fit
+
+    def add(self, t):
+        fit = self._partners(t)
+        while fit:
+            i = (fit & -fit).bit_length() - 1
+            joined = literals.combine_value_types(self.types[i], t)
             if joined is not None:
-                found[i] = joined
-                break
-        else:
-            found.append(t)
-    for i, t in enumerate(found):
-        yield i, literals.value_type_text(t), literals.type_key(t), len(found)
+                if joined != self.types[i]:
+                    self._mark(i, self.types[i])
+                    self._mark(i, joined)
+                    self.types[i] = joined
+                return
+            fit &= fit - 1
+        self.types.append(t)
+        self._mark(len(self.types) - 1, t)
+
+    def take(self, state):
+        self.add(_frozen(json.loads(state)))
+
+    def join(self, state):
+        for t in json.loads(state):
+            self.add(_frozen(t))
+
+    def load(self, state):
+        self.__init__()
+        for i, t in enumerate(json.loads(state)):
+            self.types.append(_frozen(t))
+            self._mark(i, self.types[i])
+
+    def state(self):
+        return json.dumps(self.types) if self.types else None
+
+
+def _labelled(t):
+    """Label and type of a struct's parts; of a repeated label the last, as when two are combined."""
+    parts = () if isinstance(t, str) or t[0] != "struct" else t[1]
+    return {label: inner for label, inner, _ in parts}.items()
+
+
+def _kinds(t):
+    """What others must know of a type at its place."""
+    if isinstance(t, str):
+        return ["atom"]
+    if t[0] == "or":
+        return ["or", *{("or", literals.type_key(member)) for member in t[1]}]
+    return [("objmap", literals.type_key(t))] if t[0] == "objmap" else [t[0]]
+
+
+def _partner_kinds(t):
+    """What an earlier type may be where ``t`` is to join it; for a struct beside the unions that hold it."""
+    if isinstance(t, str):
+        return "atom", "struct", "or"
+    if t[0] == "objmap":
+        return (("objmap", literals.type_key(t)),)
+    return {"struct": ("atom", "struct"), "or": ("atom",), "array": ("array",)}[t[0]]
+
+
+def _combined_rows(found, count):
+    for i, t in enumerate(found.types):
+        yield i, literals.value_type_text(t), literals.type_key(t), len(found.types)
 
 
 def _frozen(v):
     return tuple(map(_frozen, v)) if isinstance(v, list) else v
 
 
-def union_value_types(distinct: DataFrame) -> DataFrame:
+def union_value_types(distinct: DataFrame, rows: int = SEGMENT_ROWS) -> DataFrame:
     """The combined types of each message: ``pos, type_text, type_key, n_types``.
 
-    Folds each distinct type once, in first-seen order, as a stream: a worker
-    holds the types found so far, not the group.
+    Folds each distinct type once, in first-seen order: a worker holds the types found
+    so far, not the group. A message of more than ``rows`` types is folded in stretches
+    by many tasks, with the same result (``operators.segments``).
     """
-    return fold_groups(
-        distinct, MESSAGE, ["first_seen"], ["type_state"], _fold_values,
-        "pos int, type_text string, type_key string, n_types int",
+    return fold_ordered(
+        distinct, MESSAGE, ["first_seen"], "type_state", FoundTypes, _combined_rows,
+        "pos int, type_text string, type_key string, n_types int", rows,
     )
 
 
