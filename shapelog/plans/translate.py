@@ -20,13 +20,13 @@ def declared_catalog(files: DataFrame):
     wrong inside a file by line, then what is declared in an earlier file too.
     """
     declared = durable(parse_declarations(files))
-    place = ["file_rank", "elsewhere", "line"]
+    place = ["file_rank", "file", "elsewhere", "line"]
     at = F.expr("try_cast(substring_index(substring(error, length(file) + 2), ':', 1) AS bigint)")
     bad_files = declared.filter(F.col("error").isNotNull()).select(
-        "file_rank", F.lit(False).alias("elsewhere"), at.alias("line"), "file", "error"
+        "file_rank", "file", F.lit(False).alias("elsewhere"), at.alias("line"), "error"
     )
     good = declared.filter(F.col("error").isNull())
-    twice = duplicate_declarations(good).select(*place, "file", "error")
+    twice = duplicate_declarations(good).select(*place, "error")
     catalog = good.withColumn("comment", F.lit("")).select(*CATALOG)
     errors = bad_files.unionByName(twice).orderBy(*place, "error")
     return catalog, errors

@@ -7,7 +7,7 @@ the files: ``mid`` grows within a split and ``block_start`` orders the splits.
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +35,8 @@ def stream_logs(spark: SparkSession, path, **options) -> DataFrame:
     """The same lines from a directory that keeps growing.
 
     Row numbers do not exist in a stream; ``mid`` is set per micro-batch by
-    whoever needs an order (``streaming.catalog``).
+    whoever needs an order (``streaming.catalog``).  Lines carry no time; that of their
+    file's last change, ``file_time``, lets state expire (``streaming.streams``).
     """
     return (
         spark.readStream.format("text")
@@ -44,30 +45,25 @@ def stream_logs(spark: SparkSession, path, **options) -> DataFrame:
         .select(
             F.col("_metadata.file_path").alias("file_path"),
             F.col("_metadata.file_block_start").alias("block_start"),
+            F.col("_metadata.file_modification_time").alias("file_time"),
             _latin1_line(),
         )
     )
 
 
 def file_ranks(spark: SparkSession, paths) -> DataFrame:
-    """``file_path, file_rank``: the place of each file in the argument list.
+    """``file_path, file_rank``: the number of the first argument that each file is of.
 
-    An argument may be a file, a directory or a glob; the files of one argument
-    are ranked by path.  Listing is what the reader does anyway and yields one
-    short row per file, never file content.
+    An argument may be a file, a directory or a glob; the files of one argument share its
+    number, and their order is that of their paths, so what is sorted by ``file_rank`` and
+    ``file_path`` comes in argument order. The manifest is a distributed scan of the files'
+    metadata (their content is never read), named as the log's own scan names them.
     """
-    ranked, seen = [], set()
-    for path in [paths] if isinstance(paths, str) else paths:
-        for file in sorted(spark.read.text(path).inputFiles()):
-            if file not in seen:
-                seen.add(file)
-                ranked.append((scanned_uri(file), len(ranked)))
-    return spark.createDataFrame(ranked, "file_path string, file_rank bigint")
-
-
-def scanned_uri(uri: str) -> str:
-    """A listed file as scans name it: ``file:/a`` and not ``file:///a``."""
-    return re.sub(r"^(\w+):///", r"\1:/", uri)
+    scans = [
+        spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file_path"), F.lit(i).alias("n"))
+        for i, path in enumerate([paths] if isinstance(paths, str) else paths)
+    ]
+    return reduce(DataFrame.union, scans).groupBy("file_path").agg(F.min("n").cast("bigint").alias("file_rank"))
 
 
 def lines_of(df: DataFrame, source: str, order, line) -> DataFrame:
