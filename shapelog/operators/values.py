@@ -55,6 +55,42 @@ def payload_skeleton(payload: Column) -> Column:
     return F.when(payload.rlike("[\u0001-\u0004]"), payload).otherwise(filled)
 
 
+# Objects used as maps: the first label is a text or a number, all values read the same.
+_QUOTED = f"(?:{_SINGLE}|{_DOUBLE})"
+_PLAIN = rf"[^{{}}\[\]\"'/]++|{_QUOTED}|//"
+_INSIDE = rf"(?:{_PLAIN})*+"
+for _ in range(4):  # levels of brackets within one value
+    _INSIDE = rf"(?:{_PLAIN}|\{{{_INSIDE}\}}|\[{_INSIDE}\])*+"
+_VALUE = rf"(?:\"\"|0|//|{literals.WORD}|void\s++0|\{{{_INSIDE}\}}|\[{_INSIDE}\])"
+_NEXT = rf"\s*+,\s*+(?:{_QUOTED}|{literals.NUMBER})\s*+:\s*+"
+_BOOL = "(?:true|false)"
+_ENTRIES = rf"\s*+:\s*+(?:({_BOOL})(?:{_NEXT}{_BOOL})*+|({_VALUE})(?:{_NEXT}\2)*+)\s*+\}}"
+_MAPS = ((rf"\{{\s*+{_QUOTED}{_ENTRIES}", '{"":$1$2}'), (rf"\{{\s*+{literals.NUMBER}{_ENTRIES}", "{0:$1$2}"))
+_TOKEN = rf"(?:{literals.WORD}|{_QUOTED}|{literals.NUMBER})\s*+:?+"
+
+
+def collapse_maps(skeleton: Column, payload: Column) -> Column:
+    """The skeleton with each object used as a map cut to one entry with a blank label.
+
+    Objects keyed by ids differ in every payload, and their type tells the labels' kind
+    only. Three passes take maps within maps; a map whose values are not written alike,
+    or with brackets more than five deep, stays as it is. The type is the same in any case:
+    an object with a label twice is no literal, so a payload changes only where it is
+    JSON without one, or where none of its texts and numbers that are labels comes twice.
+    """
+    short = skeleton
+    for _ in range(3):
+        for found, entry in _MAPS:
+            short = F.regexp_replace(short, found, entry)
+    tokens = F.filter(F.regexp_extract_all(skeleton, F.lit(_TOKEN), F.lit(0)), lambda t: t.rlike("^[^a-zA-Z_](?s:.*):$"))
+    labels = F.transform(tokens, lambda t: F.regexp_replace(t, r"^['\"]|['\"]?\s*+:$", ""))
+    once = F.try_parse_json(payload).isNotNull() | (F.size(labels) == F.size(F.array_distinct(labels)))
+    opened = lambda text: F.length(F.regexp_replace(text, r"[^{]++", ""))
+    clear = opened(skeleton) == opened(F.regexp_replace(skeleton, _QUOTED, ""))
+    may_have = skeleton.rlike(r"\{\s*['\"0-9-]") & ~payload.rlike("[\u0001-\u0004]")
+    return F.when(may_have & once & clear, short).otherwise(skeleton)
+
+
 def _value_json(payload):
     try:
         return literals.literal_json(literals.read_literal(payload)), None
@@ -102,7 +138,8 @@ def _typed(skeleton):
 
 def distinct_payloads(events: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
     """Distinct (actor, message, skeleton) with ``first_seen`` and ``events``."""
-    skeletons = events.withColumn("skeleton", evaluate_once(payload_skeleton(F.col("contents"))))
+    blanked = events.withColumn("skeleton", evaluate_once(payload_skeleton(F.col("contents"))))
+    skeletons = blanked.withColumn("skeleton", evaluate_once(collapse_maps(F.col("skeleton"), F.col("contents"))))
     return first_positions(skeletons, [*MESSAGE, "skeleton"], ranks)
 
 

@@ -554,6 +554,13 @@ ORACLES = {
           CASE WHEN message = 'lit' AND k % 97 = 0 THEN 'Unknown constructor Foo' END AS error
         FROM kept""".replace("{{", "{").replace("}}", "}"),
     "v2_infer_value_types": f"{_VALUES} SELECT actor, message, type_text, count(*) AS events FROM typed GROUP BY ALL",
+    "v2_keyed_value_types": f"""
+        SELECT 'Keyed' || status AS actor, 'm' || CAST(k % 5 AS VARCHAR) AS message,
+          CASE k % 5 WHEN 0 THEN 'ObjMap(string, {{"total": number, "open": bool}})' WHEN 1 THEN 'ObjMap(number, Array(string))'
+            WHEN 2 THEN 'ObjMap(string, ObjMap(string, number))'
+            WHEN 3 THEN '{{"' || a || '": number, "' || b || '": string}}' END AS type_text,
+          count(*) AS events, CASE WHEN max(k % 5) < 3 THEN 1 ELSE count(*) END AS payloads
+        FROM ({tables.KEYED_VALUES}) lines GROUP BY ALL""",
     "v3_detect_map_objects": f"""{_VALUES},
         types AS (
           SELECT DISTINCT actor, message, k % 3 AS note, k % 4 AS tags FROM kept WHERE message = 'order'

@@ -585,6 +585,17 @@ def v2_infer_value_types(spark, folder):
     return typed.groupBy("actor", "message", "type_text").agg(F.sum("events").alias("events"))
 
 
+@query
+def v2_keyed_value_types(spark, folder):
+    """Types of payloads keyed by ids, and how many payloads were read for each."""
+    lines = logs.lines_of(table(spark, folder, tables.KEYED_VALUES), "log", "line_no", "line")
+    payloads = durable(values.distinct_payloads(extract.extract_value_events(lines)))
+    typed = values.infer_value_types(payloads)
+    return typed.groupBy("actor", "message", "type_text").agg(
+        F.sum("events").alias("events"), F.count(F.lit(1)).alias("payloads")
+    )
+
+
 @query
 def v3_detect_map_objects(spark, folder):
     found = values.detect_map_objects(values.distinct_value_types(payload_types(spark, folder)))

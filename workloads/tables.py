@@ -146,6 +146,18 @@ LOGGED_VALUES = f"""
     FROM ({VALUE_PARTS}) parts"""
 VALUE_LINES = LOGGED_VALUES + _NOISE
 
+# Payloads keyed by ids: maps in JSON and in literals, maps of maps, objects that are none, a label twice.
+KEYED_VALUES = """
+    SELECT k AS line_no, '[Child 9]: QQQ ACTOR Keyed' || status || ' MESSAGE m' || CAST(k % 5 AS VARCHAR(20)) || ' CONTENTS '
+      || CASE k % 5
+           WHEN 0 THEN '{"' || a || '": {"total": ' || a || ', "open": true}, "' || b || '": {"total": 7, "open": true}}'
+           WHEN 1 THEN '({' || a || ': [''x''], ' || b || ': [''y' || a || ''']})'
+           WHEN 2 THEN '{"u' || a || '": {"v' || a || '": 1, "w": 2}, "u": {"x' || b || '": 3}}'
+           WHEN 3 THEN '{"' || a || '": 1, "' || b || '": "s"}'
+           ELSE '{"' || a || '": 1, "' || a || '": 2}' END AS line, k, status, a, b
+    FROM (SELECT o_orderkey AS k, o_orderstatus AS status, CAST(o_orderkey AS VARCHAR(20)) AS a,
+            CAST(o_orderkey + 1 AS VARCHAR(20)) AS b FROM orders) keyed"""
+
 # Declaration files: two suppliers to an actor, some files with an error.
 DECLARED_FILES = """
     SELECT s_suppkey AS file_rank, 'decl/' || CAST(s_suppkey AS VARCHAR(20)) || '.ts' AS file,
