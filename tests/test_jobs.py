@@ -14,6 +14,7 @@ from shapelog.sources.logs import stream_logs
 from shapelog.streaming import catalog as live
 from shapelog.streaming import streams
 from tests.test_type_text import random_type
+from workloads import queries
 
 SENT = "x: D/JSIPCTypeSend JSIT Send ACTOR {} MESSAGE {} KIND {} TYPE {}"
 
@@ -322,3 +323,12 @@ def test_shapes_merge(spark):
     df = spark.createDataFrame(rows, "names_a array<string>, names_b array<string>")
     found = [r["mergeable"] for r in nodes.mergeable_shapes(df).collect()]
     assert found == [expected for *_, expected in pairs]
+
+
+def test_declaration_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "files")
+    monkeypatch.setattr(queries, "scratch", lambda spark, name: path)
+    read = queries.s3_read_declarations(spark, "/root/testdata/sf0.001")
+    parts = {f.name.split("-")[1] for f in (tmp_path / "files").rglob("part-*.txt")}
+    assert len(parts) > 1
+    assert read.count() == spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()

@@ -124,8 +124,10 @@ def s2_stream_logs(spark, folder):
 def s3_read_declarations(spark, folder):
     path = scratch(spark, "s3")
     files = table(spark, folder, tables.DECLARED_FILES)
+    # A file costs the same whatever its size: tasks coalesced by bytes would be one.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     files.select("file_rank", F.rtrim(F.col("text"), F.lit("\n")).alias("text")).repartition(
-        "file_rank"
+        tasks, "file_rank"
     ).write.partitionBy("file_rank").text(path)
     read = declarations.read_declarations(spark, path)
     rank = F.regexp_extract("file", r"file_rank=(\d+)", 1).cast("bigint")
