@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from shapelog.functions import literals
 from shapelog.functions.typetext import parse_type, simplify_type, type_text, union_types
@@ -332,3 +333,26 @@ def test_declaration_files_are_written_by_many_tasks(spark, tmp_path, monkeypatc
     parts = {f.name.split("-")[1] for f in (tmp_path / "files").rglob("part-*.txt")}
     assert len(parts) > 1
     assert read.count() == spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
+
+
+def test_halves_of_a_log_are_more_tasks_than_two(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "scratch", lambda spark, name: str(tmp_path / name))
+    rows = spark.range(4000).selectExpr("id AS line_no", "CAST(id AS STRING) AS line")
+    batches = []
+
+    def start(lines, store, checkpoint):
+        def keep(batch, number):
+            numbered = batch.withColumn("mid", F.monotonically_increasing_id())
+            batches.append([int(r.line) for r in numbered.orderBy("file_path", "mid").collect()])
+
+        writer = lines.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        return writer.foreachBatch(keep).start()
+
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        queries.in_halves(spark, rows, start, str(tmp_path / "store"))
+    finally:
+        spark.conf.unset(coalesce)
+    assert len(list((tmp_path / "lines").glob("part-*.txt"))) > 4
+    assert batches == [list(range(2000)), list(range(2000, 4000))]

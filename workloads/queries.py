@@ -727,13 +727,17 @@ def x3_stream_catalog(spark, folder):
 
 
 def in_halves(spark, found, start, store):
-    """Write the log in two halves, in the order of its lines, and run the stream ``start`` after each."""
+    """Write the log in two halves, in the order of its lines, and run the stream ``start`` after each.
+
+    A half is as many sorted files as the session shuffles to, never a fixed number; the stream
+    takes the new files as one batch, in which lines are ordered by path and place.
+    """
     path = scratch(spark, "lines")
     middle = (found.agg(F.max("line_no")).first()[0] or 0) // 2
     for half in (F.col("line_no") <= middle, F.col("line_no") > middle):
-        part = found.filter(half).repartitionByRange(2, "line_no").sortWithinPartitions("line_no")
+        part = found.filter(half).repartitionByRange("line_no").sortWithinPartitions("line_no")
         part.select("line").write.mode("append").text(path)
-        start(logs.stream_logs(spark, path, maxFilesPerTrigger=2), store, f"{store}-checkpoint").awaitTermination()
+        start(logs.stream_logs(spark, path), store, f"{store}-checkpoint").awaitTermination()
 
 
 @query
