@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import array
 import codecs
+import functools
 import gc
 import json
 import unicodedata
@@ -32,11 +33,12 @@ STEP = 1 << 16
 _OUT = pa.schema([("row", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.large_string())])
 
 
-def byte_chars() -> list[str]:
+@functools.cache
+def byte_chars() -> tuple[str, ...]:
     """The printable stand-in of each byte in byte-level vocabularies, by their rule."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     spare = iter(range(0x100, 0x200))
-    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
+    return tuple(chr(b) if b in shown else chr(next(spare)) for b in range(256))
 
 
 class Merges:
@@ -378,9 +380,9 @@ class Decoder:
 
     def __init__(self, merges: Merges, form: str = "library"):
         self.names, self.form = merges.names, form
-        self.special = set(merges.special)
-        self.suffix = merges.suffix
-        self.bytes = {c: b for b, c in enumerate(byte_chars())}
+        self.special, self.suffix = merges.special, merges.suffix
+        # Made per text, so only where it is used.
+        self.bytes = {c: b for b, c in enumerate(byte_chars())} if form == "text" else {}
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
         self.gap = False
 

@@ -118,3 +118,11 @@ def test_released_after_each_task(spark):
         sorted(map(str, bpe.encode(docs, path, decode="library", resident=resident).collect())) for resident in (True, False)
     ]
     assert found[0] == found[1] and len(found[0]) == len(rows)
+
+
+def test_a_text_is_decoded_without_tables_of_its_own(monkeypatch):
+    def made():
+        raise AssertionError("made again for a text")
+
+    monkeypatch.setattr(bpe, "byte_chars", made)
+    assert bpe._decoded(OWN.merges, LIBRARY.encode("a text", add_special_tokens=False).ids, "library") == "a</w> text</w>"
