@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -17,14 +19,17 @@ SHINGLE, SEED, SIMILARITY = 5, 42, 0.8
 #: Bands of a sketch and minima in each: at similarity s a pair shares no band with chance
 #: (1 - s**4)**32, which at 0.8 is 5e-8.
 BANDS, MINIMA = 32, 4
-#: Texts that are compared with one other in one group; more are compared piece by piece.
-PIECE = 256
+#: Texts of one family that are compared in one group, and their bytes; more are compared piece by piece.
+PIECE, PIECE_BYTES = 1_024, 16 << 20
 #: Nodes of one band that are compared in one group; more are compared piece by piece.
 CROWD = 2_048
-#: Equal bytes, of a minimum each, from which two sketches are a candidate, in rounds: the
-#: most alike first, since what they connect needs no further look. At similarity 0.8
+#: Equal bytes, of a minimum each, from which two sketches are a candidate: at similarity 0.8
 #: some 102 of 128 are equal, fewer than 80 with a chance of 2e-6 (binomial tail).
-ALIKE = (112, 104, 96, 88, 80)
+ALIKE = 80
+#: The same where texts follow: at similarity 0.8 fewer are equal with a chance of 1e-13.
+LIKELY = 64
+#: Links of an Arrow batch.
+LINKS = 20_000
 #: Bits by which SimHash fingerprints of first candidates differ at most.
 BITS = 3
 
@@ -67,9 +72,9 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def bands(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """One key per band of minima, as signed longs, and a byte of each minimum; none without shingles."""
+    """One key per band of minima, as signed longs, and a byte of each minimum; no keys without shingles."""
     if not len(hashes):
-        return np.zeros(0, np.int64), b""
+        return np.zeros(0, np.int64), bytes(len(_ODD))
     least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(hashes), 1024):
         least = np.minimum(least, (hashes[start : start + 1024] * _ODD[:, None]).min(axis=1))
@@ -98,49 +103,17 @@ def _sketches(rows: DataFrame, shingle) -> DataFrame:
     return rows.mapInArrow(run, "row long, digest binary, fp long, keys array<long>, sketch binary")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, shingle, least) -> DataFrame:
-    """Those of the distinct ``pairs(a, b)`` whose texts have the similarity ``least``.
-
-    The text of b goes to a group of a, the text of a to each of its groups once.
-    """
-
-    def run(batches_in):
-        now, first = None, None
-        for batch in batches_in:
-            a, part, b = (batch.column(i).to_pylist() for i in range(3))
-            links = []
-            for i, text in enumerate(batch.column(3)):
-                own = shingles(text.as_py(), shingle)
-                if (a[i], part[i]) != now:
-                    now, first = (a[i], part[i]), own
-                elif min(len(first), len(own)) >= least * max(len(first), len(own)) - 1 and similarity(first, own) >= least:
-                    links.append((a[i], b[i]))
-            columns = [pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, schema=_LINK)
-
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PIECE).alias("parts"))
-    dealt = stored(
-        pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b"), "dealt"
-    )
-    # The smaller row of a pair is a, so it comes first in its group.
-    members = dealt.union(dealt.select("a", "part", F.col("a").alias("b")).distinct())
-    met = members.join(rows.select(F.col("row").alias("b"), "text"), "b").select("a", "part", "b", "text")
-    met = met.repartition("a", "part").sortWithinPartitions("a", "part", "b")
-    return stored(met.mapInArrow(run, "a long, b long"), "near")
-
-
 def near_duplicates(rows: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """row and component (a row, too) for every row of ``rows(row, text)``; ``row`` is unique, without nulls.
 
     Texts whose sets of shingles have a Jaccard similarity of ``least`` or more are
     linked; components are what links connect. Texts of equal sets are one node.
-    Candidates are verified from their whole texts. The first are the pairs that the
-    SimHash operator links: fingerprints of these shingles that differ in at most
-    ``BITS`` bits, found at the anchors of its covering code. They are most of what a
-    group of near copies holds, but at similarity 0.8 two fingerprints differ in some 10
-    bits. So, next, each node meets the smallest of each band of its MinHash sketch; then,
-    in bands that still hold several components, all nodes of different components meet
-    whose sketches are alike.
+    Candidates are the pairs that the SimHash operator links (fingerprints of these
+    shingles that differ in at most ``BITS`` bits, found at the anchors of its covering
+    code) and the nodes of a band of MinHash whose sketches are alike. Either gives only
+    links enough to connect its candidates, never all pairs. What they connect is a
+    family: its texts meet once, each compared with whatever it may be linked to, and
+    again only links that connect leave.
     """
     if not SIMILARITY <= least <= 1:
         raise ValueError("the bands are made for similarities of 0.8 and more")
@@ -149,23 +122,19 @@ def near_duplicates(rows: DataFrame, shingle: int = SHINGLE, least: float = SIMI
     sets = stored(_sketches(rows, shingle), "sets")
     firsts = stored(sets.groupBy("digest").agg(F.min("row").alias("node")), "firsts")
     keys = sets.join(firsts.select(F.col("node").alias("row")), "row").select(F.explode("keys").alias("key"), F.col("row").alias("node"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    shared = stored(shared.select("key", "low"), "shared")
-    bucket = stored(keys.join(shared, "key"), "bucket")
+    shared = keys.groupBy("key").agg(
+        F.min("node").alias("low"), F.max("node").alias("high"), F.ceil(F.count("*") / CROWD).alias("parts")
+    )
+    shared = stored(shared.where("low < high").select("key", "parts"), "shared")
     prints = stored(sets.join(firsts.select(F.col("node").alias("row")), "row").groupBy("fp").agg(F.min("row").alias("node")), "prints")
     met = simhash.near_links(prints.select("fp"), BITS)
     met = met.join(prints.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(
         prints.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b"
     )
     met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    stars = stored(bucket.where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")).union(met).distinct(), "stars")
-    links = _verified(stars, rows, shingle, least)
     sketches = sets.select(F.col("row").alias("node"), "sketch")
-    tried = stars
-    for alike in ALIKE:
-        rest = _across(bucket, components(links), sketches, alike)
-        rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-        links, tried = links.union(_verified(rest, rows, shingle, least)), tried.union(rest)
+    families = stored(components(met.union(_candidates(keys.join(shared, "key"), sketches))), "families")
+    links = _linked(families, sketches, rows, shingle, least)
     roots = stored(_rooted(firsts.select("node"), components(links)), "roots")
     named = stored(firsts.join(roots, "node").select("digest", "root"), "named")
     return sets.select("row", "digest").join(named, "digest").select("row", F.col("root").alias("component"))
@@ -176,50 +145,98 @@ def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.join(roots, "node", "left").select(*nodes.columns, F.coalesce("root", "node").alias("root"))
 
 
-def _across(bucket: DataFrame, roots: DataFrame, sketches: DataFrame, alike: int) -> DataFrame:
-    """Distinct pairs (a, b) alike in their sketches that share a band and are of different components so far."""
-    held = stored(_rooted(bucket.select("key", "node"), stored(roots, "parts")), "held")
-    split = held.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x < y")
-    split = split.select("key", F.ceil(F.col("n") / CROWD).alias("parts"))
-    rows = stored(held.join(split, "key").withColumn("part", F.pmod(F.xxhash64("node"), "parts")), "open")
-    # Every two pieces of a band meet in a group of their own, and each within itself.
-    rows = rows.join(sketches, "node").select(
-        "key", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"), "node", "root", "sketch"
+def _candidates(bucket: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) alike in their sketches that share a band (``bucket``: key, node, parts), enough to connect all such."""
+    rows = bucket.join(sketches, "node")
+    met = _met(rows.select("key", "parts", "node", F.lit("").alias("text"), "sketch"))
+    return stored(met.mapInArrow(lambda b: _compared(b, None, 0), "a long, b long").distinct(), "alike")
+
+
+def _linked(families: DataFrame, sketches: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Pairs (a, b) of a family whose texts have the similarity ``least``, enough to connect all such."""
+    members = families.select(F.col("root").alias("key"), "node")
+    members = members.union(families.select(F.col("root").alias("key"), F.col("root").alias("node")).distinct())
+    texts = rows.select(F.col("row").alias("node"), "text")
+    sizes = members.join(texts.select("node", F.octet_length("text").alias("size")), "node").groupBy("key").agg(
+        F.greatest(F.ceil(F.count("*") / PIECE), F.ceil(F.sum("size") / PIECE_BYTES)).alias("parts")
+    )
+    held = members.join(sizes, "key").join(sketches, "node").join(texts, "node")
+    met = _met(held.select("key", "parts", "node", "text", "sketch"))
+    return stored(met.mapInArrow(lambda b: _compared(b, shingle, least), "a long, b long"), "near")
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """``rows`` of a key in ``parts`` pieces: every two pieces meet in a group of their own, and each within itself."""
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), "parts")).select(
+        "key", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"), "node", "text", "sketch"
     )
-    rows = rows.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "root", "sketch")
-    met = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return met.mapInArrow(lambda b: _alike(b, alike), "a long, b long").distinct()
-
-
-def _alike(batches_in, alike):
-    """Pairs (a, b) of different roots and alike sketches in each group of a partition sorted by (key, p, q)."""
-    now, held = None, []
-    for batch in batches_in:
-        *columns, sketch = batch.columns
-        table = np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1)
-        bytes_ = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(len(table), -1) if len(table) else None
-        cuts = np.flatnonzero((table[1:, :3] != table[:-1, :3]).any(axis=1)) + 1 if len(table) else []
-        for start, stop in zip([0, *cuts], [*cuts, len(table)]):
-            if start == stop:
-                continue
-            if now is None or (table[start, :3] != now).any():
-                yield from _pairs(held, alike)
-                now, held = table[start, :3], []
-            held.append((table[start:stop, 1:], bytes_[start:stop]))
-    yield from _pairs(held, alike)
-
-
-def _pairs(held, alike):
-    if not held:
+    rows = rows.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "text", "sketch")
+    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+
+
+def _compared(batches_in, shingle, least):
+    """Links (a, b) in each group of a partition sorted by (key, p, q).
+
+    Nodes are near if their sketches are alike and, with a ``shingle``, their texts have the similarity ``least``.
+    """
+    now, held, links, n = None, [], [], 0
+    for batch in chain(batches_in, [None]):
+        rows = _rows(batch, shingle) if batch else [(None, None, None, None)]
+        for group, ends, sketch, own in rows:
+            if group != now:
+                found = list(_spanning(held, least))
+                links += found
+                n += sum(len(x[0]) for x in found)
+                now, held = group, []
+                if n >= LINKS:
+                    yield _batch(links)
+                    links, n = [], 0
+            held.append((ends, sketch, own))
+    if links:
+        yield _batch(links)
+
+
+def _rows(batch, shingle):
+    """(key, p, q), (part, node), sketch and perhaps shingles of each row."""
+    table = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]], axis=1).tolist()
+    texts, sketches = batch.column(5), batch.column(6).to_pylist()
+    for i, (key, p, q, *ends) in enumerate(table):
+        yield (key, p, q), (*ends, p != q), sketches[i], shingles(texts[i].as_py(), shingle) if shingle else None
+
+
+def _batch(links):
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*links)], schema=_LINK)
+
+
+def _spanning(held, least):
+    """Links that connect what near pairs of a group connect; at most one less than its nodes.
+
+    Breadth first, as in ``simhash``: the nodes found last are compared with those not yet reached.
+    """
+    if len(held) < 2:
         return
-    table, sketch = (np.concatenate(x) for x in zip(*held))
-    p, q, part, node, root = table.T
-    for i in range(len(table) - 1):
-        may = root[i + 1 :] != root[i]
-        if p[i] != q[i]:
-            may &= part[i + 1 :] != part[i]
-        others = np.flatnonzero(may) + i + 1
-        others = node[others[(sketch[others] == sketch[i]).sum(axis=1) >= alike]]
-        if len(others):
-            columns = [np.minimum(others, node[i]), np.maximum(others, node[i])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_LINK)
+    ends, sketch, sets = zip(*held)
+    part, node, across = np.array(ends, np.int64).T
+    sketch = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(node), -1)
+    alike = ALIKE if sets[0] is None else LIKELY
+    rest = np.arange(len(node))
+    while len(rest) > 1:
+        front, rest = rest[:1], rest[1:]
+        while len(front) and len(rest):
+            found = []
+            for x in front:
+                may = (sketch[rest] == sketch[x]).sum(axis=1) >= alike
+                if across[0]:
+                    may &= part[rest] != part[x]
+                if sets[x] is not None and may.any():
+                    may[may] = [_near(sets[x], sets[y], least) for y in rest[may]]
+                if may.any():
+                    found.append(rest[may])
+                    rest = rest[~may]
+                    other = node[found[-1]]
+                    yield np.minimum(other, node[x]), np.maximum(other, node[x])
+            front = np.concatenate(found) if found else rest[:0]
+
+
+def _near(a, b, least):
+    return min(len(a), len(b)) >= least * max(len(a), len(b)) - 1 and similarity(a, b) >= least

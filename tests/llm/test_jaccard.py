@@ -6,6 +6,7 @@ import pytest
 
 import corpus_pipeline as pipeline
 from shapelog.llm import jaccard
+from shapelog.llm.common import stored
 
 from .test_simhash import _split
 
@@ -60,3 +61,40 @@ def test_near_copies_of_every_degree(spark, monkeypatch, crowd, piece):
     rows = list(enumerate(texts))
     got = jaccard.near_duplicates(spark.createDataFrame(rows, "row long, text string"))
     assert {r.row: r.component for r in got.collect()} == brute(rows)
+
+
+def _near_copies(n):
+    """Texts of one group: some pairs are just under 0.8, all are connected by the first."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts = [" ".join(base)]
+    for i in range(n - 1):
+        copy = list(base)
+        for k in rng.sample(range(200), 3):
+            copy[k] = f"new{i}"
+        texts.append(" ".join(copy))
+    return list(enumerate(texts))
+
+
+def test_a_group_of_near_copies_gives_links_in_proportion(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(jaccard, "stored", lambda df, name: made.append((name, stored(df, name))) or made[-1][1])
+    n = 120
+    got = jaccard.near_duplicates(spark.createDataFrame(_near_copies(n), "row long, text string"))
+    assert {r.component for r in got.collect()} == {0}
+    assert {name: df.count() <= 32 * n for name, df in made} == {name: True for name, _ in made}
+    assert dict(made)["near"].count() == n - 1
+
+
+def test_unlike_texts_of_one_family_stay_apart(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = []
+    for i in range(40):
+        copy = list(base)
+        for k in rng.sample(range(200), 5):
+            copy[k] = f"new{i}"
+        rows.append((i, " ".join(copy)))
+    rows += [(40, ""), (41, None)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "row long, text string"))
+    assert {r.row: r.component for r in got.collect()} == brute(rows)
