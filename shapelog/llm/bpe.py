@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shapelog.llm.common import ship
+from shapelog.llm.common import released, ship
 
 #: White space of the tokenizer files' patterns; str.split() also splits at x1c-x1f.
 _SPACES = regex.compile(r"[\t-\r\x20\x85\p{Z}]+")
@@ -257,14 +257,21 @@ def within_window(m: Merges, shown: str) -> list[int]:
     return out[::-1]
 
 
+def _library(spec):
+    """The library's own normalizer and splitting of a tokenizer file, without its copy of vocabulary and merges."""
+    model = {"type": "BPE", "vocab": {}, "merges": []}
+    bare = Tokenizer.from_str(json.dumps(spec | {"model": model, "added_tokens": [], "post_processor": None}))
+    return bare.normalizer, bare.pre_tokenizer
+
+
 class Encoder:
     """Texts to token ids as the tokenizer file says."""
 
     def __init__(self, text: str, kept: int = KEPT):
         self.merges = Merges(text)
-        self.library = Tokenizer.from_str(text)
         spec = json.loads(text)
         self._check(spec)
+        self.normalizer, self.splitter = _library(spec)
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         # Inside a set the white space of the pattern language is written out.
         self.words = regex.compile(pattern.replace(r"[^\s", r"[^\t-\r\x20\x85\p{Z}"))
@@ -318,8 +325,8 @@ class Encoder:
         Which code points are letters, compose or have a lower case depends on the version
         of Unicode; this interpreter's is another one than the library's.
         """
-        low = self.library.normalizer.normalize_str(chunk)
-        return [low[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(low)]
+        low = self.normalizer.normalize_str(chunk)
+        return [low[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(low)]
 
     def stream(self, text: str):
         """Packed ids of a whole text, one step after the other."""
@@ -463,7 +470,7 @@ def encode(
             _LOADED.clear()
             gc.collect()  # its parts refer to each other
 
-    return docs.select(*[F.col(f"`{c}`") for c in columns_kept]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in columns_kept]).mapInArrow(released(run), schema)
 
 
 def _decoded(merges, ids, form):
@@ -479,8 +486,8 @@ def _sums(numbers):
         yield total
 
 
-def _portions(texts, size=4 << 20):
-    """Ranges of rows with about ``size`` characters, so that output batches stay small."""
+def _portions(texts, size=1 << 20):
+    """Ranges of rows with about ``size`` characters: output batches hold a text, its ids and what they decode to."""
     start = held = 0
     for i, text in enumerate(texts):
         held += len(text.as_py() or "")

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapelog.llm.common import ship, stored
+from shapelog.llm.common import released, ship, stored
 
 EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 #: Edges that one local contraction holds; a partition with more emits several forests.
@@ -73,7 +73,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     ship(edges.sparkSession)
     tidy = edges.select("a", "b").where("a <> b")
-    now = stored(tidy.mapInArrow(contract, "a long, b long").distinct(), "links")
+    now = stored(tidy.mapInArrow(released(contract), "a long, b long").distinct(), "links")
     mark = _mark(now)
     while mark[0]:
         now = _small_star(_large_star(now))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shapelog.llm import simhash
-from shapelog.llm.common import pieces, ship, stored, whole
+from shapelog.llm.common import pieces, released, ship, stored, whole
 from shapelog.llm.graph import components
 
 #: Words per shingle, seed of the hash, and the similarity from which texts are linked.
@@ -100,7 +100,7 @@ def _sketches(rows: DataFrame, shingle) -> DataFrame:
             columns += [pa.array([m[i] for m in made], kind) for i, kind in enumerate((pa.list_(pa.int64()), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=_SET)
 
-    return rows.mapInArrow(run, "row long, digest binary, fp long, keys array<long>, sketch binary")
+    return rows.mapInArrow(released(run), "row long, digest binary, fp long, keys array<long>, sketch binary")
 
 
 def near_duplicates(rows: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
@@ -149,7 +149,7 @@ def _candidates(bucket: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a, b) alike in their sketches that share a band (``bucket``: key, node, parts), enough to connect all such."""
     rows = bucket.join(sketches, "node")
     met = _met(rows.select("key", "parts", "node", F.lit("").alias("text"), "sketch"))
-    return stored(met.mapInArrow(lambda b: _compared(b, None, 0), "a long, b long").distinct(), "alike")
+    return stored(met.mapInArrow(released(lambda b: _compared(b, None, 0)), "a long, b long").distinct(), "alike")
 
 
 def _linked(families: DataFrame, sketches: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -162,7 +162,7 @@ def _linked(families: DataFrame, sketches: DataFrame, rows: DataFrame, shingle:
     )
     held = members.join(sizes, "key").join(sketches, "node").join(texts, "node")
     met = _met(held.select("key", "parts", "node", "text", "sketch"))
-    return stored(met.mapInArrow(lambda b: _compared(b, shingle, least), "a long, b long"), "near")
+    return stored(met.mapInArrow(released(lambda b: _compared(b, shingle, least)), "a long, b long"), "near")
 
 
 def _met(rows: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapelog.llm.common import ship, unused, whole
+from shapelog.llm.common import released, ship, unused, whole
 
 #: Kinds, in the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -328,7 +328,7 @@ def fit(docs: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["zone"])
 
     ship(docs.sparkSession)
-    drawn = docs.where(F.col("text").rlike("[0-9@]")).select(whole().alias("text")).mapInArrow(found, "zone string")
+    drawn = docs.where(F.col("text").rlike("[0-9@]")).select(whole().alias("text")).mapInArrow(released(found), "zone string")
     drawn = drawn.distinct().orderBy(F.xxhash64("zone", F.lit(23)), "zone").limit(ZONES).collect()
     examples = made_up()
     for row in drawn:
@@ -382,7 +382,7 @@ def find(docs: DataFrame, model: Model, spans: str = "spans") -> DataFrame:
 
     ship(docs.sparkSession)
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(
-        run, f"{schema}, `{spans}` array<struct<kind:string,start:int,end:int,base:boolean>>"
+        released(run), f"{schema}, `{spans}` array<struct<kind:string,start:int,end:int,base:boolean>>"
     )
 
 

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapelog.llm.common import pieces, ship, stored
+from shapelog.llm.common import pieces, released, ship, stored
 from shapelog.llm.graph import components
 
 #: Words per shingle, seed of the hash, bits by which linked fingerprints may differ.
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
 
     ship(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+    return narrow.mapInArrow(released(run), "doc_id long, fp long")
 
 
 def anchors(prints: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def _pieced(rows: DataFrame, threshold) -> DataFrame:
     )
     met = met.select("anchor", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"), "fp")
     met = met.repartition("anchor", "p", "q").sortWithinPartitions("anchor", "p", "q")
-    return met.mapInArrow(run, "kind int, a long, b long, piece long").select("a", "b")
+    return met.mapInArrow(released(run), "kind int, a long, b long, piece long").select("a", "b")
 
 
 def near_links(prints: DataFrame, threshold: int = THRESHOLD, limit: int = PIECE) -> DataFrame:
@@ -231,7 +231,7 @@ def near_links(prints: DataFrame, threshold: int = THRESHOLD, limit: int = PIECE
     ship(prints.sparkSession)
     at = anchors(prints).repartition("anchor").sortWithinPartitions("anchor")
     found = stored(
-        at.mapInArrow(lambda b: compare(b, threshold, limit), "kind int, a long, b long, piece long"), "near"
+        at.mapInArrow(released(lambda b: compare(b, threshold, limit)), "kind int, a long, b long, piece long"), "near"
     )
     links = found.where("kind = 0").select("a", "b")
     many = found.where("kind = 1").select(F.col("a").alias("anchor"), F.col("b").alias("fp"), "piece")
