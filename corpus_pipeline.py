@@ -22,9 +22,9 @@ def _measured(docs, columns):
 
 
 def _numbered_rows(docs):
-    """The documents with a number per row that stays, stored once, and the name of that column."""
+    """The documents with a number per row that stays, stored once (whole texts: packed tightly), and the name of that column."""
     name = unused("row", docs.columns)
-    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "rows", compression="zstd"), name
 
 
 def drop_toxic(spark, docs, sf_dir):

@@ -65,15 +65,15 @@ def shared_folder(spark: SparkSession) -> str:
     return session.checkpoint_folder(spark)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut the lineage: write to a new folder of the shared one and read it back.
 
     Parquet in place of ``checkpoint()``: columns compress, later joins see sizes,
     and both sides of a join come straight from exchanges, so that adaptive
-    execution can split hot keys.
+    execution can split hot keys. ``options`` are those of the Parquet writer.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
